@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from cityfeed.llm.common import let
 
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+BLANKS = "[ \t\n\x0b\x0c\r]+"
+NON_BLANK = "[^ \t\n\x0b\x0c\r]"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Rows of the sample on which rules are timed.
@@ -31,7 +32,7 @@ SAMPLE_ROWS = 2000
 
 
 def _has_word(line: Column) -> Column:
-    return F.translate(line, BLANKS, "") != ""
+    return line.rlike(NON_BLANK)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -42,42 +43,44 @@ def _repeat_words(w: Column) -> Column:
     that the start before them has not covered.
     """
     n = F.size(w)
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def starts(s: Column) -> Column:
         last = F.size(s) - 1
         twice = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < last) & (F.get(s, i + 1)["h"] == x["h"])))
-        return F.array_sort(F.transform(twice, lambda x: x["p"]))
+        return F.sort_array(F.transform(twice, lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
         own = F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, k - 1))))
         return F.aggregate(own, F.lit(0), lambda a, x: a + x)
 
-    return F.when(n < 3, 0).otherwise(let(F.array_sort(windows), lambda s: let(starts(s), covered)))
+    def sorted_windows(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+
+    repeats = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(sorted_windows(h), lambda s: let(starts(s), covered))))
+    return F.when(n < 3, 0).otherwise(repeats)
 
 
 def text_counts(text: Column) -> Column:
     """Struct of what the rules look at."""
     text = F.coalesce(text, F.lit(""))
-    squeezed = F.translate(text, BLANKS, "")
-    words = F.filter(F.split(text, "[ \t\n\x0b\x0c\r]+"), lambda w: w != "")
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), _has_word)
     return F.struct(
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("repeats"))).alias("words"),
-        F.length(squeezed).cast("long").alias("word_chars"),
-        (F.length(squeezed) - F.length(F.translate(squeezed, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).cast("long").alias("repeats"))).alias("words"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dups"))).alias("lines"),
     )
 
 
 def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text`` and the counts of the base rule."""
-    c = docs.select(F.col(id_col), F.col(text_col).alias("text"), text_counts(F.col(text_col)).alias("c"))
+    c = docs.select(F.col(id_col), F.col(text_col).alias("text"), let(text_counts(F.col(text_col)), lambda c: c).alias("c"))
     c = c.select(
         id_col,
         "text",
         F.col("c.words.n").alias("n_words"),
-        F.col("c.word_chars").alias("word_chars"),
+        F.col("c.words.chars").alias("word_chars"),
         F.col("c.n_symbols").alias("n_symbols"),
         F.col("c.lines.dups").alias("n_dup_lines"),
         F.col("c.words.repeats").alias("n_repeat_words"),
@@ -117,16 +120,16 @@ class Measured:
         return self.rejected / max(self.seconds, 1e-4)
 
 
-def measure(counted: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Measured]:
+def measure(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Measured]:
     """Time every rule and count its rejections on about ``sample_rows`` rows that pass the base rule; best rule first."""
-    total = max(counted.select(F.lit(1)).count(), 1)
-    sample = counted.sample(fraction=min(1.0, sample_rows / total), seed=seed).where("not base_failed").persist()
+    total = max(docs.select(F.lit(1)).count(), 1)
+    sample = with_counts(docs.sample(fraction=min(1.0, sample_rows / total), seed=seed)).persist()
     try:
         sample.count()
         out = []
         for rule in rules:
             began = time.perf_counter()
-            n = sample.agg(F.count_if(F.expr(rule.rejects))).first()[0]
+            n = sample.agg(F.count_if(F.expr(f"not base_failed and ({rule.rejects})"))).first()[0]
             out.append(Measured(rule, time.perf_counter() - began, n))
     finally:
         sample.unpersist()
@@ -143,7 +146,7 @@ def cascade(rules) -> Column:
 
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row."""
+    order = [m.rule for m in measure(docs, rules, sample_rows)]
     counted = with_counts(docs)
-    order = [m.rule for m in measure(counted, rules, sample_rows)]
     kept = F.when(F.col("base_failed"), False).otherwise(cascade(order).isNull())
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
