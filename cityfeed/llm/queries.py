@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
-from cityfeed.llm import quality_rules, url_filter
+from cityfeed.llm import bpe, chat_format, decontaminate, pii, quality_rules, url_filter
 from cityfeed.llm.common import table
 from cityfeed.llm.oracle import ORACLE_SQL  # noqa: F401
 
+#: Name of the rank file among the public tokenizers.
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_format.read_back(chat_format.format_turns(turns.unionByName(extra)))
+
+
+def op5_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_pii": op5_pii,
     "op7_url_filters": op7_url_filters,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_decontamination": op10_decontamination,
 }
