@@ -71,22 +71,43 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, f.rule A
 FROM pages p LEFT JOIN fit ON p.url IS NOT DISTINCT FROM fit.url LEFT JOIN said USING (node)
 """
 
-OP3 = r"""
+_SPECIAL = r"\\|<\|text\|>|<\|role\|>|<\|end\|>|<</SYS>>|<s>\[INST\]|<<SYS>>|\[/INST\]|</s>|<a>"
+_PARTS = [c[:k] for c in ["<|text|>", "<|role|>", "<|end|>", "<</SYS>>", "<s>[INST]", "<<SYS>>", "[/INST]", "</s>", "<a>"] for k in range(1, len(c))]
+_TAIL = "|".join("".join("\\" + x if x in "[]|" else x for x in p) for p in sorted(set(_PARTS), key=len, reverse=True))
+OP3 = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS last,
-    CASE WHEN role = 'assistant' THEN text ELSE '' END AS said,
-    regexp_replace(text, '\\|</?s>|<a>|</?<?/?SYS>>|<<SYS>>|\[/?INST\]|<\|role\|>|<\|text\|>|<\|end\|>', 'xx', 'g') AS marked
-  FROM turns
+  SELECT *, row_number() OVER w AS k, CASE WHEN role = 'assistant' THEN text ELSE '' END AS said,
+    last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    len(regexp_extract_all(text, '{_SPECIAL}|(?:{_TAIL})\z')) AS escapes,
+    len(regexp_extract_all(role, '{_SPECIAL}|(?:{_TAIL})\z')) AS role_escapes
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-  sum(length(said))::BIGINT AS loss_chars, sha256(string_agg(said, '' ORDER BY k)) AS loss_sha256
+  sum(length(said))::BIGINT AS loss_chars, sha256(string_agg(said, '' ORDER BY k)) AS loss_sha256,
+  sum(length(text) + escapes + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 ELSE 23 + length(role) + role_escapes END)::BIGINT AS formatted_chars,
+  count(*) FILTER (NOT coalesce(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS DISTINCT FROM 'user' WHEN 'assistant' THEN before = 'user' END, false)) AS n_out_of_order
 FROM o GROUP BY conv_id
 """
 
+OP8 = r"""
+WITH d AS (SELECT doc_id, text, coalesce(source, chr(10)) AS site, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, site, p, lines[p] AS line, coalesce(CASE WHEN p > 1 THEN lines[p - 1] END, chr(10)) AS a, coalesce(lines[p + 1], chr(10)) AS b
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM d WHERE text IS NOT NULL)
+), bad AS (
+  SELECT line FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^ \t\r]+[ \t]+[^ \t\r]+[ \t]+[^ \t\r]')
+  GROUP BY line HAVING count(DISTINCT site) >= 8 AND 2 * count(DISTINCT (a, b)) >= count(*)
+), k AS (
+  SELECT doc_id, count(*) AS n, count(bad.line) AS gone, coalesce(string_agg(l.line, chr(10) ORDER BY p) FILTER (bad.line IS NULL), '') AS rest
+  FROM l LEFT JOIN bad USING (line) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.gone, 0)::BIGINT AS n_removed, sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -113,6 +134,8 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1,
+    "op3_chat_formatting": OP3,
     "op7_url_filters": OP7,
+    "op8_line_dedup": OP8,
     "op10_decontamination": OP10,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityfeed.llm import bpe, chat_format, decontaminate, pii, quality_rules, url_filter
+from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, url_filter
 from cityfeed.llm.common import table
 from cityfeed.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -25,10 +25,18 @@ def op5_pii(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -43,7 +51,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_pii": op5_pii,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filters": op7_url_filters,
+    "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
 }
