@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, url_filter
+from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, pii, quality_classifier, quality_rules, url_filter
 from cityfeed.llm.common import table
 from cityfeed.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -21,6 +21,10 @@ def op3_chat_formatting(spark, sf_dir):
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(extra)))
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filters": op7_url_filters,
