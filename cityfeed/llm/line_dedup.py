@@ -77,12 +77,15 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.union(exact.where("2 * nears >= n").select("h", "g"))
 
 
-def mark(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``_gone``, the positions of the boilerplate lines of each text, null where there are none."""
+def mark(docs: DataFrame, gone: str, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with a column ``gone``: the positions of the boilerplate lines of each text, null where there are none."""
     lines = line_hashes(docs)
     bad = cut(boilerplate(lines, min_sites), "boilerplate")
-    gone = lines.join(bad, ["h", "g"]).groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left").drop("_d", "_t")
+    places = lines.join(bad, ["h", "g"]).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
+    # whatever the columns of docs are called, theirs and these stand apart
+    a, b = docs.alias("a"), places.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.t"))
+    return a.join(b, same, "left").select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("b.pos").alias(gone))
 
 
 def _rest(text: Column, gone: Column) -> Column:
@@ -92,21 +95,22 @@ def _rest(text: Column, gone: Column) -> Column:
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without boilerplate lines; ``n_chars``, where there is one, follows the text."""
-    cols = docs.columns
-    out = mark(docs, min_sites).withColumn("text", _rest(F.col("text"), F.col("_gone")))
-    if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*cols)
+    gone = next(name for name in ("gone", *(f"gone{k}" for k in range(len(docs.columns)))) if name not in docs.columns)
+    marked = mark(docs, gone, min_sites)
+    text = _rest(F.col("text"), F.col(gone))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return marked.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every row."""
-    out = mark(docs.select("doc_id", "text", "source"), min_sites)
+    out = mark(docs.select("doc_id", "text", "source"), "gone", min_sites)
     text = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(_rest(text, F.col("_gone")), 256).alias("kept_sha256"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(_rest(text, F.col("gone")), 256).alias("kept_sha256"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, pii, quality_classifier, quality_rules, url_filter
+from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 from cityfeed.llm.common import table
 from cityfeed.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -51,8 +55,16 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
