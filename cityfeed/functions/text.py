@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Characters that have no width.
 INVISIBLE = "[­​‌‍⁠﻿]"
@@ -45,7 +46,7 @@ def truthy(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
