@@ -1,0 +1,319 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pandas as pd
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cityfeed.llm import bpe, chat_format, components, decontaminate, line_dedup, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SF = "/root/testdata/sf0.001"
+
+
+def reference_spans(texts, length, keep_first):
+    seen, count, marks = set(), Counter(), []
+    for t in texts:
+        count.update(t[k : k + length] for k in range(len(t) - length + 1))
+    for t in texts:
+        m = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            s = t[k : k + length]
+            if s in seen if keep_first else count[s] > 1:
+                m[k : k + length] = b"\1" * length
+            seen.add(s)
+        marks.append(bytes(c for c, x in zip(t, m, strict=True) if not x))
+    return marks
+
+
+def repeated_texts(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    passage = [" ".join(word() for _ in range(120)) for _ in range(3)]
+    texts = []
+    for k in range(24):
+        body = [word() for _ in range(rng.randint(0, 300))]
+        for _ in range(rng.randint(0, 2)):
+            body.insert(rng.randint(0, len(body)), rng.choice(passage)[: rng.randint(300, 700)])
+        texts.append(" ".join(body))
+    return texts + [texts[3], texts[3], "x" * 1500, ""]
+
+
+def test_suffix_dedup_is_exact(spark, docs):
+    texts = repeated_texts(1)
+    df = docs(list(enumerate(texts)))
+    data = [t.encode() for t in texts]
+    got = {r.doc_id: r for r in suffix_dedup.report(df).collect()}
+    for k, want in enumerate(reference_spans(data, 400, False)):
+        assert got[k].kept_sha256 == hashlib.sha256(want).hexdigest()
+        assert got[k].n_removed == len(data[k]) - len(want)
+    first = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(df).collect()}
+    assert [first[k] for k in range(len(texts))] == reference_spans(data, 400, True)
+    # anchors with many stretches take the other way to the same result
+    for keep in (False, True):
+        rows, spans = suffix_dedup.repeated_spans(df, keep, hot=1)
+        hot = {r.doc_id: suffix_dedup._removed(r.text.encode(), r.spans)[0] for r in suffix_dedup._with_spans(rows, spans).collect()}
+        assert [hot[k] for k in range(len(texts))] == reference_spans(data, 400, keep)
+
+
+@given(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)))
+@settings(max_examples=200, deadline=None)
+def test_longest_previous_factors(x):
+    def match(i, j):
+        k = 0
+        while i + k < len(x) and x[i + k] == x[j + k]:
+            k += 1
+        return k
+
+    assert suffix_dedup.longest_previous_factors(x) == [max([0] + [match(i, j) for j in range(i)]) for i in range(len(x))]
+
+
+def brute_classes(rows):
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[t].append(i)
+    parent = {i: min(ids[t]) for i, t in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def shingles(t):
+        w = t.split()
+        c, out = Counter(), set()
+        for s in [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []:
+            out.add((s, c[s]))
+            c[s] += 1
+        return out
+
+    sets = [(min(v), shingles(t)) for t, v in ids.items()]
+    for n, (a, x) in enumerate(sets):
+        for b, y in sets[:n]:
+            if x and y and len(x & y) / len(x | y) >= 0.8:
+                lo, hi = sorted((find(a), find(b)))
+                parent[hi] = lo
+    return {i: find(i) for i, _ in rows}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([[], [words[k], f"new{rng.random()}"], [f"sub{rng.random()}"]])
+    return words
+
+
+def test_near_dedup_finds_what_brute_force_finds(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(30, 260))]
+        rows.append(" ".join(base))
+        rows += [" ".join(edited(rng, base, rng.randint(0, 1 + len(base) // 60))) for _ in range(rng.choice([0, 1, 3, 40]))]
+    rows += ["one two", "one two", "one two three", "", ""]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == want
+    # the same with tiny blocks, so that large buckets go through them
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "STREAM", 10)
+    monkeypatch.setattr(near_dedup, "LEADER_SHARE", 4)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(rows)).collect()} == want
+    kept = {r.doc_id for r in near_dedup.keep_one(docs(rows)).collect()}
+    assert kept == set(want.values())
+
+
+def test_near_dedup_minds_order():
+    import numpy as np
+
+    words = np.arange(1, 200, dtype=np.uint64)
+    moved = np.concatenate([words[100:], words[:100]])
+    s, t = near_dedup.shingles(words), near_dedup.shingles(moved)
+    assert near_dedup.Aligner(s).similarity(s) == 1.0
+    assert len(np.intersect1d(s, t)) / len(np.union1d(s, t)) > 0.9 and near_dedup.Aligner(s).similarity(t) == 0.0
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_bpe_equals_tiktoken(spark, docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "a", "Hello world, it's  fine\n\n  ok\t \n", "日本語 😀 naïve", "x" * 700, " " * 300 + "y", "<|endoftext|>", "\x00\x1c \x85 z", "12345 67.8!!!", "aé" * 400, " lead", "trail ", "a \n b"]
+    texts += [r.text for r in spark.read.parquet(SF + "/documents.parquet").collect()]
+    got = {r.doc_id: r for r in bpe.encode(docs(list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].ids == own.encode_ordinary(t) and bytes(got[k].decoded) == t.encode()
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_bpe_any_text(text):
+    encoder = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    own = _tiktoken()
+    ((ids, data),) = encoder.encode([text])
+    assert ids.tolist() == own.encode_ordinary(text) and data.tobytes() == text.encode()
+
+
+def _tiktoken(cache=[]):  # noqa: B006
+    if not cache:
+        cache.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={}))
+    return cache[0]
+
+
+TURNS = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", ""]), st.text("<>/s[]INST SYa|role\\textend\n", max_size=30)), max_size=6)
+
+
+@given(TURNS)
+@settings(max_examples=500, deadline=None)
+def test_chat_round_trip(turns):
+    codec = chat_format.Codec()
+    segments = [s for role, text in turns for s in codec.turn(role, text)]
+    assert codec.parse("".join(t for t, _ in segments)) == turns
+    assert "".join(codec.unescape(t) for t, loss in segments if loss) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_chat_order(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "assistant", "b"), (1, 4, "system", "c"), (1, 5, "user", "d")]
+    turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [r.valid for r in turns.orderBy("seq").collect()] == [True, True, True, False, False, True]
+
+
+def brute_pii(text):
+    """The patterns as stated, searched by the plain engine."""
+    import re
+
+    out = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = (
+                True,
+                all(int(x) <= 255 for x in m.group().split(".")) if kind == 1 else True,
+                14 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0,
+                10 <= len(digits) <= 15,
+            )[kind]
+            if ok:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+@given(st.one_of(st.text("0123456789.+-() @ab", max_size=60), st.text("4417123456789113 -", max_size=40), st.text("a.b@-%", max_size=40)))
+@settings(max_examples=1500, deadline=None)
+def test_pii_base_spans(text):
+    assert [(s.start, s.kind, s.end) for s in pii.find_spans(text) if s.kind < 4] == brute_pii(text)
+
+
+def test_pii_tables_and_iban(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in df.collect()}
+    for r in pii.scan(df).collect():
+        want = brute_pii(text[r.doc_id])
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, k, _ in want) for x in range(4))
+    spans = pii.find_spans("Konto: DE89 3704 0044 0532 0130 00 und DE89370400440532013001")
+    assert [str(s) for s in spans if s.kind == 4] == ["iban:7:34"]
+
+
+def test_classifier_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/labels.parquet")
+    out = quality_classifier.score(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = out[out.held_out]
+    assert len(held) > 300 and held.score.between(0, 1).all()
+    assert ((held.score >= 0.3) == (held.quality == 1)).mean() > 0.97
+    assert (held[held.quality == 1].predicted == 1).mean() > 0.98
+    # the score depends on the text alone
+    moved = docs.selectExpr("doc_id + 1000000 AS doc_id", "text", "'x' AS lang", "'y' AS source", "n_chars")
+    first = quality_classifier.score(moved.limit(50), labels.where("doc_id < 0")).toPandas()
+    assert (first.score == 0.5).all()
+
+
+def test_isotonic():
+    import numpy as np
+
+    x, y = quality_classifier.isotonic(np.array([3.0, 1, 2, 4]), np.array([0.0, 0, 1, 1]))
+    assert list(x) == [1, 2.5, 4] and list(y) == [0, 0.5, 1]
+
+
+def test_decontamination_in_blocks(spark):
+    d = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/benchmark.parquet")
+    cols = ["doc_id", "n_words", "n_hit", "items"]
+    one = decontaminate.contaminated_words(docs, bench).select(*cols).toPandas().sort_values("doc_id").reset_index(drop=True)
+    many = decontaminate.contaminated_words(docs, bench, block_bytes=2000).select(*cols).toPandas().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(one.assign(items=one["items"].map(list)), many.assign(items=many["items"].map(list)))
+    hit = set(one[one.n_hit > 0].doc_id)
+    assert hit and {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(one.doc_id) - hit
+
+
+def test_decontamination_offsets(spark, docs):
+    item = "Which of the Seven, hills; was settled first by the Sabines?"
+    text = "Ä before. WHICH of the seven hills was--settled first by the Sabines today"
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    row = decontaminate.contaminated_words(docs([(1, text)]), bench).first()
+    assert row["items"] == ["7"] and row.n_hit == 11
+    assert text[row.text_spans[0].a : row.text_spans[0].b] == "WHICH of the seven hills was--settled first by the Sabines"
+
+
+def test_line_dedup(spark, docs):
+    common, copied = "Subscribe to our newsletter for more stories", "A passage of a document that was copied whole"
+    rows = [(k, f"start {k} of a page\n{common}\nend {k} of the page", f"site{k}") for k in range(9)]
+    rows += [(100 + k, f"first line of the copied text\n{copied}\nlast line of the copied text", f"site{k}") for k in range(9)]
+    rows += [(200 + k, f"page {k}\nonly seven sites have this line here\nmore {k}", f"site{k}") for k in range(7)]
+    out = {r.doc_id: r.text for r in line_dedup.clean(docs(rows)).collect()}
+    assert all(common not in out[k] and out[k] == f"start {k} of a page\nend {k} of the page" for k in range(9))
+    assert all(copied in out[100 + k] for k in range(9)) and all("only seven" in out[200 + k] for k in range(7))
+
+
+def test_rule_order_changes_nothing(spark):
+    df = spark.read.parquet(SF + "/documents.parquet")
+    counted = quality_rules.with_counts(df)
+    measured = quality_rules.measure(df)
+    assert {m.rule.name for m in measured} == {r.name for r in quality_rules.RULES}
+    worths = [m.worth for m in measured]
+    assert worths == sorted(worths, reverse=True)
+    kept = lambda rules: {r.doc_id for r in counted.where(quality_rules.cascade(rules).isNull()).select("doc_id").collect()}
+    assert kept(quality_rules.RULES) == kept(quality_rules.RULES[::-1]) == kept([m.rule for m in measured])
+
+
+def test_url_aliases(spark):
+    link = '<html><head><link rel="canonical" href="{}"></head></html>'.format
+    rows = [
+        (1, "http://a.net/x", link("http://b.example.org/es/1")),  # alias of a blocked page
+        (2, "https://c.net/y?q=1", '<meta http-equiv="refresh" content="0; url=http://a.net/x">'),  # by two steps
+        (3, "http://d.net/z", link("http://www.example.com/de/5")),
+        (4, "http://www.example.com/de/5", link("http://e.org/ok")),  # blocked by its own rule, linked to an allowed one
+        (5, "http://f.net/free", None),
+        (6, "http://a.net/x#part", None),
+    ]
+    out = {r.page_id: (r.verdict, r.by_alias) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: ("block", True), 2: ("block", True), 3: ("allow", True), 4: ("block", False), 5: ("allow", False), 6: ("block", True)}
