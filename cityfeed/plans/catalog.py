@@ -600,3 +600,49 @@ def snapshot_json(spark, d):
 )
 def snapshot_counts(spark, d):
     return _groups(spark, d).agg(F.count("*").alias("events"), F.sum("n_occurrences").alias("occurrences"))
+
+
+# payloads of several kinds made from the parts table, parsed back
+
+
+def _parsed(spark, d, name: str, payload, url="https://site.example/p"):
+    from cityfeed.sources.parsers import parse
+
+    rows = table(spark, d, "part").select(F.lit(name).alias("source_name"), F.lit(url).alias("url"), payload.alias("payload"))
+    return parse(rows, NOW)
+
+
+@query("SELECT p_name AS title, 'https://www.zollverein.de/e/' || p_partkey::VARCHAR AS source_url, substr(md5('/e/' || p_partkey::VARCHAR), 1, 16) AS canonical_id, TIMESTAMP '2026-04-20 14:00:00' AS start_at, p_type AS category, p_brand AS venue_name FROM part")
+def parse_json_api(spark, d):
+    item = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("/e/"), F.col("p_partkey").cast("string")).alias("url"), F.lit("2026-04-20T12:00:00Z").alias("startDate"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array("p_type").alias("category"))
+    out = _parsed(spark, d, "Zollverein", F.to_json(F.struct(F.array(item).alias("events"))))
+    return out.select("title", "source_url", "canonical_id", "start_at", "category", "venue_name")
+
+
+@query("SELECT 'Fest ' || p_name AS title, 'https://x/' || p_partkey::VARCHAR AS source_url, true AS is_permanent_offer, p_type AS category FROM part")
+def parse_rss_feed(spark, d):
+    item = F.concat(F.lit("<item><title>Fest "), F.col("p_name"), F.lit("</title><link>https://x/"), F.col("p_partkey").cast("string"), F.lit("</link><category>"), F.col("p_type"), F.lit("</category></item>"))
+    out = _parsed(spark, d, "borbeck.de", F.concat(F.lit("<rss><channel><item><title>Impressum</title></item>"), item, F.lit("</channel></rss>")))
+    return out.select("title", "source_url", "is_permanent_offer", "category")
+
+
+@query("SELECT 'ABEND ' || upper(p_name) AS title, make_timestamp(2026, 7, (p_partkey % 28 + 1)::BIGINT, 18, 30, 0) AS start_at, 'Eintritt ' || p_size::VARCHAR || ' €' AS price_text FROM part")
+def parse_text_page(spark, d):
+    day = (F.col("p_partkey") % 28 + 1).cast("string")
+    text_ = F.concat(day, F.lit(". Juli 2026\nABEND "), F.upper("p_name"), F.lit("\nEin Vortrag.\nEinlass ab 18:30\nEintritt "), F.col("p_size").cast("string"), F.lit(" €"))
+    return _parsed(spark, d, "Gasometer", text_).select("title", "start_at", "price_text")
+
+
+@query("SELECT p_name AS title, 'https://g/' || p_partkey::VARCHAR AS source_url, make_timestamp(2026, 6, (p_partkey % 28 + 1)::BIGINT, 20, 0, 0) AS start_at FROM part")
+def parse_html_page(spark, d):
+    key, day = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 28 + 1).cast("string")
+    block = F.concat(F.lit('<div class="vsel-content"><h3 class="vsel-meta-title"><a href="https://g/'), key, F.lit('">'), F.col("p_name"), F.lit('</a></h3><div class="vsel-meta-date">Fr. '), day, F.lit('.6.2026</div><div class="vsel-meta-time">20:00</div></div>'))
+    return _parsed(spark, d, "GREND", F.concat(block, block)).select("title", "source_url", "start_at")
+
+
+@query("SELECT user_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upsert(spark, d):
+    """The newest event of each user, from files that arrive as a stream."""
+    from cityfeed.streaming.upsert import upsert_stream
+
+    return upsert_stream(spark, f"{d}/events.parquet", "user_id").select("user_id", "ts", "event_id")

@@ -1,8 +1,7 @@
-"""The registered sources and how to add one."""
+"""The registered sources; a new one is an entry here and a parser of that name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +39,6 @@ SOURCES = [
     Source("Schatzkammer Werden", "https://www.schatzkammer-werden.de/", "html"),
 ]
 
-#: Parsers by source name: payload text and its URL to event records. Adding a source is one entry here and one above.
-PARSERS: dict[str, Callable[[str, str], list[dict]]] = {}
-
-
-def parser(name: str):
-    """Register a parser under the name of its source."""
-
-    def register(f):
-        PARSERS[name] = f
-        return f
-
-    return register
-
-
 def sources(spark: SparkSession) -> DataFrame:
     """The source dimension."""
     return spark.createDataFrame([(s.name, s.base_url, s.kind, True) for s in SOURCES], "source_name string, base_url string, source_type string, active boolean")
