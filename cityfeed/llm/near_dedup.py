@@ -42,6 +42,8 @@ from cityfeed.llm.rolling import chunks, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, PICKS = 16, 4
+#: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: A bucket of so few members is compared pair by pair, a larger one in blocks.
 SMALL = 8
 BLOCK = 512
@@ -290,7 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     keyed = sketched.join(chosen, ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut(keyed.join(shared, "key"), "buckets")
-    near = buckets.select("doc_id").distinct()
+    near = _ids(buckets)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(near, "doc_id")
     # where an id has several texts, the one that stands for it; equal rows give one
     texts = rows.groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")) if _has_repeats(sketched) else rows.select("doc_id", "text")
@@ -301,13 +303,19 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _ids(df: DataFrame) -> DataFrame:
+    """A table of distinct doc_ids, marked for broadcast if it is counted and small, so that texts needn't be dealt by id."""
+    ids = cut(df.select("doc_id").distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _has_repeats(sketched: DataFrame) -> bool:
     return not sketched.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one whose doc_id names it. Rows without doc_id stay."""
-    gone = classes(docs).where("doc_id <> class_id").select("doc_id")
+    gone = _ids(classes(docs).where("doc_id <> class_id"))
     out = docs.join(gone, "doc_id", "left_anti")
     again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
     if not again.isEmpty():
