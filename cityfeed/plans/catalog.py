@@ -646,3 +646,44 @@ def stream_upsert(spark, d):
     from cityfeed.streaming.upsert import upsert_stream
 
     return upsert_stream(spark, f"{d}/events.parquet", "user_id").select("user_id", "ts", "event_id")
+
+
+@query(
+    with_ev(
+        ", img AS (SELECT p_partkey AS pos, p_name AS label, 'https://i/' || p_partkey::VARCHAR AS url FROM part WHERE p_partkey % 40 = 0),"
+        " w AS (SELECT word, arg_min(url, pos) AS url FROM (SELECT pos, url, unnest(list_distinct(list_filter(string_split_regex(lower(label), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 4))) AS word FROM img) GROUP BY 1),"
+        " a AS (SELECT id, unnest(ws) AS word, unnest(range(len(ws))) AS nth FROM (SELECT id, list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 5) AS ws FROM ev)),"
+        " f AS (SELECT id, arg_min(url, nth) AS image_url FROM a JOIN w USING (word) GROUP BY 1) SELECT id, image_url FROM ev LEFT JOIN f USING (id)"
+    )
+)
+def image_words(spark, d):
+    from cityfeed.operators.enrich import attach_images
+
+    images = table(spark, d, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.concat(F.lit("https://i/"), F.col("p_partkey").cast("string")).alias("url"))
+    return attach_images(ev(spark, d).withColumn("image_url", F.lit(None).cast("string")), images).select("id", "image_url")
+
+
+@query(
+    "WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS v, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS a FROM customer),"
+    " q AS (SELECT id, 0 AS nth, v || ', ' || a AS query FROM c UNION ALL SELECT id, 1, v || ', Essen' FROM c UNION ALL SELECT id, 2, a || ', Essen' FROM c UNION ALL SELECT id, 3, v || ', Essen, Germany' FROM c),"
+    " p AS (SELECT c_name || ', Essen' AS query, c_acctbal AS lat FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT DISTINCT c_mktsegment || ', Essen', 1.0::DOUBLE FROM customer WHERE c_mktsegment < 'C')"
+    " SELECT id, arg_min(query, nth) AS query, arg_min(lat, nth) AS lat FROM q JOIN p USING (query) GROUP BY id"
+)
+def geocode_ladder(spark, d):
+    from cityfeed.operators.enrich import geocode_ladder as ladder
+
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    e = c.select(k.alias("id"), F.when(k % 3 > 0, F.col("c_name")).alias("venue_name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("address_text"), F.lit(None).cast("string").alias("city"))
+    by_name = c.where("c_custkey % 5 = 0").select(F.concat("c_name", F.lit(", Essen")).alias("query"), F.col("c_acctbal").alias("lat"))
+    by_street = c.where("c_mktsegment < 'C'").select(F.concat("c_mktsegment", F.lit(", Essen")).alias("query"), F.lit(1.0).alias("lat")).distinct()
+    places = by_name.union(by_street).withColumn("lon", F.col("lat"))
+    return ladder(e, places, "Essen").select("id", "query", "lat")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'error' ELSE CASE WHEN regexp_matches(url, '^[a-z]+://[^/]*/(de|fr)/') THEN 'disallowed' ELSE 'allowed' END END AS result FROM pages")
+def robots_check(spark, d):
+    from cityfeed.functions.robots import evaluate
+
+    status = F.element_at(F.array(F.lit(404), F.lit(500), F.lit(200), F.lit(200)), (F.col("page_id") % 4 + 1).cast("int"))
+    body = F.lit("User-agent: *\nDisallow: /de/\nDisallow: /fr/\n")
+    return table(spark, d, "pages").select("page_id", evaluate(status, body, F.col("url"), "cityfeed")["result"].alias("result"))
