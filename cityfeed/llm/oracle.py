@@ -28,7 +28,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 5 * n_symbols > n_words
     OR word_chars < 2 * n_words
     OR word_chars > 20 * n_words
-    OR 10 * n_dup_lines > 3 * n_lines
+    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
     OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars
     OR 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars
     OR (10 * (length(text) - length(replace(text, '...', '..'))) > 3 * n_lines AND n_lines >= 3)

@@ -101,7 +101,7 @@ RULES = [
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > word_chars"),
     Rule("letters", "2 * length(regexp_replace(text, '[^\\\\p{L}]', '')) < word_chars"),
     Rule("ellipses", "10 * (length(text) - length(replace(text, '...', '..'))) > 3 * n_lines AND n_lines >= 3"),
