@@ -25,7 +25,9 @@ def rows(df, cols):
     def plain(v):
         if v is None or pd.isna(v):
             return None
-        return v.item() if hasattr(v, "item") else v
+        v = v.item() if hasattr(v, "item") else v
+        # a column of integers with nulls comes as floats from one of the two
+        return float(v) if isinstance(v, int) and not isinstance(v, bool) else v
 
     return sorted(str(tuple(map(plain, r))) for r in df[cols].itertuples(index=False, name=None))
 
