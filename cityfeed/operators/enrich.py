@@ -45,3 +45,19 @@ def geocode_ladder(events: DataFrame, places: DataFrame, default_city: str) -> D
     asked = events.select("id", F.posexplode(place_queries(F.col("venue_name"), F.col("address_text"), F.col("city"), default_city)).alias("at", "query"))
     best = asked.join(places, "query").groupBy("id").agg(F.min(F.struct("at", "query", "lat", "lon")).alias("m"))
     return best.select("id", "m.query", "m.lat", "m.lon")
+
+
+def with_addresses(events: DataFrame, details: DataFrame) -> DataFrame:
+    """Addresses and towns from ``details(source_url, address)``; events of which the address is elsewhere go."""
+    from cityfeed.functions.geo import city_of, in_city
+
+    found = details.where(truthy(F.col("address"))).groupBy("source_url").agg(F.min("address").alias("found_address"))
+    out = events.join(found, "source_url", "left")
+    address = F.coalesce("found_address", "address_text")
+    out = out.withColumn("city", F.coalesce(city_of(F.col("found_address")), F.col("city"))).withColumn("address_text", address)
+    return out.where(F.col("found_address").isNull() | in_city(F.col("found_address"))).select(*events.columns)
+
+
+def toggle(favorites: Column, item: Column) -> Column:
+    """The list without the item if it held it, else with it at the end."""
+    return F.when(F.array_contains(favorites, item), F.array_remove(favorites, item)).otherwise(F.array_append(favorites, item))

@@ -239,3 +239,9 @@ def clusters(groups: DataFrame, degrees: float) -> DataFrame:
     """Points by grid cell: count and centre."""
     cell = [F.floor(F.col(c) / degrees).alias(f"cell_{c}") for c in ("lat", "lon")]
     return map_points(groups).groupBy(*cell).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+
+
+def page_ids(groups: DataFrame) -> DataFrame:
+    """The names of the detail pages: every id of a group or an occurrence, and the fallback page."""
+    ids = groups.select(F.explode(F.array_union(F.array("id"), F.transform("occurrences", lambda o: o["id"]))).alias("id")).select(F.col("id").cast("string").alias("page"))
+    return ids.distinct().union(groups.sparkSession.createDataFrame([("_",)], "page string"))

@@ -687,3 +687,30 @@ def robots_check(spark, d):
     status = F.element_at(F.array(F.lit(404), F.lit(500), F.lit(200), F.lit(200)), (F.col("page_id") % 4 + 1).cast("int"))
     body = F.lit("User-agent: *\nDisallow: /de/\nDisallow: /fr/\n")
     return table(spark, d, "pages").select("page_id", evaluate(status, body, F.col("url"), "cityfeed")["result"].alias("result"))
+
+
+@query(with_ev(f"SELECT id::VARCHAR AS page FROM ev WHERE {VISIBLE_SQL} UNION ALL SELECT '_'"))
+def page_ids(spark, d):
+    return search.page_ids(_groups(spark, d))
+
+
+@query(
+    f"WITH a AS (SELECT c_custkey AS id, {_ADDRESS} AS a FROM customer), d AS (SELECT * FROM a WHERE id % 3 <> 0), p AS (SELECT *, regexp_extract(a, '\\b([0-9]{{5}})\\b', 1) AS code FROM d)"
+    f" SELECT a.id, CASE WHEN p.id IS NOT NULL THEN p.a END AS address_text, coalesce(nullif(trim(regexp_extract(p.a, '[0-9]{{5}}\\s+([^,]+)$', 1)), ''), 'Essen') AS city FROM a LEFT JOIN p USING (id)"
+    f" WHERE p.id IS NULL OR code = '' OR code IN ({_CODES}) OR (code LIKE '45%' AND regexp_matches(p.a, '(?i)\\bEssen\\b'))"
+)
+def detail_addresses(spark, d):
+    from cityfeed.operators.enrich import with_addresses
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("https://d/"), F.col("c_custkey").cast("string")).alias("source_url"), F.expr(_ADDRESS).alias("address"))
+    events = c.select("id", "source_url", F.lit(None).cast("string").alias("address_text"), F.lit("Essen").alias("city"))
+    return with_addresses(events, c.where("id % 3 <> 0").select("source_url", "address")).select("id", "address_text", "city")
+
+
+@query("SELECT user_id, list_sort(CASE WHEN list_contains(l, 3) THEN list_filter(l, lambda x: x <> 3) ELSE list_append(l, 3) END)::VARCHAR AS favorites FROM (SELECT user_id, list_distinct(list(event_id % 7)) AS l FROM events GROUP BY 1)")
+def favorites_toggle(spark, d):
+    from cityfeed.operators.enrich import toggle
+
+    kept = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 7).alias("l"))
+    listed = F.array_join(F.transform(F.sort_array(toggle(F.col("l"), F.lit(3).cast("long"))), lambda x: x.cast("string")), ", ")
+    return kept.select("user_id", F.concat(F.lit("["), listed, F.lit("]")).alias("favorites"))
