@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LONG_PIECE = 96
-CHUNK_CHARS = 8 << 20
-MAX_PIECES = 800_000
+CHUNK_CHARS = 4 << 20
+MAX_PIECES = 250_000
 QUERY_PIECES = 50_000
 
 
@@ -123,7 +123,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.names = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("merges_in", merge_table(self.ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocabulary_in", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
@@ -132,7 +132,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.stretches = _Stretches(self.split)
-        self.done_pieces = self.done_stretches = 0
+        self.done_pieces = 0
         self.by_piece = [_Pool(np.uint32), _Pool(np.uint8)]
         self.by_stretch = [_Pool(np.uint32), _Pool(np.uint8)]
 
@@ -159,14 +159,14 @@ class Encoder:
         for k in range(0, len(new), QUERY_PIECES):
             for pool, (flat, n) in zip(self.by_piece, self._query([p.encode() for p in new[k : k + QUERY_PIECES]]), strict=True):
                 pool.add(flat, n)
-        lists = known.pieces[self.done_stretches :]
+        lists, known.pieces = known.pieces, []
         codes = np.fromiter(chain.from_iterable(lists), np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.repeat(np.arange(len(lists)), sizes)
         for pieces, stretches in zip(self.by_piece, self.by_stretch, strict=True):
             n = np.bincount(which, weights=pieces.sizes()[codes], minlength=len(lists)).astype(np.int64)
             stretches.add(pieces.gather(codes), n)
-        self.done_pieces, self.done_stretches = len(known.codes), len(known.pieces)
+        self.done_pieces = len(known.codes)
 
     def _query(self, pieces: list[bytes]):
         n = len(pieces)

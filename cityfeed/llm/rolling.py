@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
