@@ -136,6 +136,11 @@ class Encoder:
         self.by_piece = [_Pool(np.uint32), _Pool(np.uint8)]
         self.by_stretch = [_Pool(np.uint32), _Pool(np.uint8)]
 
+    def release(self) -> None:
+        """Give back what a partition has left behind; the worker may serve other stages next."""
+        self.forget()
+        pa.default_memory_pool().release_unused()
+
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of the stretches of a text.
 
@@ -271,6 +276,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(text.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=DIGEST_ARROW)
+        own.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
 
@@ -287,5 +293,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             rows = list(own.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i, _ in rows], IDS_ARROW.field(1).type), pa.array([t.tobytes() for _, t in rows], pa.binary())], schema=IDS_ARROW)
+        own.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, IDS)
