@@ -1,15 +1,15 @@
 """Cross-site boilerplate lines by distinct-site spread, in DataFrame operators only.
 
 A line, compared exactly, is boilerplate when it stands on at least
-``min_sites`` distinct sites (the ``source`` column) and is no part of copied
-text: between half and all of its occurrences have a pair of neighbouring
-lines of their own, where the lines of copied documents keep theirs. Lines of
-fewer than ``MIN_CHARS`` characters or ``MIN_WORDS`` words are left alone.
+``min_sites`` distinct sites (the ``source`` column) and in as many distinct
+texts, so that a document copied whole to many sites keeps its lines. What
+stands next to a line doesn't matter. Lines of fewer than ``MIN_CHARS``
+characters or ``MIN_WORDS`` words are left alone.
 
 Occurrences are counted by line hash first, since a line on n sites occurs n
-times at least. HyperLogLog sketches of sites and of neighbour pairs are then
-merged by aggregation for the lines that remain. Where an estimate is within
-``NEAR`` of a threshold, exact distinct counts decide.
+times at least. HyperLogLog sketches of sites and of texts are then merged
+by aggregation for the lines that remain. Where an estimate is within
+``NEAR`` of the threshold, exact distinct counts decide.
 
 Defined results: a null text has no lines and stays null; an empty text has
 one empty line and stays; a text whose lines all go becomes empty; the lines
@@ -37,11 +37,10 @@ def _counted(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, site, pos, h, g, near``: place, 128-bit hash and neighbour hash of every line that counts."""
+    """``doc_id, t, site, pos, h, g``: text hash, place and 128-bit hash of every line that counts."""
 
     def rows(lines: Column) -> Column:
-        near = lambda i: F.xxhash64(F.coalesce(F.get(lines, i - 1), F.lit("\n")), F.coalesce(F.get(lines, i + 1), F.lit("\n")))
-        each = F.transform(lines, lambda x, i: F.when(_counted(x), F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("g"), near(i).alias("near"))))
+        each = F.transform(lines, lambda x, i: F.when(_counted(x), F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("g"))))
         return F.filter(each, lambda x: x.isNotNull())
 
     found = docs.where("text is not null").select(
@@ -50,31 +49,28 @@ def line_hashes(docs: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("\n")).alias("site"),
         F.explode(let(_lines(F.col("text")), rows)).alias("x"),
     )
-    return found.select("doc_id", "t", "site", "x.pos", "x.h", "x.g", "x.near")
+    return found.select("doc_id", "t", "site", "x.pos", "x.h", "x.g")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``(h, g)`` of the lines that are cross-site boilerplate."""
     often = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites), "often")
-    busy = lines.join(often.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "near")
+    busy = lines.join(often.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "t")
     guess = busy.groupBy("h", "g").agg(
-        F.count("*").alias("n"),
         F.hll_sketch_estimate(F.hll_sketch_agg("site", 12)).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("near", 12)).alias("nears"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("t", 12)).alias("texts"),
     )
 
-    def close(value: str, to: Column) -> Column:
-        return F.col(value).between(to * (1 - NEAR) - 1, to * (1 + NEAR) + 1)
-
-    guess = guess.where((F.col("sites") >= min_sites * (1 - NEAR) - 1) & (F.col("nears") * 2 >= F.col("n") * (1 - NEAR) - 2))
-    guess = cut(guess.withColumn("unsure", close("sites", F.lit(min_sites)) | close("nears", F.col("n") / 2)), "guess")
+    low, high = min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1
+    guess = guess.where((F.col("sites") >= low) & (F.col("texts") >= low))
+    guess = cut(guess.withColumn("unsure", (F.col("sites") <= high) | (F.col("texts") <= high)), "guess")
     sure = guess.where("not unsure").select("h", "g")
-    unsure = lines.join(guess.where("unsure").select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "near")
+    unsure = lines.join(guess.where("unsure").select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "t")
     # distinct pairs first: each count is then a sum over rows dealt by more than the line
     sites = unsure.select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("sites"))
-    nears = unsure.select("h", "g", "near").distinct().groupBy("h", "g").agg(F.count("*").alias("nears"))
-    exact = guess.where("unsure").select("h", "g", "n").join(sites.where(F.col("sites") >= min_sites), ["h", "g"]).join(nears, ["h", "g"])
-    return sure.union(exact.where("2 * nears >= n").select("h", "g"))
+    texts = unsure.select("h", "g", "t").distinct().groupBy("h", "g").agg(F.count("*").alias("texts"))
+    exact = sites.where(F.col("sites") >= min_sites).join(texts.where(F.col("texts") >= min_sites), ["h", "g"])
+    return sure.union(exact.select("h", "g"))
 
 
 def mark(docs: DataFrame, gone: str, min_sites: int = MIN_SITES) -> DataFrame:
