@@ -264,7 +264,8 @@ def source_registry(spark, d):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), 1, 120).alias("line"), "text", "source")
+    """The whole text as a line; ``LINE`` and ``BROKEN`` of the SQL still cut it to 120 and 40 characters."""
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("line"), "text", "source")
 
 
 LINE = "line AS (SELECT doc_id, substr(replace(coalesce(text, ''), chr(10), ' '), 1, 120) AS line, text, source FROM documents)"
@@ -308,7 +309,7 @@ BROKEN = "CASE doc_id % 3 WHEN 0 THEN 'TAGESTIPP22Mo, 01. Jun | 19:00 ' WHEN 1 T
 
 @query(f"SELECT doc_id, regexp_matches({BROKEN}, '" + text.BROKEN_TITLE.replace("(?iu)", "(?i)") + "') AS broken FROM documents")
 def broken_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.is_broken_title(F.expr(BROKEN.replace("CASE doc_id % 3 WHEN", "CASE doc_id % 3 WHEN"))).alias("broken"))
+    return table(spark, d, "documents").select("doc_id", text.is_broken_title(F.concat(F.expr(BROKEN.rsplit(" || ", 1)[0]), F.coalesce("text", F.lit("")))).alias("broken"))
 
 
 @query("SELECT doc_id, substr(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')), 1, 500) AS key FROM documents")

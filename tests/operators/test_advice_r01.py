@@ -24,3 +24,17 @@ def test_every_event_has_its_siblings(spark):
         want[e.id] = (",".join(ids), len(ids))
     out = entry.queries()["event_siblings"](spark, D).collect()
     assert len(out) == len(events) and {r.event_id: (r.sibling_ids, r.n_siblings) for r in out} == want
+
+
+def test_titles_of_whole_texts(spark, tmp_path):
+    late = "word " * 40 + "a\u200bb der LAST"
+    other = "word " * 40 + "other"
+    broken = "x" * 50 + " TAGESTIPP22Mo, 01. Jun | 19:00"
+    rows = [(2, late, "s"), (3, other, "s"), (5, broken, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r.doc_id: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("title_sanitize")[2].title == "word " * 40 + "ab der LAST"
+    norm = run("title_norm")[2]
+    assert norm.grouping_key == norm.dedup_key == "word " * 40 + "ab last"
+    assert run("title_jaccard")[2].similarity == 0.25
+    assert [run("broken_titles")[k].broken for k in (2, 5)] == [False, True]
