@@ -8,8 +8,8 @@ once; a hit gives the words of the document, and so the characters of the
 original text, that a window covers.
 
 The benchmark is a stated set. Up to ``BLOCK_BYTES`` of it form one automaton;
-a larger one is scanned in blocks of that size, one pass per block, and the
-hits of all passes are merged per document.
+a larger one is scanned in blocks of that size, one pass per block over rows
+that have got keys of their own, and the hits of all passes are merged per row.
 
 Defined results: null texts and texts without words have no words and no hits;
 a null or wordless item has no window; two items may share windows, and both
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityfeed.llm.common import cut
+
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 
@@ -64,6 +66,17 @@ def _automaton(items: list[tuple[str, str]], window: int):
     return out
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan_words(automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged [first, last + 1) word ranges that windows cover, and the items that occur."""
     if not words or not len(automaton):
@@ -78,13 +91,7 @@ def scan_words(automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], se
         last = bisect_right(ends, at) - 1
         found.update(own)
         runs.append((last - n, last))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged, found
+    return merged(runs), found
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -113,10 +120,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield block
 
 
-HITS = "doc_id long, n_words long, runs array<struct<a:int,b:int>>, items array<string>, text_spans array<struct<a:int,b:int>>"
+HITS = "n_words long, runs array<struct<a:int,b:int>>, items array<string>, text_spans array<struct<a:int,b:int>>"
 HITS_ARROW = pa.schema(
     [
-        ("doc_id", pa.int64()),
         ("n_words", pa.int64()),
         ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
         ("items", pa.list_(pa.string())),
@@ -126,14 +132,16 @@ HITS_ARROW = pa.schema(
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
-    """One row per document: its number of words, hit word ranges, items, and the hit ranges in the original text."""
+    """One row per row of ``docs``, after its columns besides text: number of words, hit word ranges, items, and the hit ranges in the original text."""
+    keys = [c for c in docs.columns if c != "text"]
+    schema = pa.schema([pa.field(c, pa.int64()) for c in keys] + list(HITS_ARROW))
     shared = spark.sparkContext.broadcast(items)
 
     def scan(batches):
         own = shared.value
         automaton = _automaton(own, window)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(len(keys)).to_pylist()
             n, runs, names, spans = [], [], [], []
             for text in texts:
                 words = words_of(text)
@@ -143,39 +151,52 @@ def hits(spark: SparkSession, docs: DataFrame, items: list[tuple[str, str]], win
                 runs.append([{"a": a, "b": b} for a, b in got])
                 names.append(sorted({own[k][0] for k in found}))
                 spans.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in got])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, n, runs, names, spans), HITS_ARROW, strict=True)], schema=HITS_ARROW)
-
-    return docs.select("doc_id", "text").mapInArrow(scan, HITS)
+            found = [pa.array(c, f.type) for c, f in zip((n, runs, names, spans), HITS_ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *found], schema=schema)
+
+    return docs.select(*keys, "text").mapInArrow(scan, ", ".join([*(f"{c} long" for c in keys), HITS]))
+
+
+def _joined(batches):
+    """``doc_id`` and hits of rows that hold the lists of all passes."""
+    for batch in batches:
+        lists = [batch.column(k).to_pylist() for k in range(2, 5)]
+        runs, names, spans = [], [], []
+        for parts, items, texts in zip(*lists, strict=True):
+            places = {}
+            for part, text in zip(parts, texts, strict=True):
+                for r, t in zip(part, text, strict=True):
+                    places[r["a"], "a"], places[r["b"], "b"] = t["a"], t["b"]
+            got = merged([(r["a"], r["b"]) for part in parts for r in part])
+            runs.append([{"a": a, "b": b} for a, b in got])
+            names.append(sorted({x for part in items for x in part}))
+            spans.append([{"a": places[a, "a"], "b": places[b, "b"]} for a, b in got])
+        found = [pa.array(c, f.type) for c, f in zip((runs, names, spans), list(HITS_ARROW)[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], schema=pa.schema([pa.field("doc_id", pa.int64()), *HITS_ARROW]))
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, text_spans`` of every document.
+    """``doc_id, n_words, n_hit, items, text_spans`` of every row of ``docs``, whatever its ``doc_id``.
 
-    A benchmark of one block, the usual case, needs no shuffle. More blocks
-    are merged by ``doc_id``, so documents then have to have different ids.
+    A benchmark of one block, the usual case, needs no shuffle. For more
+    blocks the texts are written once with a key per row, and the hits are
+    merged by that key.
     """
     spark = docs.sparkSession
-    blocks = [hits(spark, docs, b, window) for b in _blocks(benchmark, block_bytes)] or [hits(spark, docs, [], window)]
-    if len(blocks) == 1:
-        out = blocks[0].select("doc_id", "n_words", "runs", "items", "text_spans")
+    docs, blocks = docs.select(F.col("doc_id").cast("long"), "text"), list(_blocks(benchmark, block_bytes))
+    if len(blocks) < 2:
+        out = hits(spark, docs, blocks[0] if blocks else [], window)
     else:
-        all_ = blocks[0]
-        for b in blocks[1:]:
-            all_ = all_.unionByName(b)
-        out = all_.groupBy("doc_id").agg(
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.flatten(F.collect_list("text_spans")).alias("text_spans"),
-        )
-    # ranges of one pass don't overlap; those of several may, so words are counted from the furthest end seen
-    step = F.aggregate(
-        F.array_sort("runs"),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], r["b"]).alias("upto")),
-        lambda s: s["n"].cast("long"),
-    )
-    return out.select("doc_id", "n_words", step.alias("n_hit"), "items", F.array_sort("text_spans").alias("text_spans"))
+        rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+        passes = [hits(spark, rows, b, window) for b in blocks]
+        all_ = passes[0]
+        for p in passes[1:]:
+            all_ = all_.unionByName(p)
+        # the ranges of one pass stay beside those of the original text
+        per_row = all_.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("runs", "items", "text_spans")).alias("p"))
+        out = per_row.select("doc_id", "n_words", "p.runs", "p.items", "p.text_spans").mapInArrow(_joined, "doc_id long, " + HITS)
+    n_hit = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "text_spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """What the first review found missing, each against the whole job."""
 
-from cityfeed.llm import line_dedup
+from cityfeed.llm import decontaminate, line_dedup
 
 
 def test_boilerplate_of_several_lines_goes(spark, docs):
@@ -11,3 +11,11 @@ def test_boilerplate_of_several_lines_goes(spark, docs):
     out = {r.doc_id: r.text for r in line_dedup.clean(docs(rows)).collect()}
     assert all(out[k] == f"page {k} has words\n\n\nand page {k} ends" for k in range(9))
     assert all(out[r[0]] == r[1] for r in rows[9:])
+
+
+def test_blocks_keep_every_row(spark, docs):
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(words[k : k + 12])) for k in range(0, 28, 7)], "item_id long, text string")
+    df = docs([(1, "x " + " ".join(words)), (1, "x " + " ".join(words)), (1, "clean"), (None, " ".join(words[:12])), (None, None), (None, "no hit")])
+    rows = lambda size: sorted(map(str, decontaminate.contaminated_words(df, bench, block_bytes=size).collect()))
+    assert len(rows(1 << 20)) == 6 and rows(30) == rows(1 << 20)
