@@ -1,5 +1,6 @@
 """What the first review found missing, each against the whole job."""
 
+import re
 from collections import defaultdict
 from datetime import datetime
 
@@ -38,3 +39,15 @@ def test_titles_of_whole_texts(spark, tmp_path):
     assert norm.grouping_key == norm.dedup_key == "word " * 40 + "ab last"
     assert run("title_jaccard")[2].similarity == 0.25
     assert [run("broken_titles")[k].broken for k in (2, 5)] == [False, True]
+
+
+def test_every_part_is_an_image(spark):
+    part = spark.read.parquet(f"{D}/part.parquet").select("p_partkey", "p_name").collect()
+    first = {}
+    for p in sorted(part):
+        for word in re.split(r"\W+", p.p_name.lower()):
+            if len(word) >= 4:
+                first.setdefault(word, f"https://i/{p.p_partkey}")
+    events = ev(spark, D).select("id", "title").collect()
+    want = {e.id: next((first[w] for w in re.split(r"\W+", e.title.lower()) if len(w) >= 5 and w in first), None) for e in events}
+    assert {r.id: r.image_url for r in entry.queries()["image_words"](spark, D).collect()} == want
