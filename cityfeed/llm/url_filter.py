@@ -57,28 +57,41 @@ def fitting_rule(host_: Column, path_: Column, rules) -> Column:
     return out
 
 
+def _without_dots(path_: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.regexp_replace(path_, r"/(\.\.?)$", "/$1/"), "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, 2, 1 << 20), F.array().cast("array<string>"), step), "/"))
+
+
 def _target(tag: Column, url: Column) -> Column:
     """The absolute form of a link target found on the page ``url``; null if there is none."""
     base = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^(.*?):", 1)
+    own, rest = F.regexp_extract(tag, r"^[^?#]*", 0), F.regexp_extract(tag, r"[?#].*$", 0)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(url), r"(?s)^/(.*/)", 1))
     return (
         F.when(tag == "", None)
         .when(tag.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), tag)
         .when(base == "", None)
         .when(tag.startswith("//"), F.concat(scheme, F.lit(":"), tag))
-        .when(tag.startswith("/"), F.concat(base, tag))
+        .when(tag.startswith("/"), F.concat(base, _without_dots(own), rest))
+        .when(tag.startswith("#") | tag.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(tag.startswith("?"), F.concat(base, path(url), tag))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, own)), rest))
     )
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` URLs from canonical links and refresh redirects in ``html``."""
-    canonical = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
+    rel = r"""(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
+    canonical = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*" + rel + "[^>]*>", 0)
     refresh = F.regexp_extract("html", r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     found = pages.where("url is not null and html is not null").select(
         "url",
         F.array(
             F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            F.regexp_extract(refresh, r"(?i)\burl\s*=\s*([^\"'\s>]+)", 1),
+            F.regexp_extract(refresh, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
         ).alias("tags"),
     )
     return found.select(F.col("url").alias("src"), F.explode("tags").alias("tag")).select("src", _target(F.col("tag"), F.col("src")).alias("dst")).where("dst is not null")

@@ -1,6 +1,6 @@
 """What the first review found missing, each against the whole job."""
 
-from cityfeed.llm import decontaminate, line_dedup
+from cityfeed.llm import decontaminate, line_dedup, url_filter
 
 
 def test_boilerplate_of_several_lines_goes(spark, docs):
@@ -19,3 +19,18 @@ def test_blocks_keep_every_row(spark, docs):
     df = docs([(1, "x " + " ".join(words)), (1, "x " + " ".join(words)), (1, "clean"), (None, " ".join(words[:12])), (None, None), (None, "no hit")])
     rows = lambda size: sorted(map(str, decontaminate.contaminated_words(df, bench, block_bytes=size).collect()))
     assert len(rows(1 << 20)) == 6 and rows(30) == rows(1 << 20)
+
+
+def test_links_of_every_form(spark):
+    link = '<link href="{}" rel="{}">'.format
+    site = "http://a.net/x/y/p?q=1"
+    forms = {
+        "page": "http://a.net/x/y/page", "../z": "http://a.net/x/z", "./": "http://a.net/x/y/", "..": "http://a.net/x/", "../../../r?k=..": "http://a.net/r?k=..",
+        "?id=1": "http://a.net/x/y/p?id=1", "/top": "http://a.net/top", "//b.net/c": "http://b.net/c", "https://b.net/c": "https://b.net/c", "#part": None, "mailto:x@b.net": None,
+    }
+    pages = [(k, site, link(t, "canonical")) for k, t in enumerate(forms)]
+    edges = lambda rows: sorted(r.dst for r in url_filter.page_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert edges(pages) == sorted(x for x in forms.values() if x)
+    assert edges([(1, "http://h.net", link("page", "canonical"))]) == ["http://h.net/page"]
+    assert edges([(1, site, link("/c", "alternate canonical")), (2, site, link("/d", "non-canonical"))]) == ["http://a.net/c"]
+    assert edges([(1, site, """<meta http-equiv="refresh" content="0; url='https://x/'">""")]) == ["https://x/"]
