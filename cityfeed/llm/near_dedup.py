@@ -3,7 +3,8 @@
 A text is the sequence of its five-word shingles, each labelled with how often
 it occurred before, so that labels are unique within a text. Each of ``BANDS``
 hash functions picks the ``PICKS`` shingles of least hash and keeps them in
-text order; texts with an equal pick, order included, are candidates. A
+text order; texts with an equal pick, order included, are candidates. So are
+texts of up to ``SHORT`` shingles that are equal when one shingle is left out. A
 candidate pair is a link if the longest common subsequence of the two
 sequences is 0.8 or more of their union, found within the band outside of
 which no pair of that similarity can match. Classes are the connected
@@ -42,6 +43,8 @@ from cityfeed.llm.rolling import chunks, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, PICKS = 16, 4
+#: Texts of so few shingles also meet by keys with one shingle left out.
+SHORT = 8
 #: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: A bucket of so few members is compared pair by pair, a larger one in blocks.
@@ -91,6 +94,18 @@ def picks(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def short_keys(s: np.ndarray) -> list[int]:
+    """Keys of a text of up to ``SHORT`` shingles: of all of it, and of all but each one.
+
+    Two such texts of similarity 0.8 differ by one inserted shingle if they
+    have under 8 in common, so the shorter one is the longer one without one.
+    """
+    if len(s) > SHORT:
+        return []
+    rest = [s] if len(s) < WORDS else [s, *(np.delete(s, k) for k in range(len(s)))]
+    return [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in rest]
+
+
 class Aligner:
     """Compares texts with one text."""
 
@@ -133,14 +148,14 @@ SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("k
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, keys``: the SHA-256 of the text and one key per band; no key without words."""
+    """``doc_id, text_key, keys``: the SHA-256 of the text, one key per band and those of short texts; no key without words."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
             at = 0
             for part in chunks(texts):
-                keys = [picks(s).tolist() if len(s) else [] for s in map(shingles, word_hashes(part))]
+                keys = [picks(s).tolist() + short_keys(s) if len(s) else [] for s in map(shingles, word_hashes(part))]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(part)), pa.array([hashlib.sha256(t).digest() for t in part], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     schema=SKETCH_ARROW,

@@ -1,6 +1,8 @@
 """What the first review found missing, each against the whole job."""
 
-from cityfeed.llm import decontaminate, line_dedup, url_filter
+import numpy as np
+
+from cityfeed.llm import decontaminate, line_dedup, near_dedup, url_filter
 
 
 def test_boilerplate_of_several_lines_goes(spark, docs):
@@ -34,3 +36,18 @@ def test_links_of_every_form(spark):
     assert edges([(1, "http://h.net", link("page", "canonical"))]) == ["http://h.net/page"]
     assert edges([(1, site, link("/c", "alternate canonical")), (2, site, link("/d", "non-canonical"))]) == ["http://a.net/c"]
     assert edges([(1, site, """<meta http-equiv="refresh" content="0; url='https://x/'">""")]) == ["https://x/"]
+
+
+def test_short_texts_always_meet():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        s = rng.integers(1, 1 << 63, 5, np.uint64)
+        for t in (s[1:], s[:-1], np.delete(s, 2)):
+            keys = [set(near_dedup.picks(x).tolist() + near_dedup.short_keys(x)) for x in (s, t)]
+            assert near_dedup.Aligner(s).similarity(t) == 0.8 and keys[0] & keys[1]
+
+
+def test_sketch_holds_short_keys(spark, docs):
+    words = "one two three four five six seven eight nine"
+    a, b = (r["keys"] for r in near_dedup.sketch(docs([(1, words), (2, words[: words.rindex(" ")])])).orderBy("doc_id").collect())
+    assert len(a) == near_dedup.BANDS + 6 and len(b) == near_dedup.BANDS + 1 and b[-1] in a[near_dedup.BANDS :]
