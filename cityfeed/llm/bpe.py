@@ -7,10 +7,15 @@ contracts each piece's leftmost pair of least rank and stops once no pair of
 neighbours has a rank. An ordered aggregation over the ids joined with the
 vocabulary decodes them. Documents are then put together from their pieces.
 
-Pieces of more than ``LONG_PIECE`` bytes would need as many rounds as they
-have bytes; they are merged with a heap, which contracts the same pairs in the
-same order. Memory is bounded by ``CHUNK_CHARS`` of text, ``MAX_PIECES`` of
-remembered pieces and one document.
+A piece of n bytes takes up to n rounds and n * n / 2 rows, so pieces of more
+than ``LONG_PIECE`` bytes are merged with a heap, which contracts the same
+pairs in the same order; they are decoded by the same query as the others.
+
+Memory is bounded by ``CHUNK_CHARS`` of text and one document, ``QUERY_ROWS``
+rows of a query, and ``KEPT`` and ``KEPT_CHARS`` of remembered pieces. What is
+remembered serves all partitions that a worker encodes, the pieces met most
+often outlive the others, and all is given up once the worker stops encoding.
+DuckDB may not write to the worker's disk.
 
 Defined results: a null text counts as empty and has no token. Special tokens
 in a text are ordinary text. Repeated rows are each encoded. Other columns are
@@ -23,17 +28,21 @@ import base64
 import hashlib
 import heapq
 import re
-from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-LONG_PIECE = 96
+from cityfeed.llm.common import Kept, map_arrow
+
+LONG_PIECE = 512
 CHUNK_CHARS = 4 << 20
-MAX_PIECES = 250_000
-QUERY_PIECES = 50_000
+#: Pieces and characters of pieces that a worker remembers between chunks.
+KEPT, KEPT_CHARS = 300_000, 4 << 20
+#: Rows that the rounds of one query may add up to.
+QUERY_ROWS = 3_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,27 +58,28 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "id": pa.array(i, pa.int32())})
 
 
+#: A token's place is its piece and its first byte in one number. The rounds of a piece end when it has no pair left.
 ENCODE = """
 CREATE OR REPLACE TEMP TABLE tokens AS
-WITH RECURSIVE t(n, piece, pos, id) AS (
-  SELECT 0, piece, pos, id FROM start_tokens
+WITH RECURSIVE t(n, place, id) AS (
+  SELECT 0, place, id FROM start_tokens
   UNION ALL
   (WITH near AS (
-    SELECT n, piece, pos, id, lead(id) OVER () AS next_id, lead(piece) OVER () AS next_piece, lag(pos) OVER () AS last_pos, lag(piece) OVER () AS last_piece
-    FROM (SELECT * FROM t ORDER BY piece, pos)
+    SELECT n, place, id, lead(id) OVER w AS next_id, lead(place) OVER w AS next_place, lag(place) OVER w AS last_place FROM t WINDOW w AS (ORDER BY place)
   ), best AS (
-    SELECT near.piece, min(merges.id::BIGINT * 65536 + near.pos) AS pick
+    SELECT place >> 32 AS piece, min((merges.id::BIGINT << 32) + (place & 4294967295)) AS pick
     FROM near JOIN merges ON near.id = merges.l AND near.next_id = merges.r
-    WHERE near.piece = next_piece GROUP BY near.piece
+    WHERE place >> 32 = next_place >> 32 GROUP BY piece
   )
-  SELECT n + 1, near.piece, pos, CASE WHEN pos = pick % 65536 THEN (pick // 65536)::INTEGER ELSE id END
-  FROM near JOIN best ON near.piece = best.piece
-  WHERE last_piece IS DISTINCT FROM near.piece OR last_pos <> pick % 65536)
+  SELECT n + 1, place, CASE WHEN place & 4294967295 = pick & 4294967295 THEN (pick >> 32)::INTEGER ELSE id END
+  FROM near JOIN best ON place >> 32 = piece
+  WHERE last_place IS DISTINCT FROM (piece << 32) + (pick & 4294967295))
 )
-SELECT piece, pos, id FROM t JOIN (SELECT piece, max(n) AS n FROM t GROUP BY piece) last USING (piece, n)
+SELECT place, id FROM t JOIN (SELECT place >> 32 AS piece, max(n) AS n FROM t GROUP BY piece) ended ON place >> 32 = piece AND t.n = ended.n
 """
+ADD_LONG = "INSERT INTO tokens SELECT place, id FROM long_tokens"
 DECODE = """
-SELECT piece, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece
+SELECT place >> 32 AS piece, count(*) AS n, unhex(string_agg(hex, '' ORDER BY place)) AS said FROM tokens JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece
 """
 
 
@@ -79,19 +89,6 @@ LOOSE_SPACE = re.compile(rf"\x20(?:[{SPACE}]|\Z)")
 SPLIT_SPACE = re.compile(rf"(?=\x20[^{SPACE}])")
 
 
-class _Stretches(dict):
-    """Stretch to its number. A key that starts with a space stands for the text after it, any other for the text with a space before it."""
-
-    def __init__(self, split):
-        self.split, self.pieces, self.codes = split, [], {}
-
-    def __missing__(self, key: str) -> int:
-        codes = self.codes
-        self.pieces.append([codes.setdefault(p, len(codes)) for p in self.split(key[1:] if key[:1] == " " else " " + key)])
-        self[key] = out = len(self)
-        return out
-
-
 class _Pool:
     """Values of numbered things, one after the other."""
 
@@ -103,14 +100,49 @@ class _Pool:
         self.flat, self.n = np.concatenate((self.flat, flat)), np.concatenate((self.n, n))
         self.at = np.cumsum(self.n) - self.n
 
-    def sizes(self) -> np.ndarray:
-        return self.n
-
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """The values of the things ``numbers``, in that order."""
         n = self.n[numbers]
         return self.flat[np.repeat(self.at[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
+    def keep(self, numbers: np.ndarray) -> None:
+        self.flat = self.gather(numbers)
+        self.n = self.n[numbers]
+        self.at = np.cumsum(self.n) - self.n
+
+
+class _Known(dict):
+    """Texts to their numbers, with the ids and the decoded bytes of each, and how often each was met."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.met = np.zeros(0, np.int64)
+        self.ids, self.said = _Pool(np.uint32), _Pool(np.uint8)
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = out = len(self)
+        return out
+
+    def count(self, numbers: np.ndarray) -> None:
+        if len(self.met) < len(self):
+            self.met = np.concatenate((self.met, np.zeros(len(self) - len(self.met), np.int64)))
+        self.met += np.bincount(numbers, minlength=len(self))
+
+    def forget(self) -> None:
+        """Beyond the bounds, keep the half of them that was met most often; older meetings count less."""
+        if len(self) <= KEPT and len(self.said.flat) <= KEPT_CHARS:
+            return
+        order = np.argsort(-self.met, kind="stable")
+        fits = np.cumsum(self.said.n[order]) <= KEPT_CHARS // 2
+        stay = np.sort(order[: KEPT // 2][fits[: KEPT // 2]])
+        names = list(self)
+        self.clear()
+        self.update((names[k], i) for i, k in enumerate(stay.tolist()))
+        self.met = self.met[stay] // 2
+        self.ids.keep(stay)
+        self.said.keep(stay)
+
 
 class Encoder:
     """Encodes distinct pieces in DuckDB and remembers them."""
@@ -122,24 +154,17 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.names = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("merges_in", merge_table(self.ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.register("vocabulary_in", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
-        self.forget()
+        for name in ("merges_in", "vocabulary_in"):
+            self.db.unregister(name)
+        self.pieces, self.stretches = _Known(), _Known()
 
-    def forget(self) -> None:
-        self.stretches = _Stretches(self.split)
-        self.done_pieces = 0
-        self.by_piece = [_Pool(np.uint32), _Pool(np.uint8)]
-        self.by_stretch = [_Pool(np.uint32), _Pool(np.uint8)]
-
-    def release(self) -> None:
-        """Give back what a partition has left behind; the worker may serve other stages next."""
-        self.forget()
-        pa.default_memory_pool().release_unused()
+    def close(self) -> None:
+        self.db.close()
 
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of the stretches of a text.
@@ -158,53 +183,49 @@ class Encoder:
         return np.fromiter(map(self.stretches.__getitem__, rest), np.int64, len(rest))
 
     def learn(self) -> None:
-        """Encode and decode what has a number but no ids yet."""
-        known = self.stretches
-        new = list(islice(known.codes, self.done_pieces, None))
-        for k in range(0, len(new), QUERY_PIECES):
-            for pool, (flat, n) in zip(self.by_piece, self._query([p.encode() for p in new[k : k + QUERY_PIECES]]), strict=True):
-                pool.add(flat, n)
-        lists, known.pieces = known.pieces, []
+        """Encode and decode the stretches that have a number but no ids yet."""
+        known, pieces = self.stretches, self.pieces
+        # a stretch that starts with a space stands for the text after it, any other for the text with a space before it
+        lists = [[pieces[p] for p in self.split(x[1:] if x[:1] == " " else " " + x)] for x in known.new]
+        new, pieces.new, known.new = [p.encode() for p in pieces.new], [], []
+        lo, rows = 0, 0
+        for k, p in enumerate(new):
+            rows += len(p) * len(p) // 2 if len(p) <= LONG_PIECE else len(p)
+            if rows >= QUERY_ROWS or k == len(new) - 1:
+                self._query(new[lo : k + 1])
+                lo, rows = k + 1, 0
         codes = np.fromiter(chain.from_iterable(lists), np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.repeat(np.arange(len(lists)), sizes)
-        for pieces, stretches in zip(self.by_piece, self.by_stretch, strict=True):
-            n = np.bincount(which, weights=pieces.sizes()[codes], minlength=len(lists)).astype(np.int64)
-            stretches.add(pieces.gather(codes), n)
-        self.done_pieces = len(known.codes)
-
-    def _query(self, pieces: list[bytes]):
-        n = len(pieces)
-        long = {k: self._merge(p) for k, p in enumerate(pieces) if len(p) > LONG_PIECE}
-        sizes = np.array([0 if k in long else len(p) for k, p in enumerate(pieces)], np.int64)
-        flat = np.frombuffer(b"".join(p for k, p in enumerate(pieces) if k not in long), np.uint8)
+        pieces.count(codes)
+        for of_pieces, of_stretches in ((pieces.ids, known.ids), (pieces.said, known.said)):
+            n = np.bincount(which, weights=of_pieces.n[codes], minlength=len(lists)).astype(np.int64)
+            of_stretches.add(of_pieces.gather(codes), n)
+
+    def _query(self, pieces: list[bytes]) -> None:
+        """Add the ids of pieces, which may not be empty, and what they decode to."""
+        sizes = np.array([len(p) if len(p) <= LONG_PIECE else 0 for p in pieces], np.int64)
+        flat = np.frombuffer(b"".join(p for p in pieces if len(p) <= LONG_PIECE), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        start_tokens = pa.table(
-            {
-                "piece": pa.array(np.repeat(np.arange(n, dtype=np.int32), sizes)),
-                "pos": pa.array((np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.int32)),
-                "id": pa.array(self.single[flat]),
-            }
-        )
-        self.db.register("start_tokens", start_tokens)
-        self.db.execute(ENCODE)
-        got = self.db.execute("SELECT piece, id FROM tokens ORDER BY piece, pos").fetchnumpy()
-        said = self.db.execute(DECODE).fetchall()
-        self.db.unregister("start_tokens")
-        counts = np.bincount(got["piece"], minlength=n).astype(np.int64)
-        decoded: list[bytes] = [b""] * n
-        for piece, text in said:
-            decoded[piece] = bytes.fromhex(text)
-        ids = np.asarray(got["id"]).astype(np.uint32)
-        if long:
-            own = np.split(ids, np.cumsum(counts)[:-1])
-            for k, found in long.items():
-                own[k] = np.array(found, np.uint32)
-                counts[k] = len(found)
-                decoded[k] = b"".join(self.names[i] for i in found)
-            ids = np.concatenate(own)
-        return (ids, counts), (np.frombuffer(b"".join(decoded), np.uint8), np.array([len(d) for d in decoded], np.int64))
-
+        places = np.repeat(np.arange(len(pieces), dtype=np.int64) << 32, sizes) + np.arange(len(flat)) - np.repeat(starts, sizes)
+        self._run(ENCODE, start_tokens=(places, self.single[flat]))
+        for k, p in enumerate(pieces):
+            if len(p) > LONG_PIECE:
+                ids = np.array(self._merge(p), np.int32)
+                self._run(ADD_LONG, long_tokens=(np.arange(len(ids), dtype=np.int64) + (k << 32), ids))
+        ids = self.db.execute("SELECT id FROM tokens ORDER BY place").fetchnumpy()["id"]
+        decoded = self.db.sql(DECODE).to_arrow_table()
+        said = decoded.column("said").combine_chunks()
+        lengths = pc.binary_length(said).to_numpy().astype(np.int64)
+        self.pieces.ids.add(np.asarray(ids).astype(np.uint32), decoded.column("n").to_numpy().astype(np.int64))
+        self.pieces.said.add(np.frombuffer(b"".join(said.to_pylist()), np.uint8), lengths)
+
+    def _run(self, sql: str, **tables) -> None:
+        for name, (place, id_) in tables.items():
+            self.db.register(name, pa.table({"place": pa.array(place, pa.int64()), "id": pa.array(id_, pa.int32())}))
+        self.db.execute(sql)
+        for name in tables:
+            self.db.unregister(name)
     def _merge(self, piece: bytes) -> list[int]:
         """Ids of a long piece: the pair of least rank first, leftmost among equals."""
         n, ranks = len(piece), self.ranks
@@ -246,18 +267,23 @@ class Encoder:
         yield from self._finish(chunk)
 
     def _finish(self, chunk: list[np.ndarray]):
+        if not chunk:
+            return
+        known = self.stretches
         self.learn()
-        ids, text = self.by_stretch
+        known.count(np.concatenate(chunk))
         for numbers in chunk:
-            yield ids.gather(numbers), text.gather(numbers)
-        if len(self.stretches) > MAX_PIECES:
-            self.forget()
+            yield known.ids.gather(numbers), known.said.gather(numbers)
+        known.forget()
+        self.pieces.forget()
+
+
+_ENCODERS = Kept(Encoder)
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(path, pattern)
+def encoder(path: str, pattern: str):
+    """The one encoder of this Python worker, to be used in a ``with`` block."""
+    return _ENCODERS.use(path, pattern)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -268,17 +294,16 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of tokens and the digests of the ids and of the decoded bytes."""
 
     def run(batches):
-        own = encoder(path, pattern)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids, text in own.encode(batch.column(1).to_pylist()):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(text.tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=DIGEST_ARROW)
-        own.release()
+        with encoder(path, pattern) as own:
+            for batch in batches:
+                n, ids_sha, text_sha = [], [], []
+                for ids, text in own.encode(batch.column(1).to_pylist()):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    text_sha.append(hashlib.sha256(text.tobytes()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=DIGEST_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return map_arrow(docs.select("doc_id", "text"), run, DIGEST)
 
 
 IDS = "doc_id long, ids array<int>, decoded binary"
@@ -289,10 +314,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded``: the token ids of every text and the bytes they decode to."""
 
     def run(batches):
-        own = encoder(path, pattern)
-        for batch in batches:
-            rows = list(own.encode(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i, _ in rows], IDS_ARROW.field(1).type), pa.array([t.tobytes() for _, t in rows], pa.binary())], schema=IDS_ARROW)
-        own.release()
+        with encoder(path, pattern) as own:
+            for batch in batches:
+                rows = list(own.encode(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i, _ in rows], IDS_ARROW.field(1).type), pa.array([t.tobytes() for _, t in rows], pa.binary())], schema=IDS_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, IDS)
+    return map_arrow(docs.select("doc_id", "text"), run, IDS)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +70,67 @@ def drop_cut(df: DataFrame) -> None:
 def hex_sha256(text: Column) -> Column:
     """Lowercase hex SHA-256 of a string or binary column."""
     return F.sha2(text, 256)
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; idle workers of earlier stages then don't count."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, whose workers give back at the end of a partition what it has left behind."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+class Kept:
+    """A costly object that a Python worker keeps from partition to partition.
+
+    It is closed once it has not been used for ``seconds``, so a worker that
+    goes on to another stage, or idles, doesn't hold it.
+    """
+
+    def __init__(self, make: Callable, seconds: float = 2.0):
+        self.make, self.seconds = make, seconds
+        self.lock, self.users, self.key, self.value, self.timer = threading.Lock(), 0, None, None, None
+
+    @contextmanager
+    def use(self, *key):
+        with self.lock:
+            self.users += 1
+            if self.timer:
+                self.timer.cancel()
+            if self.key != key:
+                self._close()
+                self.key, self.value = key, self.make(*key)
+            value = self.value
+        try:
+            yield value
+        finally:
+            with self.lock:
+                self.users -= 1
+                self.timer = threading.Timer(self.seconds, self._idle)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _idle(self) -> None:
+        with self.lock:
+            if not self.users:
+                self._close()
+
+    def _close(self) -> None:
+        if self.value is not None:
+            if hasattr(self.value, "close"):
+                self.value.close()
+            self.key = self.value = None
+            give_back()

@@ -176,9 +176,9 @@ def test_bpe_equals_tiktoken(spark, docs):
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_bpe_any_text(text):
-    encoder = bpe.encoder(RANKS, public_tokenizers.PATTERN)
     own = _tiktoken()
-    ((ids, data),) = encoder.encode([text])
+    with bpe.encoder(RANKS, public_tokenizers.PATTERN) as encoder:
+        ((ids, data),) = encoder.encode([text])
     assert ids.tolist() == own.encode_ordinary(text) and data.tobytes() == text.encode()
 
 
