@@ -278,12 +278,12 @@ class Encoder:
         self.pieces.forget()
 
 
-_ENCODERS = Kept(Encoder)
+_ENCODERS = Kept()
 
 
 def encoder(path: str, pattern: str):
     """The one encoder of this Python worker, to be used in a ``with`` block."""
-    return _ENCODERS.use(path, pattern)
+    return _ENCODERS.use((path, pattern), lambda: Encoder(path, pattern))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

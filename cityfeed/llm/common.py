@@ -100,19 +100,20 @@ class Kept:
     goes on to another stage, or idles, doesn't hold it.
     """
 
-    def __init__(self, make: Callable, seconds: float = 2.0):
-        self.make, self.seconds = make, seconds
+    def __init__(self, seconds: float = 2.0):
+        self.seconds = seconds
         self.lock, self.users, self.key, self.value, self.timer = threading.Lock(), 0, None, None, None
 
     @contextmanager
-    def use(self, *key):
+    def use(self, key, make: Callable):
+        """The object for ``key``, made anew if another one is kept."""
         with self.lock:
             self.users += 1
             if self.timer:
                 self.timer.cancel()
             if self.key != key:
                 self._close()
-                self.key, self.value = key, self.make(*key)
+                self.key, self.value = key, make()
             value = self.value
         try:
             yield value

@@ -2,35 +2,43 @@
 
 Words are runs of ASCII letters, digits and any non-ASCII characters after
 A-Z has been lower-cased. A window is ten consecutive words of a benchmark
-item, or the whole item if it has fewer. All windows go into one automaton;
-each document is normalised to its words joined by single spaces and scanned
-once; a hit gives the words of the document, and so the characters of the
-original text, that a window covers.
-
-The benchmark is a stated set. Up to ``BLOCK_BYTES`` of it form one automaton;
-a larger one is scanned in blocks of that size, one pass per block over rows
-that have got keys of their own, and the hits of all passes are merged per row.
+item, or the whole item if it has fewer. The distinct words of the benchmark
+are numbered, and all windows go into one automaton over these numbers, two
+nodes for a word instead of one for each of its bytes. Each document is
+normalised to the numbers of its words and scanned once, where enough known
+words follow each other; a hit gives the words of the document, and so the
+characters of the original text, that a window covers.
+
+The benchmark is a stated set. Up to ``BLOCK_NODES`` nodes of it, more than any
+usual benchmark has, form one automaton, which a worker keeps from partition to
+partition. A larger one is dealt into blocks of that size: a worker gathers
+``BUFFER_CHARS`` of text, passes them through one block after the other and
+holds one automaton at a time. Every row of documents gives one row whatever
+the number of blocks, and nothing is shuffled.
 
 Defined results: null texts and texts without words have no words and no hits;
 a null or wordless item has no window; two items may share windows, and both
 then count. Repeated rows of documents are each scanned. Items that repeat an
-item_id count once. Other columns are ignored.
+item_id count once. Other columns are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
 
-import hashlib
-from bisect import bisect_right
-from itertools import accumulate
+import re
+import uuid
+from itertools import repeat
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut
+from cityfeed.llm.common import Kept, map_arrow
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: About 100 bytes each.
+BLOCK_NODES = 2_000_000
+BUFFER_CHARS = 32 << 20
 
 #: A-Z to a-z; ASCII letters, digits and bytes of other characters stay, the rest become spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -41,29 +49,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TABLE).split()
 
 
-def windows_of(text: str | None, window: int = WINDOW) -> list[bytes]:
-    """Every window of an item, between single spaces."""
-    w = words_of(text)
-    if not w:
-        return []
-    return [b" " + b" ".join(w[k : k + window]) + b" " for k in range(max(1, len(w) - window + 1))]
-
-
-def _automaton(items: list[tuple[str, str]], window: int):
-    """Automaton over all windows; a match gives (number of words, places of its items)."""
-    import ahocorasick
-
-    owners: dict[bytes, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        for x in windows_of(text, window):
-            owners.setdefault(x, set()).add(k)
-    out = ahocorasick.Automaton()
-    for x, own in owners.items():
-        # one character per byte, so that offsets are byte offsets
-        out.add_word(x.decode("latin-1"), (x.count(b" ") - 1, sorted(own)))
-    if owners:
-        out.make_automaton()
-    return out
+def windows_of(words: list, window: int = WINDOW) -> list[tuple]:
+    """Every window of an item."""
+    return [tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))] if words else []
+
+
+class Matcher:
+    """One automaton over all windows of some items."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        """``items`` are ids and normalised words between spaces."""
+        import ahocorasick
+
+        self.items = items
+        texts = [text.split() for _, text in items]
+        vocabulary = list(dict.fromkeys(w for t in texts for w in t))
+        # a number is written as two characters of two alphabets, since an automaton tries the branches of a node one by one
+        base = isqrt(len(vocabulary)) + 1
+        self.names = {w: chr(1 + k // base) + chr(2 + base + k % base) for k, w in enumerate(vocabulary)}
+        owners: dict[str, set[int]] = {}
+        for k, t in enumerate(texts):
+            for x in windows_of([self.names[w] for w in t], window):
+                owners.setdefault("".join(x), set()).add(k)
+        self.automaton = ahocorasick.Automaton()
+        for x, own in owners.items():
+            self.automaton.add_word(x, (len(x) // 2, sorted(own)))
+        if owners:
+            self.automaton.make_automaton()
+            # stretches of known words; no window is shorter
+            self.known = re.compile("[^\0]{%d,}" % min(map(len, owners)))
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged [first, last + 1) word ranges that windows cover, and the ids of the items that occur."""
+        if not words or not self.names:
+            return [], set()
+        line = "".join(map(self.names.get, words, repeat("\0\0")))
+        runs: list[tuple[int, int]] = []
+        found: set[int] = set()
+        for m in self.known.finditer(line):
+            for at, (n, own) in self.automaton.iter(line, *m.span()):
+                found.update(own)
+                runs.append(((at + 1) // 2 - n, (at + 1) // 2))
+        return merged(runs), {self.items[k][0] for k in found}
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,23 +104,6 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_words(automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged [first, last + 1) word ranges that windows cover, and the items that occur."""
-    if not words or not len(automaton):
-        return [], set()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    runs: list[tuple[int, int]] = []
-    found: set[int] = set()
-    ends = None
-    for at, (n, own) in automaton.iter(line):
-        if ends is None:
-            ends = list(accumulate((len(w) + 1 for w in words), initial=0))  # place of the space after word k: ends[k + 1]
-        last = bisect_right(ends, at) - 1
-        found.update(own)
-        runs.append((last - n, last))
-    return merged(runs), found
-
-
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """[start, end) code points of every word in the original text."""
     out, start = [], None
@@ -107,96 +117,89 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
     return out + ([(start, len(text))] if start is not None else [])
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Items in blocks of about ``block_bytes`` of text, read partition by partition."""
+def _parts(text: str | None, nodes: int, window: int):
+    """The words of an item, a long one in parts that hold all its windows."""
+    words = words_of(text)
+    step = max(1, nodes // (2 * window))
+    for k in range(0, max(1, len(words) - window + 1), step):
+        yield words[k : k + step + window - 1]
+
+
+def _blocks(benchmark: DataFrame, nodes: int, window: int):
+    """Items in blocks that make ``nodes`` nodes at most; read partition by partition."""
     block, size = [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").toLocalIterator():
-        if text and block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item_id, text or ""))
-        size += len(text or "")
+        for words in _parts(text, nodes, window):
+            need = 2 * (len(words) if len(words) < window else window * (len(words) - window + 1))
+            if block and size + need > nodes:
+                yield block
+                block, size = [], 0
+            block.append((item_id, b" ".join(words)))
+            size += need
     if block:
         yield block
 
 
-HITS = "n_words long, runs array<struct<a:int,b:int>>, items array<string>, text_spans array<struct<a:int,b:int>>"
-HITS_ARROW = pa.schema(
-    [
-        ("n_words", pa.int64()),
-        ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-        ("items", pa.list_(pa.string())),
-        ("text_spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-    ]
-)
+_MATCHERS = Kept()
 
 
-def hits(spark: SparkSession, docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``, after its columns besides text: number of words, hit word ranges, items, and the hit ranges in the original text."""
-    keys = [c for c in docs.columns if c != "text"]
-    schema = pa.schema([pa.field(c, pa.int64()) for c in keys] + list(HITS_ARROW))
-    shared = spark.sparkContext.broadcast(items)
+def matcher(key, make):
+    """The one automaton that this Python worker keeps, to be used in a ``with`` block."""
+    return _MATCHERS.use(key, make)
 
-    def scan(batches):
-        own = shared.value
-        automaton = _automaton(own, window)
+
+def _scanned(batches, blocks: list, column: int, window: int):
+    """``(batch, hits)`` with one ``(words, runs, items)`` per row, of all blocks together."""
+
+    def waiting():
+        now, size = [], 0
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
-            n, runs, names, spans = [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                got, found = scan_words(automaton, words)
-                at = word_offsets(text) if got else []
-                n.append(len(words))
-                runs.append([{"a": a, "b": b} for a, b in got])
-                names.append(sorted({own[k][0] for k in found}))
-                spans.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in got])
-            found = [pa.array(c, f.type) for c, f in zip((n, runs, names, spans), HITS_ARROW, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *found], schema=schema)
-
-    return docs.select(*keys, "text").mapInArrow(scan, ", ".join([*(f"{c} long" for c in keys), HITS]))
-
-
-def _joined(batches):
-    """``doc_id`` and hits of rows that hold the lists of all passes."""
-    for batch in batches:
-        lists = [batch.column(k).to_pylist() for k in range(2, 5)]
-        runs, names, spans = [], [], []
-        for parts, items, texts in zip(*lists, strict=True):
-            places = {}
-            for part, text in zip(parts, texts, strict=True):
-                for r, t in zip(part, text, strict=True):
-                    places[r["a"], "a"], places[r["b"], "b"] = t["a"], t["b"]
-            got = merged([(r["a"], r["b"]) for part in parts for r in part])
-            runs.append([{"a": a, "b": b} for a, b in got])
-            names.append(sorted({x for part in items for x in part}))
-            spans.append([{"a": places[a, "a"], "b": places[b, "b"]} for a, b in got])
-        found = [pa.array(c, f.type) for c, f in zip((runs, names, spans), list(HITS_ARROW)[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], schema=pa.schema([pa.field("doc_id", pa.int64()), *HITS_ARROW]))
-
-
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, text_spans`` of every row of ``docs``, whatever its ``doc_id``.
-
-    A benchmark of one block, the usual case, needs no shuffle. For more
-    blocks the texts are written once with a key per row, and the hits are
-    merged by that key.
-    """
-    spark = docs.sparkSession
-    docs, blocks = docs.select(F.col("doc_id").cast("long"), "text"), list(_blocks(benchmark, block_bytes))
-    if len(blocks) < 2:
-        out = hits(spark, docs, blocks[0] if blocks else [], window)
-    else:
-        rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-        passes = [hits(spark, rows, b, window) for b in blocks]
-        all_ = passes[0]
-        for p in passes[1:]:
-            all_ = all_.unionByName(p)
-        # the ranges of one pass stay beside those of the original text
-        per_row = all_.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("runs", "items", "text_spans")).alias("p"))
-        out = per_row.select("doc_id", "n_words", "p.runs", "p.items", "p.text_spans").mapInArrow(_joined, "doc_id long, " + HITS)
-    n_hit = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "text_spans")
+            now.append(batch)
+            size += batch.column(column).nbytes
+            if len(blocks) < 2 or size >= BUFFER_CHARS:
+                yield now
+                now, size = [], 0
+        if now:
+            yield now
+
+    for some in waiting():
+        found: list[list] = [[(0, [], set())] * b.num_rows for b in some]
+        for shared in blocks:
+            key, items = shared.value
+            with matcher((key, window), lambda items=items: Matcher(items, window)) as own:
+                for batch, rows in zip(some, found, strict=True):
+                    for at, text in enumerate(batch.column(column).to_pylist()):
+                        words = words_of(text)
+                        runs, names = own.scan(words)
+                        rows[at] = (len(words), merged(rows[at][1] + runs), rows[at][2] | names) if runs else (len(words), *rows[at][1:])
+            if len(blocks) > 1:  # a worker holds the text of one block at a time
+                vars(shared).pop("_value", None)
+        yield from zip(some, found, strict=True)
+
+
+HITS = "n_words long, n_hit long, items array<string>, text_spans array<struct<a:int,b:int>>"
+HITS_ARROW = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("text_spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+
+
+def _shared(spark: SparkSession, benchmark: DataFrame, nodes: int, window: int) -> list:
+    """One broadcast per block, each bounded by ``nodes``; at least one."""
+    return [spark.sparkContext.broadcast((uuid.uuid4().hex, block)) for block in _blocks(benchmark, nodes, window)] or [spark.sparkContext.broadcast(("", []))]
+
+
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, text_spans`` of every row of ``docs``, whatever its ``doc_id``."""
+    blocks = _shared(docs.sparkSession, benchmark, block_nodes, window)
+
+    def scan(batches):
+        for batch, rows in _scanned(batches, blocks, 1, window):
+            spans = []
+            for text, (_, runs, _) in zip(batch.column(1).to_pylist(), rows, strict=True):
+                at = word_offsets(text) if runs else []
+                spans.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in runs])
+            cols = ([n for n, _, _ in rows], [sum(b - a for a, b in runs) for _, runs, _ in rows], [sorted(items) for _, _, items in rows], spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, HITS_ARROW, strict=True))], schema=pa.schema([pa.field("doc_id", pa.int64()), *HITS_ARROW]))
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), scan, "doc_id long, " + HITS)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,29 +215,16 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """``docs`` without the rows in which a window occurs; the columns stay.
 
     The verdict is made inside the scan and no row is shuffled. A null text
     has no words and stays.
     """
-    spark = docs.sparkSession
-    for block in _blocks(benchmark, BLOCK_BYTES):
-        docs = _without(spark, docs, block, window)
-    return docs
-
-
-def _without(spark: SparkSession, docs: DataFrame, items, window: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(items)
-    place = docs.columns.index("text")
+    blocks, place = _shared(docs.sparkSession, benchmark, block_nodes, window), docs.columns.index("text")
 
     def keep(batches):
-        automaton = _automaton(shared.value, window)
-        for batch in batches:
-            yield batch.filter(pa.array([not scan_words(automaton, words_of(t))[1] for t in batch.column(place).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
-
+        for batch, rows in _scanned(batches, blocks, place, window):
+            yield batch.filter(pa.array([not items for _, _, items in rows], pa.bool_()))
 
-def sha256_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return map_arrow(docs, keep, docs.schema)

@@ -19,7 +19,7 @@ def test_blocks_keep_every_row(spark, docs):
     words = [f"w{k}" for k in range(40)]
     bench = spark.createDataFrame([(k, " ".join(words[k : k + 12])) for k in range(0, 28, 7)], "item_id long, text string")
     df = docs([(1, "x " + " ".join(words)), (1, "x " + " ".join(words)), (1, "clean"), (None, " ".join(words[:12])), (None, None), (None, "no hit")])
-    rows = lambda size: sorted(map(str, decontaminate.contaminated_words(df, bench, block_bytes=size).collect()))
+    rows = lambda size: sorted(map(str, decontaminate.contaminated_words(df, bench, block_nodes=size).collect()))
     assert len(rows(1 << 20)) == 6 and rows(30) == rows(1 << 20)
 
 

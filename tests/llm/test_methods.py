@@ -269,7 +269,7 @@ def test_decontamination_in_blocks(spark):
     docs, bench = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/benchmark.parquet")
     cols = ["doc_id", "n_words", "n_hit", "items"]
     one = decontaminate.contaminated_words(docs, bench).select(*cols).toPandas().sort_values("doc_id").reset_index(drop=True)
-    many = decontaminate.contaminated_words(docs, bench, block_bytes=2000).select(*cols).toPandas().sort_values("doc_id").reset_index(drop=True)
+    many = decontaminate.contaminated_words(docs, bench, block_nodes=2000).select(*cols).toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(one.assign(items=one["items"].map(list)), many.assign(items=many["items"].map(list)))
     hit = set(one[one.n_hit > 0].doc_id)
     assert hit and {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(one.doc_id) - hit
