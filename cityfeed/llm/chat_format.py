@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityfeed.llm.common import map_arrow
+
 ESCAPE = "\\"
 
 
@@ -167,7 +169,7 @@ def format_turns(conversations: DataFrame, template: Template = DEFAULT) -> Data
                 seq += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, seqs, roles, valid, segments), SEGMENTS_ARROW, strict=True)], schema=SEGMENTS_ARROW)
 
-    return _in_order(conversations).mapInArrow(run, SEGMENTS)
+    return map_arrow(_in_order(conversations), run, SEGMENTS)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_out_of_order long"
@@ -232,4 +234,4 @@ def read_back(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
         if reader:
             yield out([(now, *reader.row())])
 
-    return turns.mapInArrow(run, DIGEST)
+    return map_arrow(turns, run, DIGEST)

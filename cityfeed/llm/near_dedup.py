@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut
+from cityfeed.llm.common import cut, map_arrow
 from cityfeed.llm.components import components
 from cityfeed.llm.rolling import chunks, mix, word_hashes
 
@@ -162,7 +162,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SKETCH)
+    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), run, SKETCH)
 
 
 LINKS = "a long, b long, similarity double"
@@ -191,7 +191,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     at += 1
             yield _link_batch(found)
 
-    return rows.mapInArrow(run, LINKS)
+    return map_arrow(rows, run, LINKS)
 
 
 class _Block:
@@ -268,7 +268,7 @@ def _compare_blocks(buckets: DataFrame, texts: DataFrame) -> DataFrame:
                     at += 1
             yield _link_batch(found)
 
-    return dealt.mapInArrow(run, LINKS)
+    return map_arrow(dealt, run, LINKS)
 
 
 def _link_batch(found: list[tuple]) -> pa.RecordBatch:

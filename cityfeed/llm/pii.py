@@ -18,6 +18,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cityfeed.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 60
@@ -153,4 +155,4 @@ def _batches(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans, all spans and their scores, one row per row of ``doc_id, text``."""
-    return docs.select("doc_id", "text").mapInArrow(_batches, OUT_DDL)
+    return map_arrow(docs.select("doc_id", "text"), _batches, OUT_DDL)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut
+from cityfeed.llm.common import cut, map_arrow
 
 MAX_FIT = 20_000
 N_FEATURES = 256
@@ -154,7 +154,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["fold", "y", "x"])
 
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
-    return texts.select(fold.alias("fold"), "y", "text").mapInArrow(run, "fold int, y double, x array<double>")
+    return map_arrow(texts.select(fold.alias("fold"), "y", "text"), run, "fold int, y double, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model | None:
@@ -210,7 +210,7 @@ def _scored(docs: DataFrame, model: Model | None, schema: str, keep):
             texts = batch.column(place).to_pylist()
             yield keep(batch, np.full(len(texts), 0.5) if own is None else np.clip(own.score(_table(texts)), 0, 1))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -65,9 +65,17 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """The hashes of the words of each text, in order."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = SPACES[data]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    hashes = stretch_hashes(prefix_sums(data), starts, ends)
+    starts, hashes = [], []
+    lo = 0
+    while lo < len(data):  # slices that end with a blank; a hash doesn't depend on where its word stands
+        hi = min(lo + CHUNK_BYTES, len(data))
+        while not SPACES[data[hi - 1]]:
+            more = np.flatnonzero(SPACES[data[hi : hi + CHUNK_BYTES]])
+            hi = hi + int(more[0]) + 1 if len(more) else min(hi + CHUNK_BYTES, len(data))
+        part = data[lo:hi]
+        edge = np.flatnonzero(np.diff(SPACES[part], prepend=True))
+        hashes.append(stretch_hashes(prefix_sums(part), edge[::2], edge[1::2]))
+        starts.append(edge[::2] + lo)
+        lo = hi
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return np.split(hashes, np.searchsorted(starts, bounds)[:-1])
+    return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), bounds)[:-1])
