@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by suffix order and longest previous factors.
+"""Removal of long repeated byte strings by longest-previous-factor arrays.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts
 elsewhere: anywhere else, or, with ``keep_first``, earlier by doc_id and
@@ -7,21 +7,29 @@ place. Strings never cross documents and are judged on the input.
 A suffix array of a whole corpus has no place on one machine, and only
 suffixes that agree in ``LENGTH`` bytes matter. Every string of that length
 therefore names an anchor, its 64-byte gram of least hash; equal strings name
-equal anchors at equal offsets. Anchors that occur once are dropped, and the
+equal anchors at equal distances. Anchors that occur once are dropped, and the
 stretches that name one of the others meet by anchor, each string in one
-place only. There the strings whose hash repeats are sorted by their bytes
-into suffix order, cut at ``LENGTH``, equal ones by place. In this order the
-previous smaller position of a string with a common prefix of ``LENGTH`` bytes
-is its neighbour, which gives the longest previous factor; the next neighbour
-gives a later match. See ``longest_previous_factors`` for the general form.
-
-A stretch that occurs often is kept twice, with the places of all. Anchors with
-more than ``HOT`` stretches don't go to one task: their strings are counted by
-a 128-bit hash in an aggregation dealt by string.
+place only.
+
+The suffixes of a group that start as far before their anchor and agree up to
+it are in the order of what follows from the anchor on. In this suffix order
+the common prefixes of neighbours, and for each suffix the previous and the
+next one with a smaller position, give its longest previous factor and where
+that occurs. A string goes if the factor has ``LENGTH`` bytes or more; without
+``keep_first`` the earlier occurrence goes too, and so all of them. Going
+further from the anchor, the order and the factors change only where the
+bytes before it differ, so they are found once per branch and not per byte.
+
+Equal stretches of a document are one with several places, and equal ones of
+a group are compared once. Anchors of more than ``HOT`` documents don't go to
+one task: their strings are dealt one by one, by a 128-bit hash of all their
+bytes, so that a suffix order holds equal strings alone, whose previous smaller
+position is their least place. That is an aggregation with partial sums.
 
 Defined results: a null text counts as empty, a text shorter than ``LENGTH``
 bytes has nothing to remove, and repeated rows are copies of each other. Rows
-are told apart by doc_id and text, so null and repeated doc_ids do no harm.
+are told apart by doc_id and text: with ``keep_first``, rows alike in both are
+one document, which keeps what no other has before. A null doc_id comes last.
 Other columns are ignored.
 """
 
@@ -34,45 +42,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut
+from cityfeed.llm.common import cut, map_arrow
 from cityfeed.llm.rolling import CHUNK_BYTES, prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 400, 64
+#: Documents whose stretches of one anchor meet in one task.
 HOT = 30_000
-#: Strings that are sorted at a time; all equal ones are among the same.
-SORTED = 50_000
 
 _PLACE = (1 << 24) - 1
 
 
-def longest_previous_factors(text: bytes) -> list[int]:
-    """For every position the length of the longest match that starts earlier.
+def previous_factors(order: list[int], lcp: list[int]) -> tuple[list[int], list[int]]:
+    """Longest previous factors from a suffix order.
 
-    The suffix array is scanned once with a stack: the previous and the next
-    smaller position in suffix order are the only earlier starts that can give
-    the longest match, and its length is the least common prefix in between.
+    ``order`` has the positions in suffix order and ``lcp[r]`` the common
+    prefix of ``order[r - 1]`` and ``order[r]``, with ``lcp[0]`` 0. For every
+    rank: the length of the longest match with a smaller position, and the
+    rank of that position, -1 for none. The previous and the next smaller
+    position in suffix order are the only candidates, and the common prefix
+    with them is the least one in between.
     """
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while max(a, b) + k < n and text[a + k] == text[b + k]:
-            k += 1
-        return k
-
-    lcp = [0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)]
-    out = [0] * n
-    for ranks in (range(n), range(n - 1, -1, -1)):
-        stack: list[tuple[int, int]] = []  # position, common prefix with the entry below
-        for r in ranks:
-            # common prefix with the suffix looked at before
-            reach = lcp[r] if ranks.step == 1 else (lcp[r + 1] if r + 1 < n else 0)
-            while stack and stack[-1][0] > order[r]:
-                reach = min(reach, stack.pop()[1])
-            if stack:
-                out[order[r]] = max(out[order[r]], reach)
-            stack.append((order[r], reach))
+    n = len(order)
+    length, source = [0] * n, [-1] * n
+    stack: list[tuple[int, int]] = []  # rank, common prefix with the entry below
+    for r in range(n):
+        reach = lcp[r]
+        while stack and order[stack[-1][0]] > order[r]:
+            top, below = stack.pop()
+            if reach > length[top]:  # order[r] is the next smaller position of what goes
+                length[top], source[top] = reach, r
+            reach = min(reach, below)
+        if stack:  # what stays on top is the previous smaller position
+            length[r], source[r] = reach, stack[-1][0]
+        stack.append((r, reach))
+    return length, source
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    """Number of bytes in which two strings agree from the start."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def longest_previous_factors(text: bytes) -> list[int]:
+    """For every position the length of the longest match that starts earlier."""
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    lcp = [0] + [common_prefix(text[a:], text[b:]) for a, b in zip(order, order[1:], strict=False)]
+    out = [0] * len(text)
+    for at, length in zip(order, previous_factors(order, lcp)[0], strict=True):
+        out[at] = length
     return out
 
 
@@ -109,192 +128,226 @@ def anchors(text: bytes):
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-ANCHORS = "doc_id long, t long, h long, place int, first int, n int"
+ANCHORS = "doc_id long, t long, h long, spots array<struct<place:int,first:int,n:int>>"
+_SPOT = pa.struct([("place", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+_ANCHOR_ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("h", pa.int64()), ("spots", pa.list_(_SPOT))])
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """A row for each text and anchor of it, with all places of the anchor."""
+
+    def rows(doc, t, h, place, first, n):
+        order = np.argsort(h, kind="stable")
+        h, spots = h[order], [pa.array(c[order], pa.int32()) for c in (place, first, n)]
+        edge = np.flatnonzero(np.diff(h, prepend=h[0] - 1 if len(h) else 0))
+        spots = pa.ListArray.from_arrays(pa.array(np.append(edge, len(h)), pa.int32()), pa.StructArray.from_arrays(spots, fields=list(_SPOT)))
+        return pa.RecordBatch.from_arrays([pa.array([doc] * len(edge), pa.int64()), pa.array([t] * len(edge), pa.int64()), pa.array(h[edge], pa.int64()), spots], schema=_ANCHOR_ARROW)
+
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], [], [], []]
+            made, size = [], 0
             for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h, place, first, n = anchors(text.encode())
-                for into, x in zip(rows, ([doc] * len(h), [t] * len(h), h, place, first, n), strict=True):
-                    into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            flat = [[x for part in r for x in part] if k == 0 else np.concatenate([np.asarray(p, np.int64) for p in r]) if r else [] for k, r in enumerate(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=["doc_id", "t", "h", "place", "first", "n"])
+                found = anchors(text.encode())
+                if len(found[0]):
+                    made.append(rows(doc, t, *found))
+                    size += len(found[0])
+                if size > 100_000:
+                    yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+                    made, size = [], 0
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+    return map_arrow(docs, run, ANCHORS)
+
 
-    return docs.mapInArrow(run, ANCHORS)
+STRETCHES = "h long, doc_id long, t long, offset int, places array<int>, body binary"
+_STRETCH_ARROW = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("offset", pa.int32()), ("places", pa.list_(pa.int32())), ("body", pa.binary())])
+BATCH_BYTES = 8 << 20
 
 
-STRETCHES = "h long, hot boolean, doc_id long, t long, place int, first int, n int, body binary"
-_STRETCH_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-_STRETCH_NAMES = ["h", "hot", "doc_id", "t", "place", "first", "n", "body"]
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _stretch_rows(marked: DataFrame) -> DataFrame:
-    """A row for each repeated anchor of ``doc_id, t, text, own``: the bytes of all strings that name it."""
+    """A row for each repeated anchor of ``doc_id, t, text, own`` and each different stretch: the bytes of all strings that name it, and the places of the anchor."""
 
     def run(batches):
         for batch in batches:
             rows, size = [], 0
             for doc, t, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
-                for a in own:
-                    body = data[a["first"] : a["first"] + a["n"] + LENGTH - 1]
-                    rows.append((a["h"], a["hot"], doc, t, a["place"], a["first"], a["n"], body))
-                    size += len(body)
-                    if size > 16 << 20:
-                        yield _arrow(rows)
+                for anchor in own:
+                    alike: dict[tuple[int, bytes], list[int]] = {}
+                    for spot in anchor["spots"]:
+                        body = data[spot["first"] : spot["first"] + spot["n"] + LENGTH - 1]
+                        alike.setdefault((spot["place"] - spot["first"], body), []).append(spot["place"])
+                    for (offset, body), places in alike.items():
+                        rows.append((anchor["h"], doc, t, offset, places, body))
+                        size += len(body) + 4 * len(places)
+                    if size > BATCH_BYTES:
+                        yield _batch(rows, _STRETCH_ARROW)
                         rows, size = [], 0
-            yield _arrow(rows)
+            yield _batch(rows, _STRETCH_ARROW)
 
-    def _arrow(rows):
-        cols = zip(*rows, strict=True) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _STRETCH_KINDS, strict=True)], names=_STRETCH_NAMES)
-
-    return marked.mapInArrow(run, STRETCHES)
+    return map_arrow(marked, run, STRETCHES)
 
 
 class _Group:
     """The stretches of one anchor."""
 
     def __init__(self):
-        self.body: dict[bytes, list[int]] = {}  # body and offset of its strings to its rows
-        self.rows: list[tuple] = []
+        #: what precedes the anchor and what follows from it on, to the texts that have it
+        self.texts: dict[tuple[bytes, bytes], list[tuple]] = {}
 
-    def add(self, doc, t, place, first, n, body) -> None:
-        key = body + (place - first).to_bytes(4, "big")
-        self.body.setdefault(key, []).append(len(self.rows))
-        self.rows.append((doc, t, first, n))
+    def add(self, doc, t, offset, places, body) -> None:
+        self.texts.setdefault((body[:offset], body[offset:]), []).append((doc is None, doc or 0, t, places))
 
     def spans(self, keep_first: bool):
         """``(doc, t, start, end)`` of what goes."""
-        if len(self.rows) < 2:
+        members = []  # (left, right, least place, all places)
+        for (left, right), texts in self.texts.items():
+            spots = [(none, doc, t, place) for none, doc, t, places in texts for place in places]
+            if keep_first:
+                spots = sorted(set(spots))
+            members.append((left, right, min(spots), spots))
+        self.texts = {}
+        if len(members) == 1 and len(members[0][3]) < 2:
             return
-        bodies, owners = [], []  # each stretch once, or twice if it occurs again
-        for key, rows in self.body.items():
-            rows.sort(key=lambda r: (self.rows[r][0] is None, self.rows[r][0], self.rows[r][1], self.rows[r][2]))
-            for k, row in enumerate(rows[:2]):
-                bodies.append(key[:-4])
-                owners.append((row, rows[k:] if k else [row], int.from_bytes(key[-4:], "big")))
-        marks = self._repeated(bodies, owners, keep_first)
-        for (_, rows, _), mark in zip(owners, marks, strict=True):
-            if mark is None:
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0]))))
-            for row in rows:
-                doc, t, first, _ = self.rows[row]
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    yield doc, t, first + a, first + b - 1 + LENGTH
-
-    def _repeated(self, bodies, owners, keep_first):
-        """For each stretch the marks of its strings that go, or None."""
-        sizes = np.array([len(b) - LENGTH + 1 for b in bodies])
-        which = np.repeat(np.arange(len(bodies)), sizes)
-        start = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        base = np.cumsum([0] + [len(b) for b in bodies[:-1]])
-        at = base[which] + start
-        hashes = np.empty(len(at), np.uint64)
-        bound = np.cumsum(sizes)
-        for lo in range(0, len(bodies), 4096):  # hashes of a few stretches at a time
-            hi = min(lo + 4096, len(bodies))
-            own = slice(bound[lo] - sizes[lo], bound[hi - 1])
-            part = data[base[lo] : base[hi - 1] + len(bodies[hi - 1])]
-            hashes[own] = stretch_hashes(prefix_sums(part), at[own] - base[lo], at[own] - base[lo] + LENGTH)
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
-        again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        chosen = order[again]
-        goes = np.zeros(len(at), bool)
-        if len(chosen):
-            ends = np.flatnonzero(np.concatenate((hashes[chosen][1:] != hashes[chosen][:-1], [True]))) + 1
-            text, lo = data.tobytes(), 0
-            places = [self._place(r) for r, _, _ in owners]
-            for k, hi in enumerate(ends.tolist()):
-                if hi - lo >= SORTED or k == len(ends) - 1:
-                    self._sort(text, chosen[lo:hi], at, which, start, places, goes, keep_first)
-                    lo = hi
-        return [m if m.any() else None for m in np.split(goes, bound[:-1])]
-
-    def _place(self, row: int):
-        doc, t, first, _ = self.rows[row]
-        return (doc is None, doc or 0, t, first)
+        members.sort(key=lambda m: m[1])  # the suffix order
+        goes: list[list[tuple[int, int]]] = [[] for _ in members]
+        if len(members) > 1:
+            self._factors(members, goes, keep_first)
+        for (left, right, first, spots), ranges in zip(members, goes, strict=True):
+            whole = (max(0, LENGTH - len(right)), len(left))
+            for spot in spots:
+                none, doc, t, place = spot
+                again = len(spots) > 1 and (not keep_first or spot != first)
+                for low, high in [whole] if again else ranges:
+                    yield None if none else doc, t, place - high, place - low + LENGTH
 
     @staticmethod
-    def _sort(text, chosen, at, which, start, places, goes, keep_first):
-        """Suffix order, cut at ``LENGTH``, of the chosen strings, and what their neighbours say."""
-        rank = {p: k for k, p in enumerate(sorted(set(places)))}
-        first_at = np.array([rank[p] for p in places])
-        chosen = chosen[np.lexsort((start[chosen], first_at[which[chosen]]))]  # by place, so that a stable sort leaves equal strings in that order
-        keys = [text[a : a + LENGTH] for a in at[chosen].tolist()]
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        lcp_full = np.fromiter((keys[a] == keys[b] for a, b in zip(order, order[1:], strict=False)), bool, max(len(order) - 1, 0))
-        previous = np.concatenate(([False], lcp_full))
-        following = np.concatenate((lcp_full, [False]))
-        goes[chosen[np.array(order)]] = previous if keep_first else previous | following
+    def _factors(members, goes, keep_first: bool) -> None:
+        """For each member the distances before the anchor, in ranges, from which a string starts that goes."""
+        lefts = [m[0][::-1] for m in members]
+        rank = {k: r for r, k in enumerate(sorted(range(len(members)), key=lambda k: members[k][2]))}
+        lcp = [0] + [common_prefix(a[1], b[1]) for a, b in zip(members, members[1:], strict=False)]
+        todo = [(list(range(len(members))), lcp, 0)]  # suffix order, common prefixes, distance from which on the bytes to the left are new
+        while todo:
+            order, lcp, near = todo.pop()
+            shared = lefts[order[0]]
+            far = min(common_prefix(shared, lefts[k]) for k in order[1:])  # up to here all agree
+            length, source = previous_factors([rank[k] for k in order], lcp)
+            for r, k in enumerate(order):
+                low = max(near, LENGTH - length[r])
+                if source[r] >= 0 and low <= far:  # a factor from here has its length and the way to the anchor
+                    goes[k].append((low, far))
+                    if not keep_first:
+                        goes[order[source[r]]].append((low, far))
+            branches: dict[int, tuple[list[int], list[int]]] = {}
+            least: dict[int, int] = {}  # common prefix since the last member of a branch
+            for r, k in enumerate(order):
+                for c in least:
+                    least[c] = min(least[c], lcp[r])
+                if len(lefts[k]) <= far:
+                    continue
+                c = lefts[k][far]
+                own, own_lcp = branches.setdefault(c, ([], []))
+                own_lcp.append(least.get(c, 0))
+                own.append(k)
+                least[c] = LENGTH * 4
+            for own, own_lcp in branches.values():
+                most = max(len(lefts[k]) for k in own)
+                cut_at = [r for r in range(len(own)) if r == 0 or own_lcp[r] + most < LENGTH] + [len(own)]
+                for a, b in zip(cut_at, cut_at[1:], strict=False):  # no factor reaches over a cut
+                    if b - a > 1:
+                        todo.append((own[a:b], [0, *own_lcp[a + 1 : b]], far + 1))
 
 
 SPANS = "doc_id long, t long, a int, b int"
+_SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
-def _grouped_spans(stretches: DataFrame, keep_first: bool) -> DataFrame:
+def _grouped_spans(marked: DataFrame, keep_first: bool) -> DataFrame:
     def run(batches):
-        now, group = None, None
+        now, group, found = None, None, []
 
-        def arrow(rows):
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "t", "a", "b"])
+        def full():
+            nonlocal found
+            out, found = _batch(found, _SPAN_ARROW), []
+            return out
 
         for batch in batches:
-            found = []
-            h, doc, t, place, first, n, body = (batch.column(k).to_pylist() for k in range(7))
-            for k, key in enumerate(h):
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if key != now:
                     if group:
                         found.extend(group.spans(keep_first))
+                        if len(found) > 100_000:
+                            yield full()
                     now, group = key, _Group()
-                group.add(doc[k], t[k], place[k], first[k], n[k], body[k])
-            yield arrow(found)
+                group.add(*row)
         if group:
-            yield arrow(list(group.spans(keep_first)))
+            found.extend(group.spans(keep_first))
+        yield full()
 
-    cold = stretches.where("not hot").select("h", "doc_id", "t", "place", "first", "n", "body")
-    return cold.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    cold = _stretch_rows(_only(marked, hot=False))
+    return map_arrow(cold.repartition("h").sortWithinPartitions("h"), run, SPANS)
 
 
-def _hot_spans(stretches: DataFrame, keep_first: bool) -> DataFrame:
-    """The strings of hot anchors, each counted by its hash."""
+def _only(marked: DataFrame, hot: bool) -> DataFrame:
+    """The texts that have hot, or other, anchors, with these alone."""
+    own = F.filter("own", lambda x: x["hot"] == F.lit(hot))
+    return marked.select("doc_id", "t", "text", own.alias("own")).where(F.size("own") > 0)
 
-    def run(batches):
-        for batch in batches:
-            for doc, t, first, n, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                keys = [hashlib.blake2b(body[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(range(first, first + n), pa.int32())], names=["k", "doc_id", "t", "a"])
 
-    each = stretches.where("hot").select("doc_id", "t", "first", "n", "body").mapInArrow(run, "k binary, doc_id long, t long, a int")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "t", "a")
-    twice = each.groupBy("k").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
-    out = each.join(twice, "k")
-    if keep_first:
-        out = out.where(~place.eqNullSafe(F.col("least")))
-    return out.select("doc_id", "t", "a", (F.col("a") + LENGTH).alias("b"))
+def _hot_spans(marked: DataFrame, keep_first: bool) -> DataFrame:
+    """The strings of hot anchors, each in a group with its equals."""
+    each_arrow = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.int32()))])
+
+    def strings(batches):
+        for batch in batches:
+            for doc, t, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data, at = text.encode(), {}
+                for spot in (s for anchor in own for s in anchor["spots"]):
+                    for a in range(spot["first"], spot["first"] + spot["n"]):
+                        at.setdefault(hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest(), []).append(a)
+                yield _batch([(k, doc, t, sorted(places)) for k, places in at.items()], each_arrow)
+
+    def ranges(batches):
+        """Starts of a text that go, those that overlap in one range."""
+        for batch in batches:
+            found = []
+            for doc, t, at, kept in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for a in at:
+                    if a == kept:
+                        continue
+                    if found and found[-1][:2] == (doc, t) and found[-1][2] <= a <= found[-1][3]:
+                        found[-1] = (doc, t, found[-1][2], a + LENGTH)
+                    else:
+                        found.append((doc, t, a, a + LENGTH))
+            yield _batch(found, _SPAN_ARROW)
+
+    each = map_arrow(_only(marked, hot=True), strings, "k binary, doc_id long, t long, at array<int>")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("t").alias("text"), F.get("at", F.lit(0)).alias("a"))
+    twice = each.groupBy("k").agg(F.sum(F.size("at")).alias("n"), F.min(place).alias("least")).where("n > 1")
+    is_first = F.lit(keep_first) & F.col("doc_id").eqNullSafe(F.col("least.doc")) & (F.col("t") == F.col("least.text"))
+    out = each.join(twice, "k").select("doc_id", "t", "at", F.when(is_first, F.col("least.a")).alias("kept"))
+    return map_arrow(out, ranges, SPANS)
 
 
 def repeated_spans(docs: DataFrame, keep_first: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, t, text)`` of every row and ``(doc_id, t, a, b)``: byte ranges that go, which may overlap."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     named = cut(_anchor_rows(rows), "anchors")
-    twice = named.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h", (F.col("rows") > hot).alias("hot"))
-    own = named.join(twice, "h").groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "hot", "place", "first", "n")).alias("own"))
+    twice = named.groupBy("h").agg(F.sum(F.size("spots")).alias("places"), F.count("*").alias("texts")).where("places > 1")
+    twice = cut(twice.select("h", (F.col("texts") > hot).alias("hot")), "repeated")
+    own = named.join(twice, "h").groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "hot", "spots")).alias("own"))
     own = own.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "own")
     marked = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "own")
-    stretches = _stretch_rows(marked)
-    spans = _grouped_spans(stretches, keep_first)
-    if not named.groupBy("h").count().where(F.col("count") > hot).isEmpty():
-        spans = spans.union(_hot_spans(stretches, keep_first))
+    spans = _grouped_spans(marked, keep_first)
+    if not twice.where("hot").isEmpty():
+        spans = spans.union(_hot_spans(marked, keep_first))
     return rows, spans
 
 
@@ -335,7 +388,7 @@ def report(docs: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(*repeated_spans(docs)).mapInArrow(run, DIGEST)
+    return map_arrow(_with_spans(*repeated_spans(docs)), run, DIGEST)
 
 
 def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
@@ -346,4 +399,4 @@ def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
             kept = [_removed(t.encode(), s)[0] for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
-    return _with_spans(*repeated_spans(docs, keep_first)).mapInArrow(run, "doc_id long, kept binary")
+    return map_arrow(_with_spans(*repeated_spans(docs, keep_first)), run, "doc_id long, kept binary")

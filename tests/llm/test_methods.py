@@ -317,3 +317,30 @@ def test_url_aliases(spark):
     ]
     out = {r.page_id: (r.verdict, r.by_alias) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {1: ("block", True), 2: ("block", True), 3: ("allow", True), 4: ("block", False), 5: ("allow", False), 6: ("block", True)}
+
+
+def in_process_spans(texts, keep_first):
+    """Bytes left by the anchor groups of ``suffix_dedup``, without Spark."""
+    groups, marks = defaultdict(suffix_dedup._Group), [bytearray(len(t)) for t in texts]
+    for doc, t in enumerate(texts):
+        for h, place, first, n in zip(*(c.tolist() for c in suffix_dedup.anchors(t)), strict=True):
+            groups[h].add(doc, 0, place - first, [place], t[first : first + n + suffix_dedup.LENGTH - 1])
+    for g in groups.values():
+        for doc, _, a, b in g.spans(keep_first):
+            assert 0 <= a < b <= len(texts[doc])
+            marks[doc][a:b] = b"\1" * (b - a)
+    return [bytes(c for c, x in zip(t, m, strict=True) if not x) for t, m in zip(texts, marks, strict=True)]
+
+
+PIECES = st.lists(st.sampled_from([b"abcabcabcabc", b"the quick brown fox jumps", b"aaaaaaaaaaaaaaaa", b"x", b"yz", b"lorem ipsum dolor sit", b"q"]), max_size=9).map(b"".join)
+
+
+@given(st.lists(PIECES, max_size=7), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_factors_of_groups(texts, keep_first):
+    old = suffix_dedup.LENGTH, suffix_dedup.GRAM
+    suffix_dedup.LENGTH, suffix_dedup.GRAM = 14, 4
+    try:
+        assert in_process_spans(texts, keep_first) == reference_spans(texts, 14, keep_first)
+    finally:
+        suffix_dedup.LENGTH, suffix_dedup.GRAM = old
