@@ -95,11 +95,10 @@ FROM o GROUP BY conv_id
 OP8 = r"""
 WITH d AS (SELECT doc_id, text, coalesce(source, chr(10)) AS site, string_split(text, chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT doc_id, site, p, lines[p] AS line, coalesce(CASE WHEN p > 1 THEN lines[p - 1] END, chr(10)) AS a, coalesce(lines[p + 1], chr(10)) AS b
-  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM d WHERE text IS NOT NULL)
+  SELECT doc_id, site, p, lines[p] AS line, text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS p FROM d WHERE text IS NOT NULL)
 ), bad AS (
   SELECT line FROM l WHERE length(line) >= 20 AND regexp_matches(line, '[^ \t\r]+[ \t]+[^ \t\r]+[ \t]+[^ \t\r]')
-  GROUP BY line HAVING count(DISTINCT site) >= 8 AND 2 * count(DISTINCT (a, b)) >= count(*)
+  GROUP BY line HAVING count(DISTINCT site) >= 8 AND count(DISTINCT md5(text)) >= 8
 ), k AS (
   SELECT doc_id, count(*) AS n, count(bad.line) AS gone, coalesce(string_agg(l.line, chr(10) ORDER BY p) FILTER (bad.line IS NULL), '') AS rest
   FROM l LEFT JOIN bad USING (line) GROUP BY doc_id
