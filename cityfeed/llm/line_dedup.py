@@ -7,9 +7,10 @@ stands next to a line doesn't matter. Lines of fewer than ``MIN_CHARS``
 characters or ``MIN_WORDS`` words are left alone.
 
 Occurrences are counted by line hash first, since a line on n sites occurs n
-times at least. HyperLogLog sketches of sites and of texts are then merged
-by aggregation for the lines that remain. Where an estimate is within
-``NEAR`` of the threshold, exact distinct counts decide.
+times at least, and those of the lines that remain are written once. Their
+HyperLogLog sketches of sites and of texts are then merged by aggregation.
+Where an estimate is within ``NEAR`` of the threshold, exact distinct counts
+decide.
 
 Defined results: a null text has no lines and stays null; an empty text has
 one empty line and stays; a text whose lines all go becomes empty; the lines
@@ -52,10 +53,14 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "t", "site", "x.pos", "x.h", "x.g")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``(h, g)`` of the lines that are cross-site boilerplate."""
-    often = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites), "often")
-    busy = lines.join(often.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "t")
+def frequent(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of ``line_hashes`` whose line occurs ``min_sites`` times or more, written once for all that follows."""
+    often = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h", "g"), "often")
+    return cut(lines.join(often, ["h", "g"], "left_semi"), "frequent")
+
+
+def boilerplate(busy: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``(h, g)`` of the ``frequent`` lines that are cross-site boilerplate."""
     guess = busy.groupBy("h", "g").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", 12)).alias("sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("t", 12)).alias("texts"),
@@ -65,7 +70,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     guess = guess.where((F.col("sites") >= low) & (F.col("texts") >= low))
     guess = cut(guess.withColumn("unsure", (F.col("sites") <= high) | (F.col("texts") <= high)), "guess")
     sure = guess.where("not unsure").select("h", "g")
-    unsure = lines.join(guess.where("unsure").select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "t")
+    unsure = busy.join(guess.where("unsure").select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site", "t")
     # distinct pairs first: each count is then a sum over rows dealt by more than the line
     sites = unsure.select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("sites"))
     texts = unsure.select("h", "g", "t").distinct().groupBy("h", "g").agg(F.count("*").alias("texts"))
@@ -75,9 +80,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def mark(docs: DataFrame, gone: str, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with a column ``gone``: the positions of the boilerplate lines of each text, null where there are none."""
-    lines = line_hashes(docs)
-    bad = cut(boilerplate(lines, min_sites), "boilerplate")
-    places = lines.join(bad, ["h", "g"]).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
+    busy = frequent(line_hashes(docs), min_sites)
+    bad = cut(boilerplate(busy, min_sites), "boilerplate")
+    places = busy.join(bad, ["h", "g"]).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
     # whatever the columns of docs are called, theirs and these stand apart
     a, b = docs.alias("a"), places.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.t"))
