@@ -28,6 +28,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -35,14 +36,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cityfeed.llm.common import Kept, map_arrow
+from cityfeed.llm.common import Kept, map_arrow, slices
 
 LONG_PIECE = 512
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 #: Pieces and characters of pieces that a worker remembers between chunks.
-KEPT, KEPT_CHARS = 300_000, 4 << 20
+KEPT, KEPT_CHARS = 200_000, 4 << 20
 #: Rows that the rounds of one query may add up to.
-QUERY_ROWS = 3_000_000
+QUERY_ROWS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,9 +54,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     """``(l, r, id)``: every pair of tokens whose bytes together are a token."""
-    rows = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-    l, r, i = zip(*rows, strict=True)
-    return pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "id": pa.array(i, pa.int32())})
+    l, r, i = array("i"), array("i"), array("i")
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                l.append(left)
+                r.append(right)
+                i.append(rank)
+    return pa.table({name: pa.array(np.frombuffer(x, np.int32)) for name, x in (("l", l), ("r", r), ("id", i))})
 
 
 #: A token's place is its piece and its first byte in one number. The rounds of a piece end when it has no pair left.
@@ -295,7 +302,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         with encoder(path, pattern) as own:
-            for batch in batches:
+            for batch in slices(batches, 1):
                 n, ids_sha, text_sha = [], [], []
                 for ids, text in own.encode(batch.column(1).to_pylist()):
                     n.append(len(ids))
@@ -315,7 +322,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         with encoder(path, pattern) as own:
-            for batch in batches:
+            for batch in slices(batches, 1):
                 rows = list(own.encode(batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i, _ in rows], IDS_ARROW.field(1).type), pa.array([t.tobytes() for _, t in rows], pa.binary())], schema=IDS_ARROW)
 

@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,21 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(tidy, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of a text or binary column, or of one row."""
+    for batch in batches:
+        # sizes from the offsets, so that no text is copied
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+            upto = max(upto, at + 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+        if not batch.num_rows:
+            yield batch
+
+
 class Kept:
     """A costly object that a Python worker keeps from partition to partition.
 

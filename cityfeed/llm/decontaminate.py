@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import Kept, map_arrow
+from cityfeed.llm.common import Kept, map_arrow, slices
 
 WINDOW = 10
 #: About 100 bytes each.
@@ -153,7 +153,7 @@ def _scanned(batches, blocks: list, column: int, window: int):
 
     def waiting():
         now, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, column):
             now.append(batch)
             size += batch.column(column).nbytes
             if len(blocks) < 2 or size >= BUFFER_CHARS:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut, map_arrow
+from cityfeed.llm.common import cut, map_arrow, slices
 from cityfeed.llm.components import components
 from cityfeed.llm.rolling import chunks, mix, word_hashes
 
@@ -151,7 +151,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, keys``: the SHA-256 of the text, one key per band and those of short texts; no key without words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
             at = 0
             for part in chunks(texts):
@@ -178,7 +178,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         aligner = None
-        for batch in batches:
+        for batch in slices(batches, 3):
             leaders, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [t.encode() for t in batch.column(3).to_pylist()]
             found, at = [], 0
@@ -252,7 +252,7 @@ def _compare_blocks(buckets: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         now, block = None, None
-        for batch in batches:
+        for batch in slices(batches, 6):
             cols = [batch.column(k).to_pylist() for k in range(6)]
             texts = [t.encode() for t in batch.column(6).to_pylist()]
             found, at = [], 0

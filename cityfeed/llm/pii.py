@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cityfeed.llm.common import map_arrow
+from cityfeed.llm.common import map_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 MIN_SCORE = 0.5
@@ -143,7 +143,7 @@ OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_ib
 
 
 def _batches(batches):
-    for batch in batches:
+    for batch in slices(batches, 1):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = find_spans(text)

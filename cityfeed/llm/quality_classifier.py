@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut, map_arrow
+from cityfeed.llm.common import cut, map_arrow, slices
 
 MAX_FIT = 20_000
 N_FEATURES = 256
@@ -149,7 +149,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_fit rows of two numbers
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             x = _table(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["fold", "y", "x"])
 
@@ -206,7 +206,7 @@ def _scored(docs: DataFrame, model: Model | None, schema: str, keep):
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches, place):
             texts = batch.column(place).to_pylist()
             yield keep(batch, np.full(len(texts), 0.5) if own is None else np.clip(own.score(_table(texts)), 0, 1))
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut, map_arrow
+from cityfeed.llm.common import cut, map_arrow, slices
 from cityfeed.llm.rolling import CHUNK_BYTES, prefix_sums, stretch_hashes
 
 LENGTH, GRAM = 400, 64
@@ -144,7 +144,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([doc] * len(edge), pa.int64()), pa.array([t] * len(edge), pa.int64()), pa.array(h[edge], pa.int64()), spots], schema=_ANCHOR_ARROW)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             made, size = [], 0
             for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = anchors(text.encode())
@@ -174,7 +174,7 @@ def _stretch_rows(marked: DataFrame) -> DataFrame:
     """A row for each repeated anchor of ``doc_id, t, text, own`` and each different stretch: the bytes of all strings that name it, and the places of the anchor."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows, size = [], 0
             for doc, t, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
@@ -379,7 +379,7 @@ def report(docs: DataFrame) -> DataFrame:
     """Sizes and the digest of the bytes left, with all copies removed."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode()
@@ -395,7 +395,7 @@ def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     """``doc_id, kept``: the bytes of each text without its repeats; the first copy stays unless ``keep_first`` is false."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             kept = [_removed(t.encode(), s)[0] for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
