@@ -40,14 +40,24 @@ OP7 = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), tags AS (
-  SELECT url, unnest([
-      regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*([^"''\s>]+)', 1)]) AS tag,
-    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base
+  SELECT url, unnest(list_concat(
+      list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])[^>]*>?'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS raw,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS here
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), said_tags AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '&#(?:38|x26);', '&amp;', 'gi'), '&(?:quot|#34|#x22);', '"', 'gi'), '&(?:apos|#39|#x27);', '''', 'gi'), '&amp;', '&', 'gi') AS tag FROM tags
+), joined AS (
+  SELECT *, CASE WHEN tag = '' THEN NULL WHEN regexp_matches(tag, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN tag WHEN base = '' THEN NULL
+    WHEN tag LIKE '//%' THEN regexp_extract(base, '(?s)^(.*?):', 1) || ':' || tag WHEN tag LIKE '#%' OR regexp_matches(tag, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN tag LIKE '?%' THEN base || here || tag END AS whole,
+    CASE WHEN tag LIKE '/%' THEN '' ELSE '/' || regexp_extract(here, '(?s)^/(.*/)', 1) END || regexp_extract(tag, '^[^?#]*') AS merged, regexp_extract(tag, '[?#].*$') AS rest
+  FROM said_tags
+), dotted AS (
+  SELECT *, list_reduce(list_concat([''], string_split(regexp_replace(merged, '/(\.\.?)$', '/\1/'), '/')[2:]), lambda done, x: CASE x WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END) AS resolved FROM joined
 ), links AS (
-  SELECT url AS src, CASE WHEN tag = '' THEN NULL WHEN regexp_matches(tag, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN tag WHEN base = '' THEN NULL
-    WHEN tag LIKE '//%' THEN regexp_extract(base, '(?s)^(.*?):', 1) || ':' || tag WHEN tag LIKE '/%' THEN base || tag END AS dst FROM tags
+  SELECT url AS src, CASE WHEN whole IS NOT NULL THEN whole WHEN tag = '' OR base = '' OR tag LIKE '#%' OR regexp_matches(tag, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE base || CASE WHEN resolved = '' THEN '/' ELSE resolved END || rest END AS dst FROM dotted
 ), urls AS (
   SELECT url FROM pages UNION SELECT dst FROM links WHERE dst IS NOT NULL
 ), parts AS (

@@ -82,19 +82,25 @@ def _target(tag: Column, url: Column) -> Column:
     )
 
 
+def _decoded(link: Column) -> Column:
+    """A link without the entities that URLs in HTML have; ``&amp;`` last, so that nothing is decoded twice."""
+    for entity, char in (("(?i)&#(?:38|x26);", "&amp;"), ("(?i)&(?:quot|#34|#x22);", '"'), ("(?i)&(?:apos|#39|#x27);", "'"), ("(?i)&amp;", "&")):
+        link = F.regexp_replace(link, entity, char)
+    return link
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` URLs from canonical links and refresh redirects in ``html``."""
+    """``(src, dst)`` URLs from all canonical links and refresh redirects in ``html``."""
     rel = r"""(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
-    canonical = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*" + rel + "[^>]*>", 0)
-    refresh = F.regexp_extract("html", r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    found = pages.where("url is not null and html is not null").select(
-        "url",
-        F.array(
-            F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            F.regexp_extract(refresh, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        ).alias("tags"),
+    canonical = F.regexp_extract_all("html", F.lit(r"(?i)<link\b[^>]*\brel\s*=\s*" + rel + "[^>]*>"), F.lit(0))
+    refresh = F.regexp_extract_all("html", F.lit(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    links = F.concat(
+        F.transform(canonical, lambda tag: F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(refresh, lambda tag: F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    return found.select(F.col("url").alias("src"), F.explode("tags").alias("tag")).select("src", _target(F.col("tag"), F.col("src")).alias("dst")).where("dst is not null")
+    has = F.col("html").rlike("(?i)canonical|refresh")
+    found = pages.where(F.col("url").isNotNull() & has).select(F.col("url").alias("src"), F.explode(links).alias("tag"))
+    return found.select("src", _target(_decoded(F.col("tag")), F.col("src")).alias("dst")).where("dst is not null")
 
 
 def alias_verdicts(edges: DataFrame, rules) -> DataFrame:

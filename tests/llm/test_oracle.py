@@ -26,6 +26,27 @@ def test_same_rows(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_url_links_against_sql(spark, tmp_path):
+    """Links of every form, chains, cycles and a conflict, judged by both."""
+    link, jump = '<link rel="{}" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    targets = ["page", "../z", "./", "..", "../../../r?k=..", "?id=1", "/top/../x", "//b.net/c", "https://b.net/c", "#part", "mailto:x@b.net", "", "a?x=1&amp;y=2", "..", "/", "/es/2", "http://example.org/es/1"]
+    rows = [(k, f"http://a.net/x/y/p{k}?q=1", link("alternate canonical", t)) for k, t in enumerate(targets)]
+    rows += [(50, "http://a.net/a?x=1&y=2", jump("'http://www.example.com/de/5'")), (51, "http://h.net", link("canonical", "x") + link("canonical", "http://h.net/y") + jump("/z"))]
+    rows += [(60 + k, f"http://c.net/{k}", jump(f"/{(k + 1) % 4}")) for k in range(4)] + [(64, "http://c.net/9", link("canonical", "2") + link("canonical", "http://example.org/en/1"))]
+    rows += [(70, "http://h.net/y", link("canonical", "http://www.example.com/de/1")), (71, "http://www.example.com/de/1", link("canonical", "http://e.org/ok")), (72, "http://h.net/z", None), (73, None, link("canonical", "x")), (74, "http://c.net/3#p", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cols = ["page_id", "host", "path", "rule", "verdict", "by_alias"]
+    got = sorted((tuple(r) for r in entry.queries()["op7_url_filters"](spark, str(tmp_path)).select(*cols).collect()), key=str)
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op7_url_filters']})").fetchall(), key=str)
+    assert got == want
+    verdicts = {r[0]: r[4] for r in got}
+    # a cycle with a link to a blocked page; a chain whose end is linked to an allowed one
+    assert [verdicts[k] for k in (60, 61, 62, 63, 64, 74)] == ["block"] * 6
+    assert [verdicts[k] for k in (51, 70, 71, 72)] == ["allow", "allow", "block", "allow"]
+
+
 def test_names():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}
     assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
