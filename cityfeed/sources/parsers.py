@@ -1,8 +1,10 @@
 """Parsers of landed payloads: text of a page, feed or API answer to event records.
 
 A parser takes ``(payload, url, now)`` and returns records; the operator
-``parse`` runs the parser of each row's source over the payload column, Arrow
-batch by batch, and rows of unknown sources or broken payloads give no event.
+``parse_all`` runs the parser of each row's source over the payload column,
+Arrow batch by batch. A payload on which its parser fails gives one row that
+says why and doesn't stop the others; ``parse`` has the events, ``parse_errors``
+the failures. Rows of unknown sources and null payloads give nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from cityfeed.functions.dates import MONTHS, ZONE
 from cityfeed.sources.html import Node, tree
@@ -78,13 +81,14 @@ def clock(text: str) -> tuple[int, int] | None:
     return (int(m[1]), 0) if (m := HOUR.search(text)) else None
 
 
-def german_date(text: str, now: datetime) -> datetime | None:
-    """The first date of a text, with the time that stands in the rest of it."""
+def german_date(text: str, now: datetime, near: tuple[int, int] | None = None) -> datetime | None:
+    """The first date of a text, with the time that stands in the rest of it, or ``near`` so many characters before and after."""
     for pattern in (NUMERIC, NAMED):
         for m in pattern.finditer(text):
             month = int(m[2]) if pattern is NUMERIC else MONTHS.get(m[2].lower())
             year = int(m[3]) if m[3] else now.year
-            time = clock(text[: m.start()] + " " + text[m.end() :]) or (0, 0)
+            first, last = (max(0, m.start() - near[0]), m.end() + near[1]) if near else (0, len(text))
+            time = clock(text[first : m.start()] + " " + text[m.end() : last]) or (0, 0)
             if month and (found := _when(year + 2000 * (year < 100), month, int(m[1]), *time)):
                 return found
     return None
@@ -175,8 +179,9 @@ def zollverein(payload: str, url: str, now: datetime) -> list[dict]:
         data = None
     out = []
     if data is not None:
-        items = data if isinstance(data, list) else next((data[k] for k in ("events", "data", "results") if isinstance(data.get(k), list)), [])
-        for item in items:
+        wrapped = data if isinstance(data, dict) else {}
+        items = data if isinstance(data, list) else next((wrapped[k] for k in ("events", "data", "results") if isinstance(wrapped.get(k), list)), [])
+        for item in (x for x in items if isinstance(x, dict)):
             title = item.get("title") or item.get("name")
             if not title:
                 continue
@@ -237,9 +242,10 @@ def villa_huegel(payload: str, url: str, now: datetime) -> list[dict]:
         data = json.loads(m[1] if m else payload)
     except ValueError:
         return []
-    items = data if isinstance(data, list) else data.get("props", {}).get("pageProps", {}).get("programs", [])
+    for key in ("props", "pageProps", "programs") if isinstance(data, dict) else ():
+        data = data.get(key) if isinstance(data, dict) else None
     out = []
-    for item in items:
+    for item in (x for x in data if isinstance(x, dict)) if isinstance(data, list) else ():
         title, about, term = (" ".join(str(item.get(k) or "").split()) for k in ("title", "subtitle", "date_as_string"))
         if not title or "abgeschlossen" in term.lower():
             continue
@@ -249,7 +255,7 @@ def villa_huegel(payload: str, url: str, now: datetime) -> list[dict]:
         out.append(
             event(
                 f"villa-huegel-{item.get('id')}", title, short_description=" | ".join(x for x in (about, f"Termin: {term}" if term else "") if x), start_at=start, is_permanent_offer=start is None, kids_suitable=kids,
-                source_name="Villa Hügel", source_url=f"https://www.krupp-stiftung.de/programm/{item.get('slug')}/", image_url=image_of((item.get("thumbnail") or {}).get("src")), venue_name="Villa Hügel",
+                source_name="Villa Hügel", source_url=f"https://www.krupp-stiftung.de/programm/{item.get('slug')}/", image_url=image_of(item["thumbnail"].get("src")) if isinstance(item.get("thumbnail"), dict) else None, venue_name="Villa Hügel",
                 address_text="Hügel 1, 45133 Essen", city="Essen", lat=51.4069, lon=7.0090, indoor_outdoor="both" if "park" in about.lower() else "indoor",
             )
         )
@@ -288,6 +294,13 @@ def artistical(payload: str, url: str, now: datetime) -> list[dict]:
     return out
 
 
+def artistical_chunk(html: str) -> str | None:
+    """The address of the script bundle that holds the shows, from the page: the first bundle named after the section."""
+    chunk = r'"(/_next/static/chunks/[^"]+?\.js)"'
+    m = re.search(r'"EventsSection"[^"]*' + chunk, html) or re.search(r'"EventsSection".*?' + chunk, html, re.S)
+    return "https://artistical.de" + m[1] if m else None
+
+
 def _script_text(s: str) -> str:
     """The meaning of a JavaScript string literal."""
     s = re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1] or m[2], 16)), s)
@@ -312,13 +325,40 @@ def _ld_event(item: dict, city: str, base: str) -> dict | None:
     )
 
 
+def _marked(node: Node, tags: tuple[str, ...], *parts: str) -> Node | None:
+    """The first element below of one of the tags, or with a class that holds one of the parts."""
+    return next((n for n in node.find_all() if n.tag in tags or any(p in (n.attrs.get("class") or "") for p in parts)), None)
+
+
+def _card_event(card: Node, city: str, base: str, now: datetime) -> dict | None:
+    """An event from a card, whose parts are known by what their classes are called."""
+    link = card.find("a")
+    head = _marked(card, ("h2", "h3", "h4"), "title", "name") or link
+    title = head.text() if head is not None else ""
+    if len(title) < 3:
+        return None
+    when = _marked(card, ("time",), "date", "datum", "zeit")
+    where = _marked(card, (), "location", "ort", "venue", "place")
+    about = _marked(card, ("p",), "description", "beschreibung", "text")
+    target = card.find("a", attr="href")
+    stamp = " ".join(when.text().split()) if when is not None else ""
+    return event(
+        f"rausgegangen_{title}_{city}", title, short_description=about.text() if about is not None else None, start_at=iso_date(stamp) or (german_date(stamp, now) if stamp else None),
+        venue_name=where.text() if where is not None else None, city=city.capitalize(), source_url=absolute(target.attrs["href"], base) if target else None, source_name="Rausgegangen", image_url=node_image(card, base),
+    )
+
+
 @source("Rausgegangen")
 def rausgegangen(payload: str, url: str, now: datetime) -> list[dict]:
-    """JSON-LD if a page has any, else links, else lines of text after a date line."""
+    """JSON-LD if a page has any, else cards, else links, else lines of text after a date line."""
     base, city = "https://www.rausgegangen.de", "essen"
     if "<" in payload and "</" in payload:
         root = tree(payload)
         found = [e for e in (_ld_event(x, city, base) for x in json_ld(root)) if e]
+        if found:
+            return found
+        cards = [n for n in root.find_all() if n.tag == "article" or {"event-card", "veranstaltung-item"} & set(n.classes) or "event-item" in (n.attrs.get("class") or "")]
+        found = [e for e in (_card_event(c, city, base, now) for c in cards) if e]
         if found:
             return found
         out = []
@@ -540,10 +580,10 @@ def zeche_carl(payload: str, url: str, now: datetime) -> list[dict]:
     kids = lambda t: "likely" if KIDS.search(t) else "unknown"
     paragraphs = [p.text() for p in root.find_all("p")]
     for item in json_ld(root):
-        title = re.sub(r"\s+[—–-]\s+ZECHE CARL$", "", item.get("name") or "")
+        title = re.sub(r"\s+[—–-]\s+ZECHE CARL$", "", str(item.get("name") or ""))
         if not title:
             continue
-        start = iso_date(re.sub(r"([+-]\d{2})(\d{2})$", r"\1:\2", item.get("startDate") or ""))
+        start = iso_date(re.sub(r"([+-]\d{2})(\d{2})$", r"\1:\2", str(item.get("startDate") or "")))
         about = " ".join(p for p in paragraphs if len(p) > 20 and not re.search(r"datenschutz|impressum|nieswandt|einlass:", p, re.I))
         return [event(f"{title}{start}", title, start_at=start, short_description=about or None, price_text=price_of(" | ".join(paragraphs)), kids_suitable=kids(title + about), source_url=url, image_url=image_of(item.get("image")), **place)]
     out = []
@@ -634,7 +674,7 @@ def schatzkammer(payload: str, url: str, now: datetime) -> list[dict]:
     title, body = head.text(), " ".join(p.text() for p in article.find_all("p"))
     if STANDING.search(title) or not ANNOUNCES.search(f"{title} {body}"):
         return []
-    start = german_date(f"{title} {body}", now)
+    start = german_date(f"{title} {body}", now, near=(50, 100))
     return [event(f"{title}{url}", title, start_at=start, is_permanent_offer=start is None, short_description=body, price_text=price_of(body), kids_suitable="likely" if KIDS.search(title + body) else "unknown", source_name="Schatzkammer Werden", source_url=url, venue_name="Schatzkammer Werden", address_text="Brückstr. 54, 45239 Essen", city="Essen", lat=51.3885, lon=7.0046, indoor_outdoor="indoor")]
 
 
@@ -646,28 +686,120 @@ def schatzkammer_links(payload: str, limit: int = 10) -> list[str]:
     return list(dict.fromkeys(found))[:limit]
 
 
-def parse(payloads: DataFrame, now: datetime) -> DataFrame:
-    """Events of ``(source_name, url, payload)`` rows."""
+ERROR_CHARS = 2000
+
+
+def parse_all(payloads: DataFrame, now: datetime) -> DataFrame:
+    """The events of ``(source_name, url, payload)`` rows, and for each payload that fails a row with its source, url and ``error``."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for name, url, payload in zip(pdf.source_name, pdf.url, pdf.payload, strict=True):
-                if name in PARSERS and isinstance(payload, str):
-                    rows += PARSERS[name](payload, url or "", now)
-            out = pd.DataFrame(rows, columns=NAMES)
-            out["start_at"] = pd.to_datetime(out["start_at"])
-            yield out
+                if name not in PARSERS or not isinstance(payload, str):
+                    continue
+                try:
+                    # all records of a payload or none
+                    found = pa.Table.from_pylist([{k: e[k] for k in NAMES} for e in PARSERS[name](payload, url or "", now)], schema=_ARROW).to_pylist()
+                except Exception as e:  # whatever a parser meets, the other payloads go on; what went wrong is in the row
+                    found = [dict.fromkeys(NAMES) | {"source_name": name, "source_url": url, "error": f"{type(e).__name__}: {e}"[:ERROR_CHARS]}]
+                rows += found
+            yield from pa.Table.from_pylist(rows, schema=_ARROW.append(pa.field("error", pa.string()))).to_batches() or []
+
+    def frames(batches):
+        return run(b.to_pandas() for b in batches)
+
+    return payloads.select("source_name", "url", "payload").mapInArrow(frames, FIELDS + ", error string")
+
+
+_KINDS = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_ARROW = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in FIELDS.split(", ")])
+
+
+def parse(payloads: DataFrame, now: datetime) -> DataFrame:
+    """Events of ``(source_name, url, payload)`` rows."""
+    return parse_all(payloads, now).where("error is null").drop("error")
+
 
-    return payloads.select("source_name", "url", "payload").mapInPandas(run, FIELDS)
+def parse_errors(payloads: DataFrame, now: datetime) -> DataFrame:
+    """``source_name, url, error`` of the payloads that could not be parsed."""
+    return parse_all(payloads, now).where("error is not null").select("source_name", F.col("source_url").alias("url"), "error")
+
+
+#: What stands for a source whose pages have no dated event.
+STANDINS = {"Seaside Beach": hashlib.md5(b"seaside-beach").hexdigest()[:16]}
+
+
+def unite_pages(events: DataFrame) -> DataFrame:
+    """The events of all pages of a source: each id once, and a stand-in only where there is nothing else."""
+    standin = F.lit(False)
+    for name, key in STANDINS.items():
+        standin |= (F.col("source_name") == name) & (F.col("canonical_id") == key)
+    once = events.dropDuplicates(["source_name", "canonical_id"])
+    busy = once.where(~standin).where(F.col("source_name").isin(*STANDINS)).select("source_name").distinct().withColumn("_busy", F.lit(True))
+    return once.join(busy, "source_name", "left").where(~(standin & F.coalesce("_busy", F.lit(False)))).select(*events.columns)
+
+
+MAX_PAGES = 40
+
+
+def pages_until_end(listing: DataFrame) -> DataFrame:
+    """Of ``(source_name, page, url, payload)`` the pages up to the first without a card, without a link to the next, or the fortieth."""
+    nothing = ~F.col("payload").rlike('class="card mb-3"')
+    last = ~F.expr("payload rlike concat('href=\"[^\"]*pageIndex=', page + 1, '(?![0-9])')")
+    before = Window.partitionBy("source_name").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max((nothing | last).cast("int")).over(before), F.lit(0))
+    return listing.withColumn("_ended", ended).where((F.col("_ended") == 0) & ~nothing & (F.col("page") <= MAX_PAGES)).drop("_ended")
+
+
+#: source to the fields that its detail pages add
+DETAILS: dict[str, Callable[[str], dict]] = {
+    "Lichtburg": lambda payload: lichtburg_detail(payload),
+    "Ferienspatz": lambda payload: {"address_text": ferienspatz_address(payload)},
+}
+DETAIL_FIELDS = ("short_description", "price_text", "image_url", "address_text")
+
+
+def rausgegangen_detail(payload: str) -> dict:
+    """Description, price, image and street from the JSON-LD of a detail page."""
+    for item in json_ld(tree(payload)):
+        where = item.get("location")
+        address = where.get("address") if isinstance(where, dict) else None
+        offer = item.get("offers")
+        offer = offer[0] if isinstance(offer, list) and offer else offer
+        price = offer.get("price") if isinstance(offer, dict) else None
+        return {
+            "short_description": plain(str(item.get("description") or ""))[:DESCRIPTION] or None,
+            "price_text": f"{price} €" if price not in (None, "") else None,
+            "image_url": image_of(item.get("image")),
+            "address_text": address.get("streetAddress") if isinstance(address, dict) else address if isinstance(address, str) else None,
+        }
+    return {}
+
+
+DETAILS["Rausgegangen"] = rausgegangen_detail
+
+
+def parse_details(pages: DataFrame) -> DataFrame:
+    """``source_url`` and what the detail page of that address adds; a page that can't be read adds nothing."""
+    schema = pa.schema([("source_url", pa.string()), *((f, pa.string()) for f in DETAIL_FIELDS)])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = DETAILS[name](payload) if name in DETAILS and payload else {}
+                except Exception:  # one page is one page
+                    found = {}
+                rows.append({"source_url": url} | {f: found.get(f) for f in DETAIL_FIELDS})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.select("source_name", "url", "payload").mapInArrow(run, "source_url string, " + ", ".join(f"{f} string" for f in DETAIL_FIELDS))
 
 
 def enrich_from_details(events: DataFrame, details: DataFrame) -> DataFrame:
     """Fill description, price, image and address from ``(source_url, ...)`` detail rows where they are missing."""
-    from pyspark.sql import functions as F
-
     fill = [c for c in ("short_description", "price_text", "image_url", "address_text") if c in details.columns]
     found = details.dropDuplicates(["source_url"]).select("source_url", *[F.col(c).alias(f"_{c}") for c in fill])
     return events.join(found, "source_url", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in fill}).select(*events.columns)
-
-
