@@ -26,6 +26,11 @@ def month_number(name: Column) -> Column:
     return F.try_element_at(table, key)
 
 
+def now_berlin() -> Column:
+    """Wall-clock time in Berlin, for callers that hand it on as their ``now``."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz"))
+
+
 def make_timestamp(year: Column, month: Column, day: Column, hour=0, minute=0) -> Column:
     """Local time of the parts; null for a day or time that doesn't exist."""
     lit = lambda c: c if isinstance(c, Column) else F.lit(c)

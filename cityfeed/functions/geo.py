@@ -47,9 +47,14 @@ def travel_minutes(km: Column) -> Column:
     return F.when(km <= 0, 0).otherwise(F.bround(START_MINUTES + km / KM_PER_HOUR * 60.0, 0).cast("int"))
 
 
+def needs_distance() -> Column:
+    """Active, placed, and without distance or travel time."""
+    return F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("archived_at").isNull() & (F.col("distance_km").isNull() | F.col("travel_time_minutes").isNull())
+
+
 def with_distance(df: DataFrame) -> DataFrame:
     """Distance and travel time of active rows that have coordinates and lack one of the two."""
-    need = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("archived_at").isNull() & (F.col("distance_km").isNull() | F.col("travel_time_minutes").isNull())
+    need = needs_distance()
     km = distance_km(F.col("lat"), F.col("lon"))
     return df.withColumns({"distance_km": F.when(need, km).otherwise(F.col("distance_km")), "travel_time_minutes": F.when(need, travel_minutes(km)).otherwise(F.col("travel_time_minutes"))})
 

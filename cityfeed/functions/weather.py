@@ -52,3 +52,38 @@ def weather_fresh(fetched: Column, target: Column, now: Column) -> Column:
 def geocode_fresh(fetched: Column, lat: Column, now: Column) -> Column:
     """180 days for a place, 14 for a miss."""
     return now - fetched < F.when(lat.isNotNull(), F.expr("INTERVAL '180' DAY")).otherwise(F.expr("INTERVAL '14' DAY"))
+
+
+DAILY = "daily struct<time:array<string>,temperature_2m_max:array<double>,temperature_2m_min:array<double>,precipitation_probability_max:array<int>,weathercode:array<int>>"
+
+
+def forecast_rows(answers: DataFrame) -> DataFrame:
+    """Rows of the weather table from ``(target_date, payload, fetched_at)`` answers of the forecast service; an answer without a day gives none."""
+    day = F.from_json("payload", DAILY)["daily"]
+    first = lambda name: F.get(day[name], F.lit(0))
+    rows = answers.where(F.size(F.coalesce(day["time"], F.array().cast("array<string>"))) > 0).select(
+        F.col("target_date").cast("date").alias("target_date"),
+        first("temperature_2m_max").alias("temp_max"),
+        first("temperature_2m_min").alias("temp_min"),
+        first("precipitation_probability_max").alias("rain_probability"),
+        first("weathercode").alias("weather_code"),
+        "fetched_at",
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rows.withColumn("hint", hint(zero("rain_probability"), zero("weather_code"), zero("temp_max")))
+
+
+def put_forecasts(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """The weather table with the newest row of each day."""
+    both = cache.select(rows.columns).unionByName(rows)
+    rest = [c for c in rows.columns if c not in ("target_date", "fetched_at")]
+    newest = both.groupBy("target_date").agg(F.max(F.struct("fetched_at", *rest)).alias("m"))
+    return newest.select("target_date", *[f"m.{c}" for c in rest], "m.fetched_at")
+
+
+def banner(weather: DataFrame, today) -> DataFrame:
+    """The row shown above the list: today's, and only today's."""
+    shown = weather.where(F.col("target_date") == F.lit(today))
+    degrees = F.when(F.col("temp_max").isNull(), "–").otherwise(F.concat(F.floor(F.col("temp_max") + 0.5).cast("string"), F.lit("°C")))
+    rain = F.when(F.col("rain_probability").isNotNull(), F.concat(F.col("rain_probability").cast("string"), F.lit("% Regen")))
+    return shown.select("target_date", degrees.alias("temperature"), rain.alias("rain"), icon(F.col("weather_code")).alias("icon"), "hint")

@@ -46,8 +46,8 @@ def problems(events: DataFrame, kind: str, limit: int = 50) -> DataFrame:
 
 
 def count_by(events: DataFrame, column: str, missing: str) -> DataFrame:
-    """Active events by a column, nulls under ``missing``."""
-    return events.where("archived_at is null").groupBy(F.coalesce(column, F.lit(missing)).alias("name")).agg(F.count("*").alias("n"))
+    """Active events by a column, nulls under ``missing``; the largest count first."""
+    return events.where("archived_at is null").groupBy(F.coalesce(column, F.lit(missing)).alias("name")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "name")
 
 
 def problem_percent(value: Column, total: Column) -> Column:

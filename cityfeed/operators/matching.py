@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityfeed.functions.text import clamp_fields, csv_list, jaccard, sanitize_title, title_tokens, truthy
+from cityfeed.sources.tables import stage
 
 BAND_HOURS, SIMILAR = 12, 0.6
 
@@ -22,9 +24,11 @@ def _keyed(events: DataFrame, columns: dict[str, str]) -> DataFrame:
     return events.where("start_at is not null").select(*[F.col(c).alias(n) for c, n in columns.items()], title_tokens(F.col("title")).alias("words")).where(F.size("words") > 0)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, null_differs: bool = True) -> DataFrame:
     """``(a_id, b_id, similarity)``: titles alike, sources different, starts at most twelve hours apart.
 
+    A missing source differs from any named one, or from none with ``null_differs`` false.
+
     The band is an equi-join on half-day numbers, one row of ``left`` meeting
     three; since similar titles share a word, the word is part of the join key
     as well, which keeps a busy half day from becoming one hot key. Each pair
@@ -35,14 +39,14 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     a = a.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: _bin(F.col("a_start")) + k))).withColumn("word", F.explode("a_words"))
     b = b.withColumn("bin", _bin(F.col("b_start"))).withColumn("word", F.explode("b_words"))
     gap = F.abs(F.timestamp_diff("SECOND", F.col("a_start"), F.col("b_start")))
-    near = a.join(b, ["bin", "word"]).where((gap <= BAND_HOURS * 3600) & ~F.col("a_source").eqNullSafe(F.col("b_source")))
+    near = a.join(b, ["bin", "word"]).where((gap <= BAND_HOURS * 3600) & (~F.col("a_source").eqNullSafe(F.col("b_source")) if null_differs else F.col("a_source") != F.col("b_source")))
     near = near.where(F.col("word") == F.get(F.array_intersect("a_words", "b_words"), F.lit(0)))
     return near.withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words"))).where(F.col("similarity") >= SIMILAR).select("a_id", "b_id", "similarity")
 
 
 def cross_source_duplicate(new: DataFrame, known: DataFrame) -> DataFrame:
-    """``(a_id, match_id)``: for each new event the known active event of least id that is the same, or null."""
-    best = similar_pairs(new, known.where("archived_at is null")).groupBy("a_id").agg(F.min("b_id").alias("match_id"))
+    """``(a_id, match_id)``: for each new event the known active event of least id that is the same, or null. A known event without source is never the same."""
+    best = similar_pairs(new, known.where("archived_at is null"), null_differs=False).groupBy("a_id").agg(F.min("b_id").alias("match_id"))
     return new.select(F.col("id").alias("a_id")).join(best, "a_id", "left")
 
 
@@ -112,6 +116,20 @@ def add_source(sources: Column, own: Column, other: Column) -> Column:
     return F.when(truthy(other) & ~F.array_contains(current, other), F.concat(current, F.array(other))).otherwise(current)
 
 
+def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """``rows`` with consecutive numbers from 1 by ``order``, without gathering them in one task.
+
+    Rows are dealt by ranges of ``order`` and staged; the driver sees one count
+    per range.
+    """
+    dealt = stage(rows.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted(map(tuple, dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()))
+    before = dict(zip((r for r, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    offsets = rows.sparkSession.createDataFrame(list(before.items()), "_range int, _before long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first()))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")  # a row per range
+
+
 @dataclass(frozen=True)
 class Upsert:
     """The new state and, per incoming row, what became of it."""
@@ -129,7 +147,8 @@ def upsert(state: DataFrame, batch: DataFrame, source_name: str, now) -> Upsert:
     largest known one in batch order.
     """
     order = "pos" if "pos" in batch.columns else "canonical_id"
-    batch = clamp_fields(first_of_batch(batch, order).withColumn("title", sanitize_title(F.col("title"))))
+    batch = first_of_batch(batch, order)
+    batch = clamp_fields(batch.withColumns({c: sanitize_title(F.col(c)) for c in ("title", "venue_name") if c in batch.columns}))
     for c in state.columns:
         if c not in batch.columns:
             batch = batch.withColumn(c, F.lit(None).cast(state.schema[c].dataType))
@@ -138,10 +157,9 @@ def upsert(state: DataFrame, batch: DataFrame, source_name: str, now) -> Upsert:
     batch = batch.join(known, "canonical_id", "left")
 
     news = batch.where("known_id is null and title is not null")
-    top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # numbering needs one order over the new rows of one source's batch; their keys alone pass through it
-    numbered = news.select("canonical_id", order).withColumn("n", F.row_number().over(Window.orderBy(order))).select("canonical_id", "n")
-    news = news.drop("id").join(numbered, "canonical_id").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n")).drop("top", "n")  # one row
+    top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    keys = news.select("canonical_id") if order == "canonical_id" else news.select("canonical_id", order)
+    news = news.drop("id").join(numbered(keys, order).select("canonical_id", "n"), "canonical_id").withColumn("id", F.lit(top) + F.col("n")).drop("n")
     probe = news.withColumn("source_name", F.lit(source_name))
     news = news.join(cross_source_duplicate(probe, state).withColumnRenamed("a_id", "id"), "id")
 
@@ -163,12 +181,21 @@ def upsert(state: DataFrame, batch: DataFrame, source_name: str, now) -> Upsert:
     created = created.select(*[F.col(c).cast(state.schema[c].dataType) for c in state.columns])
     outcome = (
         updates.select("canonical_id", F.lit("updated").alias("outcome"))
-        .union(news.select("canonical_id", F.when(F.col("match_id").isNull(), "created").otherwise("merged")))
+        .union(news.where("match_id is null").select("canonical_id", F.lit("created")))
+        .union(_merged(news.where("match_id is not null"), state))
         .union(batch.where("known_id is null and title is null").select("canonical_id", F.lit("rejected")))
     )
     return Upsert(old.unionByName(created), outcome)
 
 
+def _merged(matched: DataFrame, state: DataFrame) -> DataFrame:
+    """``canonical_id, outcome`` of rows that another source has: merged where that one's list grew, else seen."""
+    lists = state.select(F.col("id").alias("match_id"), F.col("sources_list").alias("_list"))
+    first = F.min("canonical_id").over(Window.partitionBy("match_id", "source_name")) == F.col("canonical_id")
+    grew = ~F.array_contains(csv_list(F.col("_list")), F.col("source_name")) & first  # a list grows by the first of several
+    return matched.select("canonical_id", "match_id", "source_name").join(lists, "match_id", "left").select("canonical_id", F.when(grew, "merged").otherwise("seen").alias("outcome"))
+
+
 def sync_stats(outcome: DataFrame) -> DataFrame:
-    """One row: found, created, updated, merged."""
+    """One row: found, created, updated, merged. Rows whose source was known to its match already are found and no more."""
     return outcome.agg(F.count("*").alias("found"), *[F.count_if(F.col("outcome") == k).alias(k) for k in ("created", "updated", "merged")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 from datetime import date, datetime, timedelta
 from urllib.parse import parse_qsl, urlencode
@@ -20,7 +21,7 @@ SHOWN_OCCURRENCES = 8
 
 @dataclass(frozen=True)
 class Facets:
-    """What a search asks for; falsy values ask for nothing."""
+    """What a search asks for; falsy values ask for nothing. ``time_of_day`` is one of ``TIMES_OF_DAY``."""
 
     start_date: date | None = None
     end_date: date | None = None
@@ -33,6 +34,23 @@ class Facets:
     q: str | None = None
 
 
+    def to_query(self) -> str:
+        """The parameters of a request to the service; what isn't asked for is left out."""
+        pairs = [(f.name, getattr(self, f.name)) for f in fields(self)]
+        pairs = [(k, v.strip() if isinstance(v, str) else v) for k, v in pairs if v and v != "all"]
+        return urlencode([(k, "true" if v is True else str(v)) for k, v in pairs])
+
+
+#: The service's names of the times of day, and the short names of this library.
+TIMES_OF_DAY = {"vormittags": "morning", "nachmittags": "afternoon", "abends": "evening", "morning": "morning", "afternoon": "afternoon", "evening": "evening"}
+
+
+def time_of_day_named(name: str) -> str:
+    if name not in TIMES_OF_DAY:
+        raise ValueError(f"unknown time of day: {name}")
+    return TIMES_OF_DAY[name]
+
+
 def active(events: DataFrame) -> DataFrame:
     return events.where("archived_at is null")
 
@@ -46,8 +64,8 @@ def visible(now) -> Column:
 def facet_filter(facets: Facets) -> Column:
     """The conjunction of the facets asked for."""
     f, out = facets, F.lit(True)
-    if f.q:
-        out &= F.col("title").ilike(f"%{f.q}%") | F.col("venue_name").ilike(f"%{f.q}%") | F.col("short_description").ilike(f"%{f.q}%")
+    if f.q and (q := f.q.strip()):
+        out &= F.col("title").ilike(f"%{q}%") | F.col("venue_name").ilike(f"%{q}%") | F.col("short_description").ilike(f"%{q}%")
     if f.start_date:
         out &= F.col("start_at") >= F.lit(datetime.combine(f.start_date, datetime.min.time())).cast("timestamp_ntz")
     if f.end_date:
@@ -60,8 +78,8 @@ def facet_filter(facets: Facets) -> Column:
         out &= F.col("indoor_outdoor").isin(f.indoor_outdoor, "both")
     if f.max_travel_time:
         out &= (F.col("travel_time_minutes") <= f.max_travel_time) | F.col("travel_time_minutes").isNull()
-    if f.time_of_day in ("morning", "afternoon", "evening"):
-        out &= dates.time_of_day(F.col("start_at")) == f.time_of_day
+    if f.time_of_day:
+        out &= dates.time_of_day(F.col("start_at")) == time_of_day_named(f.time_of_day)
     if f.favorites and (ids := [x for x in f.favorites.split(",") if x]):
         out &= F.col("canonical_id").isin(ids)
     return out
@@ -95,6 +113,18 @@ def feed(events: DataFrame, now, facets: Facets = Facets()) -> DataFrame:
     return group_events(active(events).where(visible(now)).where(facet_filter(facets)), now)
 
 
+def siblings(events: DataFrame) -> DataFrame:
+    """``event_id, siblings``: of every event the active ones of its source, null or not, and normalised title, by start; none for an empty title."""
+    from cityfeed.functions.text import group_title
+
+    keyed = events.select("id", "start_at", "source_name", "archived_at", group_title(F.col("title")).alias("k"))
+    own = keyed.select(F.col("id").alias("event_id"), "k", F.col("source_name").alias("s"))
+    other = active(keyed).where("k <> ''").withColumnsRenamed({"k": "key", "source_name": "source"})
+    listed = other.groupBy("key", "source").agg(F.sort_array(F.collect_list(F.struct(F.col("start_at").isNull().alias("undated"), "start_at", "id"))).alias("o"))
+    out = own.join(listed, (F.col("k") == F.col("key")) & F.col("s").eqNullSafe(F.col("source")), "left")
+    return out.select("event_id", F.transform("o", lambda x: F.struct(x["id"].alias("id"), x["start_at"].alias("start_at"))).alias("siblings"))
+
+
 def detail(events: DataFrame, event_id: int) -> DataFrame:
     """One event and its siblings: same source, null or not, and same normalised title, by start."""
     from cityfeed.functions.text import group_title
@@ -159,9 +189,9 @@ def client_group_filter(state: ClientState, favorites: list[str] | None = None)
         out &= F.col("indoor_outdoor").isin(state.indoor_outdoor, "both")
     if state.max_travel_time:
         out &= (F.col("travel_time_minutes") <= state.max_travel_time) | F.col("travel_time_minutes").isNull()
-    if state.q:
+    if q := state.q.strip():
         part = lambda c: F.coalesce(c, F.lit(""))
-        out &= F.lower(F.concat_ws(" ", part(F.col("title")), part(F.col("venue_name")), part(F.col("short_description")))).contains(state.q.lower())
+        out &= F.lower(F.concat_ws(" ", part(F.col("title")), part(F.col("venue_name")), part(F.col("short_description")))).contains(q.lower())
     return out
 
 
@@ -180,18 +210,29 @@ def client_feed(groups: DataFrame, now, state: ClientState, favorites: list[str]
             first, last = dates.range_bounds(state.range, now)
             ok &= F.coalesce(F.to_date(start).between(first, last), F.lit(False))
         if state.time_of_day:
-            ok &= F.coalesce(dates.time_of_day(start) == state.time_of_day, F.lit(False))
+            ok &= F.coalesce(dates.time_of_day(start) == time_of_day_named(state.time_of_day), F.lit(False))
         return ok
 
     out = groups.where(client_group_filter(state, favorites)).withColumn("fitting", F.filter("occurrences", fits))
     return out.where(F.size("fitting") > 0).withColumn("effective_at", F.array_min(F.transform("fitting", lambda o: o["start_at"]))).drop("fitting")
 
 
+def client_order(sort: str) -> list[Column]:
+    """Order of what the browser lists, by the effective start; ids break ties."""
+    start, quality = F.col("effective_at").asc_nulls_last(), F.coalesce("quality_score", F.lit(0.0)).desc()
+    return {"quality": [quality, start], "travel": [F.col("travel_time_minutes").asc_nulls_last(), start], "start_at": [start]}.get(sort, [start, quality]) + [F.col("id")]
+
+
+def client_list(groups: DataFrame, now, state: ClientState, favorites: list[str] | None = None) -> DataFrame:
+    """``client_feed`` in the order that the state asks for."""
+    return client_feed(groups, now, state, favorites).orderBy(*client_order(state.sort))
+
+
 def permanent_extras(groups: DataFrame, shown: DataFrame, state: ClientState) -> DataFrame:
-    """Permanent offers that fit the state and aren't shown; none unless a range or a time of day is asked for."""
+    """Permanent offers that fit the state and aren't shown, best first; none unless a range or a time of day is asked for."""
     if state.range not in ("today", "tomorrow", "weekend") and not state.time_of_day:
         return groups.limit(0)
-    return groups.where(F.col("is_permanent_offer")).where(client_group_filter(state)).join(shown.select("id"), "id", "left_anti")
+    return groups.where(F.col("is_permanent_offer")).where(client_group_filter(state)).join(shown.select("id"), "id", "left_anti").orderBy(F.coalesce("quality_score", F.lit(0.0)).desc(), "id")
 
 
 def top_picks(groups: DataFrame) -> DataFrame:
@@ -241,6 +282,19 @@ def clusters(groups: DataFrame, degrees: float) -> DataFrame:
     return map_points(groups).groupBy(*cell).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
 
 
+def pixel_clusters(groups: DataFrame, zoom: int, pixels: int = 40) -> DataFrame:
+    """Points by square of ``pixels`` on a Mercator map of that zoom: count and centre."""
+    size = 256.0 * 2**zoom
+    y = 0.5 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / (2 * math.pi)
+    cell = [F.floor((F.col("lon") + 180) / 360 * size / pixels).alias("cell_x"), F.floor(y * size / pixels).alias("cell_y")]
+    return map_points(groups).groupBy(*cell).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+
+
+def map_legend(groups: DataFrame) -> DataFrame:
+    """Categories of the points on the map, sorted."""
+    return map_points(groups).where(truthy(F.col("category"))).select("category").distinct().orderBy("category")
+
+
 def page_ids(groups: DataFrame) -> DataFrame:
     """The names of the detail pages: every id of a group or an occurrence, and the fallback page."""
     ids = groups.select(F.explode(F.array_union(F.array("id"), F.transform("occurrences", lambda o: o["id"]))).alias("id")).select(F.col("id").cast("string").alias("page"))

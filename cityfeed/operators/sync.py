@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from cityfeed.functions.classify import classify
 from cityfeed.functions.geo import quality_score, with_distance
 from cityfeed.functions.weather import with_weather
 from cityfeed.operators import lifecycle, matching
-from cityfeed.sources.parsers import parse
+from cityfeed.sources.parsers import parse_all, unite_pages
 from cityfeed.sources.registry import only
 from cityfeed.sources.schema import CRAWL_RUNS, EVENTS, conform
 from cityfeed.sources.tables import stage
@@ -36,27 +37,46 @@ def enrich(events: DataFrame, cache: DataFrame, weather: DataFrame, city: str, n
     return on.withColumn("quality_score", quality_score()).select(*events.columns).unionByName(off)
 
 
-def sync(state: DataFrame, payloads: DataFrame, cache: DataFrame, weather: DataFrame, now, city: str = "Essen", sources: list[str] | None = None) -> Synced:
+def sync(
+    state: DataFrame, payloads: DataFrame, cache: DataFrame, weather: DataFrame, now, city: str = "Essen", sources: list[str] | None = None,
+    clear_first: bool = False, clock: Callable[[], datetime] | None = None, on_run: Callable[[tuple], None] | None = None, retention_days: int = lifecycle.RETENTION_DAYS,
+) -> Synced:
     """Parse, merge source by source, enrich, archive, purge and merge what is the same.
 
     Sources follow each other because a source is matched against what those
-    before it brought; each step is staged. A source that fails is logged and
-    doesn't stop the others.
+    before it brought; each step is staged. A source that fails, or one of its
+    payloads, is logged and doesn't stop the others. ``clock`` times the runs,
+    ``now`` does without it; ``on_run`` gets each row of the log when a run
+    starts, as running, and when it ends. ``clear_first`` starts from no events.
     """
     spark = state.sparkSession
-    state = stage(conform(state, EVENTS), "state")
-    parsed = stage(parse(payloads, now).withColumn("pos", F.monotonically_increasing_id()), "parsed")
+    tick = clock or (lambda: now)
+    state = stage(conform(state.limit(0) if clear_first else state, EVENTS), "state")
+    landed = stage(parse_all(payloads, now).withColumn("pos", F.monotonically_increasing_id()), "parsed")
+    failed = {r["source_name"]: r for r in landed.where("error is not null").groupBy("source_name").agg(F.count("*").alias("n"), F.min("error").alias("error")).collect()}  # a row per source
+    parsed = stage(unite_pages(landed.where("error is null").drop("error")), "events")
     runs, totals = [], {"found": 0, "created": 0, "updated": 0, "merged": 0}
+
+    def log(*row):
+        if on_run:
+            on_run(row)
+        return row
+
     for k, source in enumerate(only(sources), 1):
+        began = tick()
+        log(k, source.name, began, None, "running", None, None, None, None, None)
         try:
             done = matching.upsert(state, parsed.where(F.col("source_name") == source.name), source.name, now)
             stats = matching.sync_stats(stage(done.outcome, "outcome")).first().asDict()
             state = stage(done.state, "state")
-            runs.append((k, source.name, now, now, "success", stats["found"], stats["created"], stats["updated"], stats["merged"], None))
+            lost = failed.get(source.name)
+            said = f"{lost['n']} payloads failed: {lost['error']}"[:ERROR_CHARS] if lost else None
+            status = "error" if lost and not stats["found"] else "success"
+            runs.append(log(k, source.name, began, tick(), status, stats["found"], stats["created"], stats["updated"], stats["merged"], said))
             totals = {n: totals[n] + stats[n] for n in totals}
         except Exception as e:  # the run of one source is its own; what went wrong is in the log
-            runs.append((k, source.name, now, now, "error", 0, 0, 0, 0, str(e)[:ERROR_CHARS]))
+            runs.append(log(k, source.name, began, tick(), "error", 0, 0, 0, 0, str(e)[:ERROR_CHARS]))
     events = enrich(state, cache, weather, city, now)
-    events = lifecycle.purge_broken_titles(lifecycle.purge_archived(lifecycle.archive_past(events, now), now))
+    events = lifecycle.purge_broken_titles(lifecycle.purge_archived(lifecycle.archive_past(events, now), now, retention_days))
     events = matching.retro_merge(stage(events, "events"))
     return Synced(events, spark.createDataFrame(runs, CRAWL_RUNS), totals)

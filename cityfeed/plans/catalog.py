@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,26 +13,10 @@ from cityfeed.functions.venues import KNOWN_VENUES
 from cityfeed.operators import admin, lifecycle, matching, search
 from cityfeed.operators.search import ClientState, Facets
 from cityfeed.plans.ev import NOW, NOW_SQL, VISIBLE_SQL, ev, grouped_sql, with_ev
+from cityfeed.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
 from cityfeed.sources.registry import SOURCES, sources
 from cityfeed.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name with its SQL."""
-
-    def register(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLE_SQL[key] = sql
-        return f
-
-    return register
-
-
 def _feed_columns(df: DataFrame) -> DataFrame:
     ids = F.array_join(F.transform("occurrences", lambda o: o["id"].cast("string")), ",").alias("occurrence_ids")
     return df.select("id", "title", "source_name", "category", "quality_score", "headline_at", "n_occurrences", ids)
@@ -59,7 +43,7 @@ def _in_sql(csv: str) -> str:
 
 
 FACETS = {
-    "search": (Facets(q="e_o"), "title ILIKE '%e_o%' OR venue_name ILIKE '%e_o%' OR short_description ILIKE '%e_o%'"),
+    "search": (Facets(q=" e_o "), "title ILIKE '%e_o%' OR venue_name ILIKE '%e_o%' OR short_description ILIKE '%e_o%'"),
     "dates": (Facets(start_date=date(1998, 6, 5), end_date=date(1998, 7, 5)), "start_at >= TIMESTAMP '1998-06-05' AND start_at < TIMESTAMP '1998-07-06'"),
     "category": (Facets(category="1-URGENT"), "category = '1-URGENT'"),
     "kids": (Facets(kids_only=True), "kids_suitable IN ('yes', 'likely')"),
@@ -69,6 +53,9 @@ FACETS = {
     "morning": (Facets(time_of_day="morning"), "extract(hour FROM start_at) < 12"),
     "afternoon": (Facets(time_of_day="afternoon"), "extract(hour FROM start_at) BETWEEN 12 AND 17"),
     "evening": (Facets(time_of_day="evening"), "extract(hour FROM start_at) >= 18"),
+    "vormittags": (Facets(time_of_day="vormittags"), "extract(hour FROM start_at) < 12"),
+    "nachmittags": (Facets(time_of_day="nachmittags"), "extract(hour FROM start_at) BETWEEN 12 AND 17"),
+    "abends": (Facets(time_of_day="abends"), "extract(hour FROM start_at) >= 18"),
     "favorites": (Facets(favorites=FAVORITES), f"canonical_id IN ({_in_sql(FAVORITES)})"),
 }
 
@@ -93,25 +80,32 @@ _register_facets()
 
 @query(
     with_ev(
-        ", k AS (SELECT id AS event_id, title_key, source_name FROM ev WHERE id % 97 = 0), s AS (SELECT k.event_id, string_agg(e.id::VARCHAR, ',' ORDER BY e.start_at NULLS LAST, e.id) AS sibling_ids, count(*) AS n_siblings"
-        " FROM k JOIN ev e ON e.archived_at IS NULL AND e.title_key = k.title_key AND e.source_name IS NOT DISTINCT FROM k.source_name WHERE k.title_key <> '' GROUP BY 1)"
-        " SELECT k.event_id, coalesce(sibling_ids, k.event_id::VARCHAR) AS sibling_ids, coalesce(n_siblings, 1) AS n_siblings FROM k LEFT JOIN s USING (event_id)"
+        ", l AS (SELECT title_key, source_name, string_agg(id::VARCHAR, ',' ORDER BY start_at NULLS LAST, id) AS sibling_ids, count(*) AS n_siblings FROM ev WHERE archived_at IS NULL AND title_key <> '' GROUP BY ALL)"
+        " SELECT k.id AS event_id, coalesce(sibling_ids, k.id::VARCHAR) AS sibling_ids, coalesce(n_siblings, 1) AS n_siblings FROM ev k LEFT JOIN l ON l.title_key = k.title_key AND l.source_name IS NOT DISTINCT FROM k.source_name"
     )
 )
 def event_siblings(spark, d):
-    """The active siblings of every event; the SQL still asks for every 97th only."""
-    e = ev(spark, d).select("id", "start_at", "source_name", "archived_at", text.group_title(F.col("title")).alias("k"))
-    own = e.select(F.col("id").alias("event_id"), "k", F.col("source_name").alias("s"))
-    other = e.where("archived_at is null and k <> ''").withColumnsRenamed({"k": "key", "source_name": "source"})
-    listed = other.groupBy("key", "source").agg(F.sort_array(F.collect_list(F.struct(F.col("start_at").isNull().alias("u"), "start_at", "id"))).alias("o"))
-    out = own.join(listed, (F.col("k") == F.col("key")) & F.col("s").eqNullSafe(F.col("source")), "left")
-    ids = F.array_join(F.transform("o", lambda x: x["id"].cast("string")), ",")
-    return out.select("event_id", F.coalesce(ids, F.col("event_id").cast("string")).alias("sibling_ids"), F.coalesce(F.size("o"), F.lit(1)).cast("long").alias("n_siblings"))
+    """The active siblings of every event, itself where there are none."""
+    out = search.siblings(ev(spark, d))
+    ids = F.array_join(F.transform("siblings", lambda x: x["id"].cast("string")), ",")
+    return out.select("event_id", F.coalesce(ids, F.col("event_id").cast("string")).alias("sibling_ids"), F.coalesce(F.size("siblings"), F.lit(1)).cast("long").alias("n_siblings"))
 
 
-@query(with_ev("SELECT id, title, quality_score FROM ev WHERE id = 17"))
+DETAIL = (
+    "id, canonical_id, title, short_description, start_at, is_permanent_offer, category, source_name, source_url, venue_name, address_text, lat, lon, distance_km, travel_time_minutes, indoor_outdoor, kids_suitable,"
+    " price_text, quality_score, source_count, sources_list, archived_at"
+)
+
+
+@query(
+    with_ev(
+        f" SELECT {', '.join('e.' + c for c in DETAIL.split(', '))}, coalesce((SELECT string_agg(o.id::VARCHAR, ',' ORDER BY o.start_at NULLS LAST, o.id) FROM ev o WHERE o.archived_at IS NULL AND o.title_key = e.title_key AND o.source_name = e.source_name),"
+        " e.id::VARCHAR) AS occurrence_ids FROM ev e WHERE e.id = 17"
+    )
+)
 def event_detail(spark, d):
-    return search.detail(ev(spark, d), 17).select("id", "title", "quality_score")
+    ids = F.array_join(F.transform("occurrences", lambda o: o["id"].cast("string")), ",").alias("occurrence_ids")
+    return search.detail(ev(spark, d), 17).select(*DETAIL.split(", "), ids)
 
 
 def _client_sql(first: str, last: str, travel: int) -> str:
@@ -200,11 +194,14 @@ def admin_by_category(spark, d):
     return admin.count_by(ev(spark, d), "category", "Keine")
 
 
+PROBLEM = "id, title, source_name, source_url, start_at, category, venue_name, short_description, lat, lon, quality_score, is_permanent_offer"
+
+
 def _register_problems() -> None:
     where = {"no_coords": "lat IS NULL OR lon IS NULL", "no_date": "start_at IS NULL", "no_category": "coalesce(category, '') = ''", "no_desc": "coalesce(short_description, '') = ''"}
     for kind, w in where.items():
-        sql = with_ev(f"SELECT id, title, source_name, start_at FROM ev WHERE archived_at IS NULL AND ({w}) ORDER BY id DESC LIMIT 50")
-        query(sql, f"problems_{kind}")(lambda spark, d, kind=kind: admin.problems(ev(spark, d), kind).select("id", "title", "source_name", "start_at"))
+        sql = with_ev(f"SELECT {PROBLEM} FROM ev WHERE archived_at IS NULL AND ({w}) ORDER BY id DESC LIMIT 50")
+        query(sql, f"problems_{kind}")(lambda spark, d, kind=kind: admin.problems(ev(spark, d), kind).select(*PROBLEM.split(", ")))
 
 
 _register_problems()
@@ -250,8 +247,6 @@ def crawl_last_runs(spark, d):
     " SELECT source_name, CASE WHEN base IN ('green', 'yellow') AND ok_at < TIMESTAMP '2024-02-01' - INTERVAL 48 HOUR THEN 'stale' ELSE base END AS health, last_status, last_found, coalesce(trend, '') AS trend FROM b"
 )
 def source_health(spark, d):
-    from datetime import datetime
-
     names = spark.range(25).select(F.concat(F.lit("source "), F.col("id").cast("string")).alias("source_name"))
     active = ev(spark, d)
     out = admin.sources_health(names, runs(spark, d), active, datetime(2024, 2, 1))
@@ -264,11 +259,11 @@ def source_registry(spark, d):
 
 
 def _docs(spark, d):
-    """The whole text as a line; ``LINE`` and ``BROKEN`` of the SQL still cut it to 120 and 40 characters."""
+    """The whole text as a line."""
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("line"), "text", "source")
 
 
-LINE = "line AS (SELECT doc_id, substr(replace(coalesce(text, ''), chr(10), ' '), 1, 120) AS line, text, source FROM documents)"
+LINE = "line AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS line, text, source FROM documents)"
 _INV = text.INVISIBLE
 
 
@@ -304,7 +299,7 @@ def clamp(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clamp(F.col("text"), 500).alias("clamped"))
 
 
-BROKEN = "CASE doc_id % 3 WHEN 0 THEN 'TAGESTIPP22Mo, 01. Jun | 19:00 ' WHEN 1 THEN '5Übermorgen, 12. März | 9:30' ELSE '' END || substr(coalesce(text, ''), 1, 40)"
+BROKEN = "CASE doc_id % 3 WHEN 0 THEN 'TAGESTIPP22Mo, 01. Jun | 19:00 ' WHEN 1 THEN '5Übermorgen, 12. März | 9:30' ELSE '' END || coalesce(text, '')"
 
 
 @query(f"SELECT doc_id, regexp_matches({BROKEN}, '" + text.BROKEN_TITLE.replace("(?iu)", "(?i)") + "') AS broken FROM documents")
@@ -457,13 +452,21 @@ def city_address(spark, d):
 CACHE_SQL = "cache AS (SELECT * EXCLUDE (rn) FROM (SELECT 'place ' || (user_id % 50)::VARCHAR AS query, CASE WHEN event_type <> 'click' THEN value END AS lat, ts AS fetched_at, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"
 
 
-@query(f"WITH {CACHE_SQL} SELECT c_custkey, query, lat, query IS NOT NULL AS hit FROM customer LEFT JOIN cache ON query = 'place ' || (c_custkey % 60)::VARCHAR AND TIMESTAMP '2024-02-05' - fetched_at < CASE WHEN lat IS NOT NULL THEN INTERVAL 180 DAY ELSE INTERVAL 14 DAY END")
+@query(
+    f"WITH {CACHE_SQL}, c AS (SELECT c_custkey, c_custkey % 5 = 0 AS own, c_custkey % 7 = 0 AS known, 'place ' || (c_custkey % 60)::VARCHAR || '||essen' AS key FROM customer)"
+    " SELECT c_custkey, CASE WHEN own THEN 1.5::DOUBLE WHEN known THEN 51.4293::DOUBLE ELSE lat END AS lat, CASE WHEN own THEN 'own' WHEN known THEN 'venue' WHEN lat IS NOT NULL THEN 'cache' WHEN query IS NOT NULL THEN 'miss' END AS geocoded_by"
+    " FROM c LEFT JOIN cache ON query || '||essen' = key AND TIMESTAMP '2024-02-05' - fetched_at < CASE WHEN lat IS NOT NULL THEN INTERVAL 180 DAY ELSE INTERVAL 14 DAY END"
+)
 def cache_join(spark, d):
-    e = table(spark, d, "events").select(F.concat(F.lit("place "), (F.col("user_id") % 50).cast("string")).alias("query"), F.when(F.col("event_type") != "click", F.col("value")).alias("lat"), F.col("ts").alias("fetched_at"), "event_id")
-    newest = e.groupBy("query").agg(F.max(F.struct("fetched_at", "event_id", "lat")).alias("m")).select("query", "m.lat", "m.fetched_at")
-    fresh = newest.where(weather.geocode_fresh(F.col("fetched_at"), F.col("lat"), F.lit("2024-02-05 00:00:00").cast("timestamp_ntz")))
-    c = table(spark, d, "customer").select("c_custkey", text.cache_key(F.concat(F.lit("Place  "), (F.col("c_custkey") % 60).cast("string"))).alias("k"))
-    return c.join(fresh, F.col("k") == F.col("query"), "left").select("c_custkey", "query", "lat", F.col("query").isNotNull().alias("hit"))
+    """Places of customers: their own, that of a known venue, or what the cache says."""
+    e = table(spark, d, "events").select(F.concat(F.lit("place "), (F.col("user_id") % 50).cast("string"), F.lit("||essen")).alias("query"), F.when(F.col("event_type") != "click", F.col("value")).alias("lat"), F.col("ts").alias("fetched_at"), "event_id")
+    newest = e.groupBy("query").agg(F.max(F.struct("fetched_at", "event_id", "lat")).alias("m")).select("query", "m.lat", F.col("m.lat").alias("lon"), "m.fetched_at")
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("Place  "), (k % 60).cast("string")).alias("venue_name"), F.when(k % 7 == 0, "Fest im Grugapark").otherwise("Fest").alias("title"), F.lit(None).cast("string").alias("address_text"), F.lit("Essen").alias("city"),
+        F.when(k % 5 == 0, F.lit(1.5)).alias("lat"), F.when(k % 5 == 0, F.lit(1.5)).alias("lon"),
+    )
+    return lifecycle.geocode(c, newest, "Essen", datetime(2024, 2, 5)).select("c_custkey", "lat", "geocoded_by")
 
 
 PAIRS_SQL = (
@@ -484,7 +487,7 @@ def retro_pairs(spark, d):
     return matching.retro_pairs(ev(spark, d)).select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(with_ev(", old AS (SELECT * FROM ev WHERE id % 2 = 0 AND archived_at IS NULL), new AS (SELECT * FROM ev WHERE id % 2 = 1), " + PAIRS_SQL.format(a="new", b="old") + " SELECT new.id AS a_id, min(b_id) AS match_id FROM new LEFT JOIN pairs ON new.id = a_id GROUP BY 1"))
+@query(with_ev(", old AS (SELECT * FROM ev WHERE id % 2 = 0 AND archived_at IS NULL), new AS (SELECT * FROM ev WHERE id % 2 = 1), " + PAIRS_SQL.format(a="new", b="old").replace("IS DISTINCT FROM", "<>") + " SELECT new.id AS a_id, min(b_id) AS match_id FROM new LEFT JOIN pairs ON new.id = a_id GROUP BY 1"))
 def dup_candidates(spark, d):
     e = ev(spark, d)
     return matching.cross_source_duplicate(e.where("id % 2 = 1"), e.where("id % 2 = 0"))
@@ -506,7 +509,7 @@ def _sync(spark, d):
     # two of three events are known; the batch of one source brings one of three again and the rest anew, some without a title
     state = e.where("id % 3 <> 0")
     batch = e.where("source_name = 'BUILDING' and id % 3 <> 1").withColumn("pos", F.col("id")).withColumn("title", F.when(F.col("id") % 15 != 0, F.col("title")))
-    batch = batch.withColumn("price_text", F.when(F.col("id") % 2 == 0, F.lit("neu")))
+    batch = batch.withColumns({"price_text": F.when(F.col("id") % 2 == 0, F.lit("neu")), "venue_name": F.concat(F.lit(" "), F.col("venue_name"), F.lit("  Saal"))})
     return matching.upsert(state, batch, "BUILDING", NOW)
 
 
@@ -518,7 +521,7 @@ SYNC_SQL = (
 )
 
 
-@query(with_ev(SYNC_SQL + " SELECT count(*) AS found, (SELECT count(*) FROM m WHERE match_id IS NULL) AS created, count(*) FILTER (id % 3 = 2) AS updated, (SELECT count(*) FROM m WHERE match_id IS NOT NULL) AS merged FROM batch"))
+@query(with_ev(SYNC_SQL + " SELECT count(*) AS found, (SELECT count(*) FROM m WHERE match_id IS NULL) AS created, count(*) FILTER (id % 3 = 2) AS updated, (SELECT count(DISTINCT match_id) FROM m) AS merged FROM batch"))
 def sync_stats(spark, d):
     return matching.sync_stats(_sync(spark, d).outcome)
 
@@ -526,14 +529,15 @@ def sync_stats(spark, d):
 @query(
     with_ev(
         SYNC_SQL
-        + " SELECT s.canonical_id, CASE WHEN s.source_name = 'BUILDING' AND s.id % 3 = 2 AND s.id % 2 = 0 THEN 'neu' ELSE s.price_text END AS price_text,"
+        + ", top AS (SELECT max(id) AS top FROM state), made AS (SELECT f.*, row_number() OVER (ORDER BY f.id) AS n, match_id FROM fresh f JOIN m USING (id))"
+        " SELECT s.id, s.canonical_id, CASE WHEN s.source_name = 'BUILDING' AND s.id % 3 = 2 AND s.id % 2 = 0 THEN 'neu' ELSE s.price_text END AS price_text, CASE WHEN s.source_name = 'BUILDING' AND s.id % 3 = 2 THEN s.venue_name || ' Saal' ELSE s.venue_name END AS venue_name,"
         " CASE WHEN x.match_id IS NOT NULL THEN s.sources_list || ',BUILDING' ELSE s.sources_list END AS sources_list, (CASE WHEN x.match_id IS NOT NULL THEN 2 ELSE s.source_count END)::INTEGER AS source_count"
         " FROM state s LEFT JOIN (SELECT DISTINCT match_id FROM m) x ON x.match_id = s.id UNION ALL"
-        " SELECT canonical_id, CASE WHEN f.id % 2 = 0 THEN 'neu' END, 'BUILDING', 1 FROM fresh f JOIN m USING (id) WHERE match_id IS NULL"
+        " SELECT top + n, canonical_id, CASE WHEN id % 2 = 0 THEN 'neu' END, venue_name || ' Saal', 'BUILDING', 1 FROM made, top WHERE match_id IS NULL"
     )
 )
 def upsert_merge(spark, d):
-    return _sync(spark, d).state.select("canonical_id", "price_text", "sources_list", "source_count")
+    return _sync(spark, d).state.select("id", "canonical_id", "price_text", "venue_name", "sources_list", "source_count")
 
 
 @query(with_ev(f"SELECT id, CASE WHEN archived_at IS NULL AND start_at < {NOW_SQL} AND NOT is_permanent_offer THEN {NOW_SQL} ELSE archived_at END AS archived_at FROM ev"))
@@ -568,7 +572,11 @@ def url_robots(spark, d):
     return table(spark, d, "pages").select("page_id", text.robots_url(F.col("url")).alias("robots"))
 
 
-@query()
+@query(
+    "WITH a AS (SELECT page_id, unnest(l) AS tag, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS l FROM pages)),"
+    " u AS (SELECT page_id, pos, regexp_extract(tag, 'href=\"([^\"]*)\"', 1) AS href, regexp_extract(tag, '>([^<]*)<', 1) AS label FROM a)"
+    " SELECT page_id, pos::INTEGER AS pos, replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href, trim(replace(replace(replace(label, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS label FROM u"
+)
 def html_links(spark, d):
     from cityfeed.sources.html import links
 
@@ -588,11 +596,19 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(props, "$.k", "int").alias("k"))
 
 
-@query()
+@query(
+    with_ev(
+        f", {grouped_sql(f'(SELECT * FROM ev WHERE {VISIBLE_SQL})')} SELECT canonical_id, id, title, quality_score, lat, len(occurrences)::INTEGER AS n, occurrences[1].id AS first_id, price_text IS NULL AS no_price,"
+        " 'address_text,archived_at,canonical_id,category,distance_km,id,indoor_outdoor,is_permanent_offer,kids_suitable,lat,lon,occurrences,price_text,quality_score,short_description,source_count,source_name,source_url,sources_list,start_at,title,travel_time_minutes,venue_name' AS keys FROM groups"
+    )
+)
 def snapshot_json(spark, d):
+    """The snapshot, read back from its lines."""
     from cityfeed.sources.snapshot import snapshot
 
-    return snapshot(search.feed(ev(spark, d), NOW), NOW)
+    e = F.from_json("json", "id long, title string, quality_score double, lat double, occurrences array<struct<id:long>>, price_text string")
+    out = snapshot(search.feed(ev(spark, d), NOW), NOW).select("canonical_id", e.alias("e"), F.array_join(F.json_object_keys("json"), ",").alias("keys"))
+    return out.select("canonical_id", "e.id", "e.title", "e.quality_score", "e.lat", F.size("e.occurrences").alias("n"), F.get("e.occurrences", F.lit(0))["id"].alias("first_id"), F.col("e.price_text").isNull().alias("no_price"), "keys")
 
 
 @query(
@@ -602,44 +618,6 @@ def snapshot_counts(spark, d):
     return _groups(spark, d).agg(F.count("*").alias("events"), F.sum("n_occurrences").alias("occurrences"))
 
 
-# payloads of several kinds made from the parts table, parsed back
-
-
-def _parsed(spark, d, name: str, payload, url="https://site.example/p"):
-    from cityfeed.sources.parsers import parse
-
-    rows = table(spark, d, "part").select(F.lit(name).alias("source_name"), F.lit(url).alias("url"), payload.alias("payload"))
-    return parse(rows, NOW)
-
-
-@query("SELECT p_name AS title, 'https://www.zollverein.de/e/' || p_partkey::VARCHAR AS source_url, substr(md5('/e/' || p_partkey::VARCHAR), 1, 16) AS canonical_id, TIMESTAMP '2026-04-20 14:00:00' AS start_at, p_type AS category, p_brand AS venue_name FROM part")
-def parse_json_api(spark, d):
-    item = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("/e/"), F.col("p_partkey").cast("string")).alias("url"), F.lit("2026-04-20T12:00:00Z").alias("startDate"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array("p_type").alias("category"))
-    out = _parsed(spark, d, "Zollverein", F.to_json(F.struct(F.array(item).alias("events"))))
-    return out.select("title", "source_url", "canonical_id", "start_at", "category", "venue_name")
-
-
-@query("SELECT 'Fest ' || p_name AS title, 'https://x/' || p_partkey::VARCHAR AS source_url, true AS is_permanent_offer, p_type AS category FROM part")
-def parse_rss_feed(spark, d):
-    item = F.concat(F.lit("<item><title>Fest "), F.col("p_name"), F.lit("</title><link>https://x/"), F.col("p_partkey").cast("string"), F.lit("</link><category>"), F.col("p_type"), F.lit("</category></item>"))
-    out = _parsed(spark, d, "borbeck.de", F.concat(F.lit("<rss><channel><item><title>Impressum</title></item>"), item, F.lit("</channel></rss>")))
-    return out.select("title", "source_url", "is_permanent_offer", "category")
-
-
-@query("SELECT 'ABEND ' || upper(p_name) AS title, make_timestamp(2026, 7, (p_partkey % 28 + 1)::BIGINT, 18, 30, 0) AS start_at, 'Eintritt ' || p_size::VARCHAR || ' €' AS price_text FROM part")
-def parse_text_page(spark, d):
-    day = (F.col("p_partkey") % 28 + 1).cast("string")
-    text_ = F.concat(day, F.lit(". Juli 2026\nABEND "), F.upper("p_name"), F.lit("\nEin Vortrag.\nEinlass ab 18:30\nEintritt "), F.col("p_size").cast("string"), F.lit(" €"))
-    return _parsed(spark, d, "Gasometer", text_).select("title", "start_at", "price_text")
-
-
-@query("SELECT p_name AS title, 'https://g/' || p_partkey::VARCHAR AS source_url, make_timestamp(2026, 6, (p_partkey % 28 + 1)::BIGINT, 20, 0, 0) AS start_at FROM part")
-def parse_html_page(spark, d):
-    key, day = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 28 + 1).cast("string")
-    block = F.concat(F.lit('<div class="vsel-content"><h3 class="vsel-meta-title"><a href="https://g/'), key, F.lit('">'), F.col("p_name"), F.lit('</a></h3><div class="vsel-meta-date">Fr. '), day, F.lit('.6.2026</div><div class="vsel-meta-time">20:00</div></div>'))
-    return _parsed(spark, d, "GREND", F.concat(block, block)).select("title", "source_url", "start_at")
-
-
 @query("SELECT user_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark, d):
     """The newest event of each user, from files that arrive as a stream."""
@@ -650,7 +628,7 @@ def stream_upsert(spark, d):
 
 @query(
     with_ev(
-        ", img AS (SELECT p_partkey AS pos, p_name AS label, 'https://i/' || p_partkey::VARCHAR AS url FROM part WHERE p_partkey % 40 = 0),"
+        ", img AS (SELECT p_partkey AS pos, p_name AS label, 'https://i/' || p_partkey::VARCHAR AS url FROM part),"
         " w AS (SELECT word, arg_min(url, pos) AS url FROM (SELECT pos, url, unnest(list_distinct(list_filter(string_split_regex(lower(label), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 4))) AS word FROM img) GROUP BY 1),"
         " a AS (SELECT id, unnest(ws) AS word, unnest(range(len(ws))) AS nth FROM (SELECT id, list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 5) AS ws FROM ev)),"
         " f AS (SELECT id, arg_min(url, nth) AS image_url FROM a JOIN w USING (word) GROUP BY 1) SELECT id, image_url FROM ev LEFT JOIN f USING (id)"
@@ -659,7 +637,6 @@ def stream_upsert(spark, d):
 def image_words(spark, d):
     from cityfeed.operators.enrich import attach_images
 
-    # all parts; the SQL still takes every 40th only
     images = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.concat(F.lit("https://i/"), F.col("p_partkey").cast("string")).alias("url"))
     return attach_images(ev(spark, d).withColumn("image_url", F.lit(None).cast("string")), images).select("id", "image_url")
 
@@ -715,3 +692,6 @@ def favorites_toggle(spark, d):
     kept = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 7).alias("l"))
     listed = F.array_join(F.transform(F.sort_array(toggle(F.col("l"), F.lit(3).cast("long"))), lambda x: x.cast("string")), ", ")
     return kept.select("user_id", F.concat(F.lit("["), listed, F.lit("]")).alias("favorites"))
+
+
+from cityfeed.plans import more, pages  # noqa: E402, F401  (they register theirs)

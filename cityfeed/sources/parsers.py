@@ -730,12 +730,13 @@ def parse_errors(payloads: DataFrame, now: datetime) -> DataFrame:
 STANDINS = {"Seaside Beach": hashlib.md5(b"seaside-beach").hexdigest()[:16]}
 
 
-def unite_pages(events: DataFrame) -> DataFrame:
-    """The events of all pages of a source: each id once, and a stand-in only where there is nothing else."""
+def unite_pages(events: DataFrame, order: str = "pos") -> DataFrame:
+    """The events of all pages of a source: each id once, the first by ``order``, and a stand-in only where there is nothing else."""
     standin = F.lit(False)
     for name, key in STANDINS.items():
         standin |= (F.col("source_name") == name) & (F.col("canonical_id") == key)
-    once = events.dropDuplicates(["source_name", "canonical_id"])
+    nth = F.row_number().over(Window.partitionBy("source_name", "canonical_id").orderBy(order))
+    once = events.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     busy = once.where(~standin).where(F.col("source_name").isin(*STANDINS)).select("source_name").distinct().withColumn("_busy", F.lit(True))
     return once.join(busy, "source_name", "left").where(~(standin & F.coalesce("_busy", F.lit(False)))).select(*events.columns)
 

@@ -39,11 +39,18 @@ SOURCES = [
     Source("Schatzkammer Werden", "https://www.schatzkammer-werden.de/", "html"),
 ]
 
+
 def sources(spark: SparkSession) -> DataFrame:
     """The source dimension."""
     return spark.createDataFrame([(s.name, s.base_url, s.kind, True) for s in SOURCES], "source_name string, base_url string, source_type string, active boolean")
 
 
+def seed(known: DataFrame) -> DataFrame:
+    """The source table with the registered ones inserted or updated by name; others stay as they are."""
+    new = sources(known.sparkSession)
+    return known.join(new.select("source_name"), "source_name", "left_anti").select(new.columns).unionByName(new)
+
+
 def only(names: list[str] | None) -> list[Source]:
     """The sources of the given names, all without names."""
     return [s for s in SOURCES if not names or s.name in names]

@@ -36,3 +36,8 @@ def write_snapshot(groups: DataFrame, now, path: str, generated_at: str, weather
     header = json.dumps({"generated_at": generated_at, "weather_today": weather, **counts}, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
     groups.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
     return counts
+
+
+def read_snapshot(spark, path: str, schema: str) -> DataFrame:
+    """The events of a written snapshot, with the given columns; one row per line."""
+    return spark.read.schema("value string").text(f"{path}/events").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
