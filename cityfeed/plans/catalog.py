@@ -493,7 +493,30 @@ def dup_candidates(spark, d):
     return matching.cross_source_duplicate(e.where("id % 2 = 1"), e.where("id % 2 = 0"))
 
 
-@query()
+RETRO_SQL = with_ev(
+    ", act AS (SELECT * FROM ev WHERE archived_at IS NULL AND start_at IS NOT NULL), "
+    + PAIRS_SQL.format(a="act", b="act")
+    + """, p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY a.start_at, a.id, b.start_at, b.id) AS k, a.id AS a, b.id AS b, a.source_name AS a_source, b.source_name AS b_source,
+    a.sources_list AS a_list, b.sources_list AS b_list, a.source_count AS a_count, b.source_count AS b_count
+  FROM pairs JOIN act a ON a.id = a_id JOIN act b ON b.id = b_id WHERE a.start_at < b.start_at OR (a.start_at = b.start_at AND a_id < b_id)
+), r(k, gone, lists) AS (
+  SELECT 0::BIGINT, []::BIGINT[], MAP {}::MAP(BIGINT, VARCHAR[])
+  UNION ALL
+  SELECT k, CASE WHEN skip THEN gone ELSE list_append(gone, CASE WHEN first THEN b ELSE a END) END,
+    CASE WHEN skip THEN lists ELSE map_concat(lists, MAP {CASE WHEN first THEN a ELSE b END: list_concat(own, CASE WHEN list_contains(own, other) THEN [] ELSE [other] END)}) END
+  FROM (SELECT *, CASE WHEN list_contains(had, name) THEN had ELSE list_concat([name], had) END AS own FROM (
+    SELECT p.*, r.gone, r.lists, list_contains(gone, a) OR list_contains(gone, b) AS skip, coalesce(len(lists[a]), a_count) >= coalesce(len(lists[b]), b_count) AS first,
+      CASE WHEN first THEN a_source ELSE b_source END AS name, CASE WHEN first THEN b_source ELSE a_source END AS other,
+      CASE WHEN first THEN coalesce(lists[a], string_split(a_list, ',')) ELSE coalesce(lists[b], string_split(b_list, ',')) END AS had
+    FROM r JOIN p ON p.k = r.k + 1))
+), ended AS (SELECT gone, lists FROM r ORDER BY k DESC LIMIT 1)
+SELECT id, coalesce(len(lists[id]), source_count)::INTEGER AS source_count, coalesce(array_to_string(lists[id], ','), sources_list) AS sources_list FROM ev, ended WHERE NOT list_contains(gone, id)
+"""
+).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(RETRO_SQL)
 def retro_merge(spark, d):
     return matching.retro_merge(ev(spark, d)).select("id", "source_count", "sources_list")
 
