@@ -28,3 +28,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more; other tables are left alone."""
+    spark = df.sparkSession
+    bare = lambda path: path.split(":", 1)[-1].lstrip("/").rstrip("/")
+    root = bare(shared_root(spark))
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if bare(folder.rsplit("/", 1)[0]) == root:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -194,3 +194,29 @@ def test_snapshot_is_deterministic(spark, tmp_path):
     assert lines("one") == lines("two") and '"canonical_id":"c1"' in lines("one")[0]
     with pytest.raises(Exception, match="NaN"):
         snapshot(groups.withColumn("lat", F.lit(float("nan"))), NOW).collect()
+
+
+@pytest.mark.parametrize("heavy", [100_000, 3])
+def test_components_of_chains_stars_and_hubs(spark, monkeypatch, heavy):
+    import random
+
+    from cityfeed.operators import graph
+
+    monkeypatch.setattr(graph, "HEAVY", heavy)
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)] + [(9000, k) for k in range(8000, 8050)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
