@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityfeed.sources.tables import unstage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
@@ -47,26 +49,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage, so a lost executor never repeats what led to it.
+    Within ``scratch`` its files last as long as that; with ``keep`` as long as
+    the one around it, or for good.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what ``cut`` wrote inside and was not told to keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote, once nothing reads it."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.rsplit("/", 1)[0].rstrip("/").split(":", 1)[-1].lstrip("/") == root.split(":", 1)[-1].lstrip("/"):
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    unstage(df)
 
 
 def hex_sha256(text: Column) -> Column:

@@ -31,15 +31,16 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import cut, map_arrow, slices
-from cityfeed.llm.components import components
+from cityfeed.llm.common import cut, drop_cut, map_arrow, scratch, slices
 from cityfeed.llm.rolling import chunks, mix, word_hashes
+from cityfeed.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, PICKS = 16, 4
@@ -143,21 +144,22 @@ class Aligner:
         return len(tails)
 
 
-SKETCH = "doc_id long, text_key binary, keys array<long>"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SKETCH = "doc_id long, text_key binary, size int, keys array<long>"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, keys``: the SHA-256 of the text, one key per band and those of short texts; no key without words."""
+    """``doc_id, text_key, size, keys``: the SHA-256 of the text, its number of shingles, one key per band and those of short texts; no key without words."""
 
     def run(batches):
         for batch in slices(batches, 1):
             ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
             at = 0
             for part in chunks(texts):
-                keys = [picks(s).tolist() + short_keys(s) if len(s) else [] for s in map(shingles, word_hashes(part))]
+                found = list(map(shingles, word_hashes(part)))
+                keys = [picks(s).tolist() + short_keys(s) if len(s) else [] for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array([hashlib.sha256(t).digest() for t in part], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [ids.slice(at, len(part)), pa.array([hashlib.sha256(t).digest() for t in part], pa.binary()), pa.array(map(len, found), pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
                     schema=SKETCH_ARROW,
                 )
                 at += len(part)
@@ -234,20 +236,35 @@ class _Block:
                 yield min(self.ids[k], doc), max(self.ids[k], doc), value
 
 
+def _size_class(size):
+    """Texts of similarity ``SIMILARITY`` are in the same class or in neighbours: a class spans that ratio of sizes."""
+    return F.floor(F.log(size.cast("double")) / F.lit(-log(SIMILARITY)) + F.lit(1e-9)).cast("int")
+
+
 def _compare_blocks(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between components of large buckets ``(key, doc_id, root)``.
+    """The links between components of large buckets ``(key, doc_id, root, size)``.
 
     Of two members in different components one at least is outside the largest
-    component of the bucket: these, in blocks of about ``BLOCK``, meet all
-    members as a stream.
+    component of the bucket: these form blocks of about ``BLOCK`` by classes of
+    size, and meet the members of their own and of the neighbouring classes as
+    a stream. Texts further apart in size can't be that similar.
     """
+    buckets = buckets.withColumn("class", _size_class(F.col("size")))
     by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("n"))
-    shape = by_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("apart"))
-    shape = shape.select("key", "main", F.ceil(F.col("apart") / BLOCK).alias("blocks"), F.ceil(F.col("n") / STREAM).alias("shares"))
-    rows = buckets.join(shape, "key")
-    lead = rows.where("root <> main").select("key", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"), F.lit(0).alias("kind"), "doc_id", "root")
-    pass_ = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit("share"), "doc_id"), "shares").cast("int").alias("share"), F.lit(1).alias("kind"), "doc_id", "root")
-    dealt = lead.unionByName(pass_).join(texts, "doc_id").select("key", "block", "share", "kind", "doc_id", "root", "text")
+    main = by_root.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    rows = buckets.join(main, "key")
+    lead = rows.where("root <> main")
+    blocks = lead.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # a member passes the blocks of three classes
+    near = F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)]))
+    pass_ = rows.select("key", near.alias("class"), "doc_id", "root").join(blocks, ["key", "class"])
+    shares = pass_.groupBy("key", "class").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("shares"))
+    lead = lead.join(blocks, ["key", "class"]).join(shares, ["key", "class"])
+    lead = lead.select("key", "class", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "doc_id", "root")
+    pass_ = pass_.join(shares, ["key", "class"]).select(
+        "key", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit("share"), "doc_id"), "shares").cast("int").alias("share"), F.lit(1).alias("kind"), "doc_id", "root"
+    )
+    dealt = lead.unionByName(pass_).join(texts, "doc_id").select(F.xxhash64("key", "class").alias("key"), "block", "share", "kind", "doc_id", "root", "text")
     dealt = dealt.repartition("key", "block", "share").sortWithinPartitions("key", "block", "share", "kind", "doc_id")
 
     def run(batches):
@@ -277,7 +294,7 @@ def _link_batch(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join whatever the buckets ``(key, doc_id, n)`` can show to be linked."""
+    """Links that join whatever the buckets ``(key, doc_id, n, size)`` can show to be linked."""
     # the member that meets most others over all its buckets: in a group of edited copies the text they come from
     met = buckets.groupBy("doc_id").agg(F.sum("n").alias("met"))
     leaders = buckets.join(met, "doc_id").groupBy("key").agg(F.min(F.struct(-F.col("met"), F.col("doc_id")))["doc_id"].alias("leader"))
@@ -286,14 +303,14 @@ def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     found = cut(_compare(cut(star, "pairs"), texts), "links")
     root = components(found.select("a", "b")).select(F.col("node").alias("doc_id"), "root")
     # the leader is done with; what remains of a bucket matters if it holds several components
-    rest = buckets.where("n > 2").join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id")
-    rest = rest.join(root, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rest = buckets.where("n > 2").join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id", "size")
+    rest = rest.join(root, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "size")
     open_ = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
     rest = cut(rest.join(open_, "key"), "rest")
     small = rest.where(F.col("n") <= SMALL).select("key", "doc_id", "root")
     pairs = small.join(small.select("key", F.col("doc_id").alias("leader"), F.col("root").alias("lead_root")), "key").where("leader < doc_id and root <> lead_root")
     pairs = cut(pairs.select("leader", F.col("doc_id").alias("member")).distinct(), "pairs")
-    more = _compare(pairs, texts).union(_compare_blocks(rest.where(F.col("n") > SMALL).select("key", "doc_id", "root"), texts))
+    more = _compare(pairs, texts).union(_compare_blocks(rest.where(F.col("n") > SMALL).select("key", "doc_id", "root", "size"), texts))
     return found.union(cut(more, "links")).distinct()
 
 
@@ -304,14 +321,18 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = known.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
     known = cut(known.join(reps, "text_key").select("doc_id", "rep", "text_key"), "known")
     chosen = known.where("doc_id = rep").select("doc_id", "text_key")
-    keyed = sketched.join(chosen, ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
+    keyed = sketched.join(chosen, ["doc_id", "text_key"], "left_semi").select("doc_id", "size", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut(keyed.join(shared, "key"), "buckets")
     near = _ids(buckets)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(near, "doc_id")
     # where an id has several texts, the one that stands for it; equal rows give one
     texts = rows.groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")) if _has_repeats(sketched) else rows.select("doc_id", "text")
-    found = cut(_links(buckets, cut(texts, "texts")), "found")
+    with scratch(docs.sparkSession):
+        texts = cut(texts, "texts")
+        found = cut(_links(buckets, texts), "found", keep=True)
+    for used in (sketched, buckets):
+        drop_cut(used)
     root = components(found.select("a", "b")).select(F.col("node").alias("rep"), "root")
     degree = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = known.join(root, "rep", "left").join(degree, "rep", "left")
