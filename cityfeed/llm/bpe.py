@@ -36,14 +36,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cityfeed.llm.common import Kept, map_arrow, slices
+from cityfeed.llm.common import Kept, give_back, map_arrow, slices
 
 LONG_PIECE = 512
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
 #: Pieces and characters of pieces that a worker remembers between chunks.
-KEPT, KEPT_CHARS = 200_000, 4 << 20
+KEPT, KEPT_CHARS = 150_000, 4 << 20
 #: Rows that the rounds of one query may add up to.
-QUERY_ROWS = 1_000_000
+QUERY_ROWS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -136,10 +136,10 @@ class _Known(dict):
             self.met = np.concatenate((self.met, np.zeros(len(self) - len(self.met), np.int64)))
         self.met += np.bincount(numbers, minlength=len(self))
 
-    def forget(self) -> None:
-        """Beyond the bounds, keep the half of them that was met most often; older meetings count less."""
+    def forget(self) -> bool:
+        """Beyond the bounds, keep the half of them that was met most often; older meetings count less. Whether anything went."""
         if len(self) <= KEPT and len(self.said.flat) <= KEPT_CHARS:
-            return
+            return False
         order = np.argsort(-self.met, kind="stable")
         fits = np.cumsum(self.said.n[order]) <= KEPT_CHARS // 2
         stay = np.sort(order[: KEPT // 2][fits[: KEPT // 2]])
@@ -149,6 +149,7 @@ class _Known(dict):
         self.met = self.met[stay] // 2
         self.ids.keep(stay)
         self.said.keep(stay)
+        return True
 
 
 class Encoder:
@@ -281,8 +282,8 @@ class Encoder:
         known.count(np.concatenate(chunk))
         for numbers in chunk:
             yield known.ids.gather(numbers), known.said.gather(numbers)
-        known.forget()
-        self.pieces.forget()
+        if known.forget() | self.pieces.forget():
+            give_back()
 
 
 _ENCODERS = Kept()
