@@ -220,3 +220,24 @@ def test_components_of_chains_stars_and_hubs(spark, monkeypatch, heavy):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_service_parameters():
+    with pytest.raises(ValueError):
+        search.time_of_day_named("nachts")
+    assert Facets(q="  a b ", kids_only=True, category="all", max_travel_time=30).to_query() == "kids_only=true&max_travel_time=30&q=a+b"
+
+
+def test_config():
+    from cityfeed.sources.config import Config
+
+    assert Config.from_env({"SYNC_INTERVAL_SECONDS": "60", "NOMINATIM_CONTACT": ""}) == Config(sync_interval_seconds=60)
+    with pytest.raises(ValueError):
+        Config.from_env({"ARCHIVE_RETENTION_DAYS": "two"})
+
+
+def test_now_in_berlin(spark):
+    row = spark.range(1).select(dates.now_berlin().alias("n"), F.current_timestamp().cast("long").alias("s")).first()
+    from zoneinfo import ZoneInfo
+
+    assert abs((row.n - datetime.fromtimestamp(row.s, ZoneInfo("Europe/Berlin")).replace(tzinfo=None)).total_seconds()) < 2
