@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from cityfeed.llm.common import Kept, give_back, map_arrow, slices
 
 LONG_PIECE = 512
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 2 << 20
 #: Pieces and characters of pieces that a worker remembers between chunks.
-KEPT, KEPT_CHARS = 150_000, 4 << 20
+KEPT, KEPT_CHARS = 180_000, 4 << 20
 #: Rows that the rounds of one query may add up to.
-QUERY_ROWS = 500_000
+QUERY_ROWS = 750_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
