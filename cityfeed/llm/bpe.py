@@ -12,7 +12,7 @@ than ``LONG_PIECE`` bytes are merged with a heap, which contracts the same
 pairs in the same order; they are decoded by the same query as the others.
 
 Memory is bounded by ``CHUNK_CHARS`` of text and one document, ``QUERY_ROWS``
-rows of a query, and ``KEPT`` and ``KEPT_CHARS`` of remembered pieces. What is
+rows of a query, and by what is remembered. What is
 remembered serves all partitions that a worker encodes, the pieces met most
 often outlive the others, and all is given up once the worker stops encoding.
 DuckDB may not write to the worker's disk.
@@ -40,8 +40,8 @@ from cityfeed.llm.common import Kept, give_back, map_arrow, slices
 
 LONG_PIECE = 512
 CHUNK_CHARS = 2 << 20
-#: Pieces and characters of pieces that a worker remembers between chunks.
-KEPT, KEPT_CHARS = 180_000, 4 << 20
+#: Pieces, stretches of text between spaces, and bytes of either that a worker remembers between chunks.
+KEPT_PIECES, KEPT_STRETCHES, KEPT_BYTES = 300_000, 200_000, 4 << 20
 #: Rows that the rounds of one query may add up to.
 QUERY_ROWS = 750_000
 
@@ -121,7 +121,8 @@ class _Pool:
 class _Known(dict):
     """Texts to their numbers, with the ids and the decoded bytes of each, and how often each was met."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: list[str] = []
         self.met = np.zeros(0, np.int64)
         self.ids, self.said = _Pool(np.uint32), _Pool(np.uint8)
@@ -137,12 +138,11 @@ class _Known(dict):
         self.met += np.bincount(numbers, minlength=len(self))
 
     def forget(self) -> bool:
-        """Beyond the bounds, keep the half of them that was met most often; older meetings count less. Whether anything went."""
-        if len(self) <= KEPT and len(self.said.flat) <= KEPT_CHARS:
+        """Beyond the bounds, keep the two thirds that were met most often; older meetings count less. Whether anything went."""
+        if len(self) <= self.most and len(self.said.flat) <= KEPT_BYTES:
             return False
-        order = np.argsort(-self.met, kind="stable")
-        fits = np.cumsum(self.said.n[order]) <= KEPT_CHARS // 2
-        stay = np.sort(order[: KEPT // 2][fits[: KEPT // 2]])
+        order = np.argsort(-self.met, kind="stable")[: 2 * self.most // 3]
+        stay = np.sort(order[np.cumsum(self.said.n[order]) <= 2 * KEPT_BYTES // 3])
         names = list(self)
         self.clear()
         self.update((names[k], i) for i, k in enumerate(stay.tolist()))
@@ -169,7 +169,7 @@ class Encoder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         for name in ("merges_in", "vocabulary_in"):
             self.db.unregister(name)
-        self.pieces, self.stretches = _Known(), _Known()
+        self.pieces, self.stretches = _Known(KEPT_PIECES), _Known(KEPT_STRETCHES)
 
     def close(self) -> None:
         self.db.close()
