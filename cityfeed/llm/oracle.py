@@ -141,10 +141,74 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), l AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), met AS (
+  SELECT part, array_to_string(o, '') AS filter_order, good, toxic, list_transform(o, lambda x: fails[ascii(x) - 64]) AS r FROM f, orders
+), step AS (
+  SELECT part, filter_order, unnest(range(1, 6)) AS step, good, toxic, r, list_position(r, true) AS gone, len(list_filter(r, lambda x: x)) AS n_fails FROM met
+), counted AS (
+  SELECT part, filter_order, step::INTEGER AS step, count(*) FILTER (gone IS NULL OR gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+    count(*) FILTER (r[step] AND gone < step) AS redundant, count(*) FILTER (r[step] AND n_fails = 1) AS unique_fails,
+    count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND toxic) AS toxic_lost
+  FROM step GROUP BY ALL
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counted
+"""
+
+
+def _past(name: str, key: str) -> str:
+    """Lines and returned ones of strictly earlier times with the same value, the own fold left out."""
+    earlier = "ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+    over = lambda x, k: f"coalesce(sum({x}) OVER (PARTITION BY {k} {earlier}), 0)"
+    return ", ".join(f"({over(x, key)} - {over(x, key + ', fold')})::BIGINT AS {name}_{c}" for c, x in (("n", "1"), ("s", "back")))
+
+
+def _rate(name: str, prior: str) -> str:
+    return f"CASE WHEN {name}_n < 1 THEN {prior} ELSE (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) END"
+
+
+_KEYS = {"every": "1", "item": "item_id", "kind": "kind", "vendor": "vendor_id", "nation": "nation_id", "client": "client_id", "segment": "segment"}
+OP13 = f"""
+WITH l AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at, coalesce(flag = 'returned', false)::INTEGER AS back
+  FROM sale_lines l JOIN sales s ON l.sale_id = s.sale_id WHERE s.sold_at IS NOT NULL
+), a AS (
+  SELECT l.*, kind, v.nation_id, segment FROM l LEFT JOIN items USING (item_id) LEFT JOIN vendors v USING (vendor_id) LEFT JOIN clients USING (client_id)
+), bits AS (
+  SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM (SELECT unnest(range(256)) AS n)
+), crc_table AS (SELECT list(crc ORDER BY n) AS t FROM bits
+), folds AS (
+  SELECT sale_id, xor(list_reduce([4294967295] || list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 AS fold
+  FROM (SELECT DISTINCT sale_id FROM a), crc_table
+), h AS (SELECT a.*, fold FROM a JOIN folds USING (sale_id)
+), p AS (
+  SELECT *, {", ".join(_past(n, k) for n, k in _KEYS.items())} FROM h
+), q AS (SELECT *, {_rate("every", "500000")} AS whole FROM p
+), r AS (SELECT *, {_rate("kind", "whole")} AS of_kind, {_rate("nation", "whole")} AS of_nation, {_rate("segment", "whole")} AS of_segment FROM q)
+SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, sum(back)::BIGINT AS n_returned,
+  any_value(item_n) AS item_n, any_value({_rate("item", "of_kind")}) AS item_rate, any_value(vendor_n) AS vendor_n, any_value({_rate("vendor", "of_nation")}) AS vendor_rate,
+  any_value(client_n) AS client_n, any_value({_rate("client", "of_segment")}) AS client_rate
+FROM r GROUP BY sale_id, item_id, vendor_id
+"""
+
 ORACLE_SQL = {
     "op1_quality_rules": OP1,
     "op3_chat_formatting": OP3,
     "op7_url_filters": OP7,
     "op8_line_dedup": OP8,
     "op10_decontamination": OP10,
+    "op12_filter_audit": OP12,
+    "op13_time_encoding": OP13,
 }

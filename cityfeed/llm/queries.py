@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityfeed.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+from cityfeed.llm import bpe, chat_format, decontaminate, filter_audit, language_id, line_dedup, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, time_encoding, url_filter
 from cityfeed.llm.common import table
 from cityfeed.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -55,6 +55,18 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_time_encoding(spark, sf_dir):
+    return time_encoding.encode_sales(*(table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -73,4 +85,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op11_language_id": op11_language_id,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_time_encoding": op13_time_encoding,
 }
