@@ -1,24 +1,24 @@
 """Target encoding in the order of time, out of fold.
 
 A row's rate in a column is taken from the rows of other folds that are
-strictly earlier and share its value there. Columns are stacked, so one pass
-encodes all of them:
-
-* rows are counted by column, value, time and fold, and a key's counts of one
-  time are a vector with two components for each fold;
-* a key's times fall into chunks of ``CHUNK_SECONDS``; the vectors of a chunk
-  add up to one, and a scan over the chunks of a key gives what came before
-  each. A chunk, and the chunks of a key, grow with the calendar and not with
-  the rows, as those of one time have been added up before; so neither a
-  frequent value nor the column that all rows share gathers in a task;
-* within a chunk a prefix scan starts from that vector. Every time that is
-  asked for is one of the scanned times, so the latest strictly earlier vector
-  is the scan's state before it: all folds' total less the own fold.
-
-What was asked returns to its rows by joins whose hashed side has one row for
-each key, time and fold; the other side may have a frequent key, which Spark's
-skew join splits. Attributes of ids are looked up with a salt. Nothing is
-broadcast, and nothing but plans and file names reaches the driver.
+strictly earlier and share its value there. For each column
+
+* the rows of a value and a chunk of ``CHUNK_SECONDS`` are counted, folds
+  pivoted into a vector of two components for each fold, and a scan over the
+  chunks of a value gives the vector before each. Rows are summed up before
+  they are shuffled, and a value has one vector for each chunk at most, so its
+  vectors grow with the calendar and not with the rows;
+* the rows go, by value and chunk and in the order of time, through a prefix
+  scan that starts from that vector. Rows of one time add up to one vector and
+  see the scan's state before it, their latest strictly earlier vector: the
+  total of all folds less that of their own.
+
+What a value says about itself, such as the kind of an item, comes with the
+vectors of its chunks, and those of that attribute are sums of these; so no
+join meets the rows of a frequent value. Rows stream through the scan, Spark
+sorts and spills them; the value that all rows share is dealt by chunk like
+any other. Nothing is broadcast, and nothing but plans and file names reaches
+the driver.
 
 Defined results: see ``encode_sales``.
 """
@@ -32,21 +32,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cityfeed.llm.common import cut, map_arrow
 
 FOLDS = 5
-CHUNK_SECONDS = 7 * 86_400
+CHUNK_SECONDS = 86_400
 SMOOTHING, SCALE, FIRST_PRIOR = 50, 1_000_000, 500_000
-#: Parts that the rows of an id are dealt to where its attribute is looked up.
-SALTS = 8
-
-KEY = ["k", "id", "label"]
-COUNTS = "k int, id long, label string, t long, fold int, n long, s long"
-COUNTS_ARROW = pa.schema([("k", pa.int32()), ("id", pa.int64()), ("label", pa.string()), ("t", pa.int64()), ("fold", pa.int32()), ("n", pa.int64()), ("s", pa.int64())])
-#: Time of the row that holds what came before a chunk; it sorts before all others.
+#: Time of the row that holds the vector before a chunk; it sorts before all others.
 BEFORE = -(1 << 63)
+#: Lower bits of the sort key that tell the place of a time in its chunk.
+PLACE_BITS = 20
 
 
 def fold_of(key: Column, folds: int = FOLDS) -> Column:
@@ -59,90 +56,139 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
 
 
-def key_of(column: int, value: Column, text: bool = False) -> Column:
-    """Struct of ``k, id, label`` of a value of the column numbered so; null is a value of its own, and no part is null."""
-    null = value.isNull()
-    part = F.coalesce(value.cast("string" if text else "long"), F.lit("") if text else F.lit(0).cast("long"))
-    return F.struct(
-        F.when(null, F.lit(2 * column + 1)).otherwise(F.lit(2 * column)).alias("k"),
-        (F.lit(0).cast("long") if text else part).alias("id"),
-        (part if text else F.lit("")).alias("label"),
-    )
+def chunk_of(t: Column, chunk_seconds: int = CHUNK_SECONDS) -> Column:
+    return F.floor(t / (chunk_seconds * 1_000_000)).cast("int")
+
+
+def chunk_vectors(rows: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
+    """``key, chunk, v0, v1, ...``: the sums of ``n`` and then of ``s`` by fold."""
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"v{i * folds + f}") for i, c in enumerate("ns") for f in range(folds)]
+    return rows.groupBy(key, "chunk").agg(*sums)
+
+
+def added_up(vectors: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
+    """The vectors of a coarser key: ``key, chunk, v0, v1, ...``."""
+    return vectors.groupBy(key, "chunk").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(2 * folds)])
+
+
+def with_attribute(vectors: DataFrame, key: str, table: DataFrame, of: str, name: str) -> DataFrame:
+    """``vectors`` with the attribute ``name`` of their key; of repeated rows the least counts."""
+    known = table.where(F.col(of).isNotNull()).groupBy(F.col(of).alias("_of")).agg(F.min(name).alias(name))
+    return vectors.join(known.hint("shuffle_hash"), F.col(key) == F.col("_of"), "left").drop("_of")
+
+
+def _group_hash(key: str) -> Column:
+    return F.xxhash64(key, "chunk")
 
 
-def stacked(rows: DataFrame, keys: list[Column]) -> DataFrame:
-    """A row of ``k, id, label, t, fold, n, s`` for each row and key."""
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "t", "fold", "n", "s").select("key.*", "t", "fold", "n", "s")
+def _order(chunk_seconds: int) -> Column:
+    """One number to sort by: the upper bits of the hash of value and chunk, then the place of the time in its chunk."""
+    size = chunk_seconds * 1_000_000
+    first = F.col("chunk") * F.lit(size).cast("long")
+    # BEFORE comes to lie at the chunk's first place
+    place = F.call_function("div", F.greatest(F.col("t"), first) - first, F.lit(-(-size >> PLACE_BITS)).cast("long"))
+    place = F.least(F.lit((1 << PLACE_BITS) - 1).cast("long"), place)
+    return F.col("_hash").bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(place)
 
 
-def _scan(folds: int):
-    """Runs over rows in the order of key, chunk, time and fold and yields the counts before each, its own fold left out.
+class _State:
+    """Of a value and chunk: the vector before the last time, the sum of that time so far, that time, and the attribute."""
 
-    Between batches it carries the vector before the last time and the sum of
-    that time so far, as two rows in front of the next batch.
+    def __init__(self, before, own, time, said):
+        self.before, self.own, self.time, self.said = before, own, time, said
+
+
+def _scan(key: str, name: str, attribute: str | None, folds: int):
+    """Runs over rows in the order of ``_order`` and time, and adds the counts before each, its own fold left out.
+
+    Rows of equal upper bits are nearly always of one value and chunk; should
+    two share them, their rows alternate and are taken apart. What a batch
+    leaves behind goes in front of the next rows of its value and chunk, as
+    two rows.
     """
 
+    def groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = pc.fill_null(batch.column(key).dictionary_encode().indices, -1).to_numpy()
+        return batch.column("_order").to_numpy() >> PLACE_BITS, codes, batch.column("chunk").to_numpy()
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        out = np.ones(len(columns[0]), bool)
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return out
+
+    def added(batch: pa.RecordBatch, new_key: np.ndarray, state: _State | None) -> tuple[pa.RecordBatch, _State]:
+        """The rows with their counts, and the state of the last value and chunk; ``state`` is that of the first one."""
+        t = batch.column("t").to_numpy()
+        starts, at = np.flatnonzero(t == BEFORE), np.flatnonzero(t != BEFORE)
+        rows = batch.take(pa.array(at)) if len(starts) else batch
+        fold = rows.column("fold").to_numpy()
+        vectors = np.zeros((len(t) + 2, 2 * folds), np.int64)
+        vectors[at + 2, fold] = rows.column("n").to_numpy()
+        vectors[at + 2, folds + fold] = rows.column("s").to_numpy()
+        if len(starts):
+            vectors[starts + 2] = batch.column("history").take(pa.array(starts)).flatten().to_numpy().reshape(len(starts), 2 * folds)
+        new_time = new_key.copy()
+        new_time[1:] |= t[1:] != t[:-1]
+        if state is not None:
+            vectors[0], vectors[1] = state.before, state.own
+            new_time[0] = state.time != int(t[0])
+        new_key, new_time = np.concatenate(([True, False, state is None], new_key[1:])), np.concatenate(([True, True], new_time))
+        place = np.arange(len(vectors))
+        sums = np.concatenate((np.zeros((1, 2 * folds), np.int64), np.cumsum(vectors, axis=0)))
+        key_at = np.maximum.accumulate(np.where(new_key, place, 0))
+        time_at = np.maximum.accumulate(np.where(new_time, place, 0))
+        earlier = sums[time_at] - sums[key_at]
+        before, own = earlier[-1], sums[-1] - sums[time_at[-1]]
+        earlier, each = earlier[2:][at], np.arange(len(at))
+        out = {c: rows.column(c) for c in rows.schema.names if c not in ("chunk", "history", "_order", attribute)}
+        said = None
+        if attribute:
+            # that of the row in front of the chunk, or what was known when the batch began
+            kind = batch.schema.field(attribute).type
+            of_key = pa.chunked_array([pa.array([state.said if state else None], kind), pa.array([None], kind), batch.column(attribute)]).take(pa.array(key_at)).combine_chunks()
+            said = of_key[len(of_key) - 1].as_py()
+            out[attribute] = of_key.slice(2).take(pa.array(at))
+        out[f"{name}_n"] = pa.array(earlier[:, :folds].sum(axis=1) - earlier[each, fold])
+        out[f"{name}_s"] = pa.array(earlier[:, folds:].sum(axis=1) - earlier[each, folds + fold])
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out)), _State(before, own, int(t[-1]), said)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before, own = None, np.zeros(2 * folds, np.int64), np.zeros(2 * folds, np.int64)
+        last, states = None, {}  # the states of the values and chunks of the last equal bits
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, id_, t, fold, chunk = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("k", "id", "t", "fold", "chunk"))
-            label, history = batch.column("label"), batch.column("history")
-            vectors = np.zeros((len(k), 2 * folds), np.int64)
-            at = np.flatnonzero(t != BEFORE)
-            vectors[at, fold[at]] = batch.column("n").to_numpy()[at]
-            vectors[at, folds + fold[at]] = batch.column("s").to_numpy()[at]
-            starts = np.flatnonzero(t == BEFORE)
-            if len(starts):
-                vectors[starts] = history.take(pa.array(starts)).flatten().to_numpy().reshape(len(starts), 2 * folds)
-            new_group = np.ones(len(k), bool)
-            new_group[1:] = (k[1:] != k[:-1]) | (id_[1:] != id_[:-1]) | (chunk[1:] != chunk[:-1]) | pc.not_equal(label[1:], label[:-1]).to_numpy(zero_copy_only=False)
-            new_time = new_group.copy()
-            new_time[1:] |= t[1:] != t[:-1]
-            head = (int(k[0]), int(id_[0]), label[0].as_py(), int(chunk[0]))
-            goes_on = last is not None and last[:4] == head
-            vectors = np.concatenate((np.stack((before, own)), vectors))
-            new_group = np.concatenate(([True, False], new_group))
-            new_time = np.concatenate(([True, True], new_time))
-            new_group[2] = not goes_on
-            new_time[2] = not (goes_on and last[4] == int(t[0]))
-            rows = np.arange(len(vectors))
-            sums = np.concatenate((np.zeros((1, 2 * folds), np.int64), np.cumsum(vectors, axis=0)))
-            group_at = np.maximum.accumulate(np.where(new_group, rows, 0))
-            time_at = np.maximum.accumulate(np.where(new_time, rows, 0))
-            earlier = sums[time_at] - sums[group_at]
-            last = (int(k[-1]), int(id_[-1]), label[-1].as_py(), int(chunk[-1]), int(t[-1]))
-            before, own = earlier[-1], sums[-1] - sums[time_at[-1]]
-            earlier = earlier[2:][at]
-            each = np.arange(len(at))
-            n = earlier[:, :folds].sum(axis=1) - earlier[each, fold[at]]
-            s = earlier[:, folds:].sum(axis=1) - earlier[each, folds + fold[at]]
-            stay = batch.select(["k", "id", "label", "t", "fold"])
-            if len(starts):
-                stay = stay.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*stay.columns, pa.array(n), pa.array(s)], schema=COUNTS_ARROW)
+            bits, codes, chunk = groups(batch)
+            parts = [(batch, bits, codes, chunk)]
+            if (changes(bits, codes, chunk) & ~changes(bits)).any():
+                order = np.lexsort((np.arange(len(bits)), chunk, codes, np.cumsum(changes(bits))))
+                ends = [*np.flatnonzero(changes(bits[order], codes[order], chunk[order]))[1:].tolist(), len(order)]
+                parts = [(batch.take(pa.array(o := order[a:b])), bits[o], codes[o], chunk[o]) for a, b in zip([0, *ends], ends, strict=False)]
+            for part, bits, codes, chunk in parts:
+                values = part.column(key)
+                out, state = added(part, changes(codes, chunk), states.get((values[0].as_py(), int(chunk[0]))) if int(bits[0]) == last else None)
+                yield out
+                if int(bits[-1]) != last:
+                    last, states = int(bits[-1]), {}
+                states[values[len(values) - 1].as_py(), int(chunk[-1])] = state
 
     return run
 
 
-def earlier_counts(rows: DataFrame, folds: int = FOLDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """``k, id, label, t, fold, n, s``: of every key, time and fold in ``rows``, the sums of ``n`` and ``s`` over strictly earlier rows of other folds.
+def with_history(rows: DataFrame, key: str, vectors: DataFrame, name: str, attribute: str | None = None, folds: int = FOLDS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """``rows`` with ``{name}_n`` and ``{name}_s``, the sums of ``n`` and ``s`` over strictly earlier rows of other folds with their ``key``, and its attribute.
 
-    ``rows`` has these columns, none of them null; rows with ``n`` 0 ask and
-    count nothing. The result has one row for each key, time and fold.
+    ``rows`` have the columns ``t, fold, n, s``; ``vectors`` are those of the
+    key's chunks. A null key is a key of its own.
     """
-    chunk = F.floor(F.col("t") / (chunk_seconds * 1_000_000)).cast("int")
-    counted = rows.groupBy(*KEY, "t", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("chunk", chunk)
-    wide = {f"{c}{f}": F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for c in "ns" for f in range(folds)}
-    totals = counted.groupBy(*KEY, "chunk").agg(*[v.alias(x) for x, v in wide.items()])
-    past = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    history = F.array(*[F.coalesce(F.sum(x).over(past), F.lit(0)) for x in wide])
-    starts = totals.select(*KEY, F.lit(BEFORE).alias("t"), F.lit(0).alias("fold"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), "chunk", history.alias("history"))
-    starts = starts.where(F.exists("history", lambda x: x != 0))
-    both = counted.withColumn("history", F.lit(None).cast("array<long>")).unionByName(starts)
-    dealt = both.repartition(*KEY, "chunk").sortWithinPartitions(*KEY, "chunk", "t", "fold")
-    return map_arrow(dealt, _scan(folds), COUNTS)
+    past = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    history = F.array(*[F.coalesce(F.sum(f"v{k}").over(past), F.lit(0)) for k in range(2 * folds)])
+    starts = vectors.select(key, "chunk", F.lit(BEFORE).alias("t"), history.alias("history"), *([attribute] if attribute else []))
+    dated = rows.withColumn("chunk", chunk_of(F.col("t"), chunk_seconds))
+    both = dated.unionByName(starts, allowMissingColumns=True).withColumn("_hash", _group_hash(key))
+    dealt = both.withColumn("_order", _order(chunk_seconds)).repartition("_hash").sortWithinPartitions("_order", "t").drop("_hash")
+    fields = [f for f in dealt.schema.fields if f.name not in ("chunk", "history", "_order", attribute)]
+    fields += [f for f in dealt.schema.fields if f.name == attribute] + [StructField(f"{name}_{c}", LongType()) for c in "ns"]
+    return map_arrow(dealt, _scan(key, name, attribute, folds), StructType(fields))
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
@@ -150,25 +196,6 @@ def rate(n: Column, s: Column, prior: Column) -> Column:
     return F.when(n < 1, prior).otherwise(F.call_function("div", SCALE * s + SMOOTHING * prior, n + SMOOTHING))
 
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, of: str, value: str, name: str) -> DataFrame:
-    """``rows`` with the attribute ``value`` of their ``key``; the rows of an id are dealt to ``SALTS`` parts."""
-    known = table.where(F.col(of).isNotNull()).groupBy(F.col(of).alias("_id")).agg(F.min(value).alias(name))
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("sale_id"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_part", salt).join(known.hint("shuffle_hash"), (F.col(key) == F.col("_id")) & (F.col("_part") == F.col("_salt")), "left").drop("_part", "_id", "_salt")
-
-
-def _with_counts(rows: DataFrame, counts: DataFrame, column: int, key: Column, name: str) -> DataFrame:
-    """``rows`` with ``{name}_n`` and ``{name}_s`` of their key, time and fold."""
-    own = counts.where(F.col("k").isin(2 * column, 2 * column + 1)).select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "t", "fold")], F.col("n").alias(f"{name}_n"), F.col("s").alias(f"{name}_s"))
-    met = rows.withColumn("_key", key)
-    on = [F.col("_key.k") == F.col("_k"), F.col("_key.id") == F.col("_id"), F.col("_key.label") == F.col("_label"), F.col("t") == F.col("_t"), F.col("fold") == F.col("_fold")]
-    return met.join(own.hint("shuffle_hash"), on, "left").drop("_key", *[f"_{c}" for c in (*KEY, "t", "fold")])
-
-
-ITEM, KIND, VENDOR, NATION, CLIENT, SEGMENT, ALL = range(7)
-
-
 def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Per sale, item and vendor: its lines, the returned ones, and for the ids the count and rate of returns in their history.
 
@@ -179,39 +206,39 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     count each, as a line does for every row of a repeated sale. Empty tables
     give no row or no attributes. Other columns are ignored.
     """
+    chunk = chunk_of(F.col("t"), chunk_seconds)
     unit = lines.where("sale_id is not null").groupBy("sale_id", F.coalesce("item_id", F.lit(-1).cast("long")).alias("item_id"), "vendor_id")
     unit = unit.agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "returned").alias("s"))
-    sold = sales.where("sale_id is not null and sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1).cast("long")).alias("client_id"), micros(F.col("sold_at")).alias("t"))
-    sold = _looked_up(sold, "client_id", clients, "client_id", "segment", "segment").withColumn("fold", fold_of(F.col("sale_id"))).withColumnRenamed("sale_id", "_sale")
+    sold = sales.where("sale_id is not null and sold_at is not null").select(F.col("sale_id").alias("_sale"), F.coalesce("client_id", F.lit(-1).cast("long")).alias("client_id"), micros(F.col("sold_at")).alias("t"))
     unit = unit.join(sold.hint("shuffle_hash"), F.col("sale_id") == F.col("_sale")).drop("_sale")
-    unit = _looked_up(unit, "item_id", items, "item_id", "kind", "kind")
-    unit = cut(_looked_up(unit, "vendor_id", vendors, "vendor_id", "nation_id", "nation_id"), "units")
-    sale = unit.groupBy("sale_id", "client_id", "segment", "t", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-
-    line_keys = {"item": (ITEM, key_of(ITEM, F.col("item_id"))), "kind": (KIND, key_of(KIND, F.col("kind"), True)), "vendor": (VENDOR, key_of(VENDOR, F.col("vendor_id"))), "nation": (NATION, key_of(NATION, F.col("nation_id")))}
-    sale_keys = {"client": (CLIENT, key_of(CLIENT, F.col("client_id"))), "segment": (SEGMENT, key_of(SEGMENT, F.col("segment"), True)), "all": (ALL, key_of(ALL, F.lit(0)))}
-    asked = stacked(unit, [k for _, k in line_keys.values()]).unionByName(stacked(sale, [k for _, k in sale_keys.values()]))
-    counts = cut(earlier_counts(asked, chunk_seconds=chunk_seconds), "counts")
-
-    for name, (number, key) in sale_keys.items():
-        sale = _with_counts(sale, counts, number, key, name)
-    of_sale = [f"{name}_{c}" for name in sale_keys for c in "ns"]
-    sale = sale.select(F.col("sale_id").alias("_sale"), F.col("t").alias("_t"), F.col("client_id").alias("_client"), *of_sale)
-    for name, (number, key) in line_keys.items():
-        unit = _with_counts(unit, counts, number, key, name)
-    out = unit.join(sale.hint("shuffle_hash"), (F.col("sale_id") == F.col("_sale")) & (F.col("t") == F.col("_t")) & (F.col("client_id") == F.col("_client")))
+    unit = cut(unit.withColumn("fold", fold_of(F.col("sale_id"))), "units")
+    sale = cut(unit.groupBy("sale_id", "client_id", "t", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "sold")
+
+    def both_columns(rows: DataFrame, of: DataFrame, key: str, table: DataFrame, attribute: str) -> tuple[DataFrame, DataFrame]:
+        vectors = cut(with_attribute(chunk_vectors(of.withColumn("chunk", chunk), key), key, table, key, attribute), "vectors")
+        rows = with_history(rows, key, vectors, key, attribute, chunk_seconds=chunk_seconds)
+        return with_history(rows, attribute, added_up(vectors, attribute), attribute, chunk_seconds=chunk_seconds), vectors
+
+    sale, vectors = both_columns(sale, sale, "client_id", clients, "segment")
+    sale = sale.withColumn("all", F.lit(0))
+    sale = with_history(sale, "all", added_up(vectors.withColumn("all", F.lit(0)), "all"), "whole", chunk_seconds=chunk_seconds)
+    sale = sale.select(F.col("sale_id").alias("_sale"), F.col("client_id").alias("_client"), F.col("t").alias("_t"), *[f"{x}_{c}" for x in ("client_id", "segment", "whole") for c in "ns"])
+    rows = unit.select("sale_id", "item_id", "vendor_id", "client_id", "t", "fold", "n", "s")
+    rows, _ = both_columns(rows, unit, "item_id", items, "kind")
+    rows, _ = both_columns(rows.drop("kind"), unit, "vendor_id", vendors, "nation_id")
+    out = rows.join(sale.hint("shuffle_hash"), (F.col("sale_id") == F.col("_sale")) & (F.col("t") == F.col("_t")) & (F.col("client_id") == F.col("_client")))
     smoothed = lambda name, prior: rate(F.col(f"{name}_n"), F.col(f"{name}_s"), prior)
-    whole = smoothed("all", F.lit(FIRST_PRIOR).cast("long"))
+    whole = smoothed("whole", F.lit(FIRST_PRIOR).cast("long"))
     return out.select(
         "sale_id",
         "item_id",
         "vendor_id",
         F.col("n").alias("n_lines"),
         F.col("s").alias("n_returned"),
-        "item_n",
-        smoothed("item", smoothed("kind", whole)).alias("item_rate"),
-        "vendor_n",
-        smoothed("vendor", smoothed("nation", whole)).alias("vendor_rate"),
-        "client_n",
-        smoothed("client", smoothed("segment", whole)).alias("client_rate"),
+        F.col("item_id_n").alias("item_n"),
+        smoothed("item_id", smoothed("kind", whole)).alias("item_rate"),
+        F.col("vendor_id_n").alias("vendor_n"),
+        smoothed("vendor_id", smoothed("nation_id", whole)).alias("vendor_rate"),
+        F.col("client_id_n").alias("client_n"),
+        smoothed("client_id", smoothed("segment", whole)).alias("client_rate"),
     )
