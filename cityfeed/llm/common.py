@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_SCRATCH: list[list[str]] = []
+#: What the ``scratch`` blocks of this thread or task have to delete, innermost last; another query has its own.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
@@ -62,8 +64,9 @@ def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(path)
+    blocks = _SCRATCH.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,12 +77,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Deletes at its end what ``cut`` wrote inside and was not told to keep."""
-    _SCRATCH.append([])
+    """Deletes at its end what ``cut`` wrote inside, in the same thread, and was not told to keep."""
+    own: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), own))
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        _SCRATCH.reset(token)
+        for path in own:
             _delete(spark, path)
 
 
@@ -144,13 +149,14 @@ class Kept:
     def use(self, key, make: Callable):
         """The object for ``key``, made anew if another one is kept."""
         with self.lock:
-            self.users += 1
             if self.timer:
                 self.timer.cancel()
             if self.key != key:
                 self._close()
-                self.key, self.value = key, make()
+                self.value = make()  # should it fail, nothing is kept and nobody uses it
+                self.key = key
             value = self.value
+            self.users += 1
         try:
             yield value
         finally:

@@ -49,7 +49,7 @@ def test_url_links_against_sql(spark, tmp_path):
 
 def test_names():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_pipeline_stages(spark):
