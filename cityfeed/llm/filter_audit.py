@@ -30,7 +30,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityfeed.llm.common import let
+from cityfeed.llm.common import cut, let
 from cityfeed.llm.quality_rules import BLANKS
 
 LETTERS = ("A", "B", "C", "D", "E")
@@ -120,7 +120,7 @@ def audit(failed: DataFrame, letters: Sequence[str] = LETTERS) -> DataFrame:
     it, |S|! (k - 1 - |S|)! times for k filters.
     """
     spark = failed.sparkSession
-    alive = survivors(failed, letters)
+    alive = cut(survivors(cut(failed, "failed"), letters), "alive")
     k, full = len(letters), (1 << len(letters)) - 1
     pairs = [(s, s | 1 << f, letters[f], 1 << f, full & ~(1 << f), factorial(s.bit_count()) * factorial(k - 1 - s.bit_count())) for f in range(k) for s in range(full + 1) if not s >> f & 1]
     pair = F.broadcast(spark.createDataFrame(pairs, "before int, after int, filter string, alone int, others int, weight long"))  # k * 2^(k-1) rows
