@@ -111,7 +111,8 @@ def alias_verdicts(edges: DataFrame, rules) -> DataFrame:
     names = pairs.select(F.col("a").alias("node"), F.col("src").alias("url")).union(pairs.select(F.col("b").alias("node"), F.col("dst").alias("url")))
     judged = names.select("node", fitting_rule(host(F.col("url")), path(F.col("url")), rules)["verdict"].alias("said")).where("said is not null")
     # "allow" sorts before "block", so the least verdict lets an explicit allow win
-    by_root = members.join(judged, "node").groupBy("root").agg(F.min("said").alias("alias_verdict"))
+    by_root = cut(members.join(judged, "node").groupBy("root").agg(F.min("said").alias("alias_verdict")), "verdicts")
+    # the verdicts are a table of their own, so Spark's skew join may split the nodes of a giant component
     return members.join(by_root, "root").groupBy("node").agg(F.min("alias_verdict").alias("alias_verdict"))
 
 
