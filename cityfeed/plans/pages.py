@@ -41,17 +41,23 @@ def _parsed(spark, d, name: str, payload, url=PLACE):
     return parse(rows, NOW)
 
 
+def _read_by_spark(spark, d, name: str, payload, url=PLACE):
+    from cityfeed.sources.native import events
+
+    return events(table(spark, d, "part").select(F.lit(name).alias("source_name"), F.lit(url).alias("url"), payload.alias("payload")), name, NOW)
+
+
 @query("SELECT p_name AS title, 'https://www.zollverein.de/e/' || p_partkey::VARCHAR AS source_url, substr(md5('/e/' || p_partkey::VARCHAR), 1, 16) AS canonical_id, TIMESTAMP '2026-04-20 14:00:00' AS start_at, p_type AS category, p_brand AS venue_name FROM part")
 def parse_json_api(spark, d):
     item = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("/e/"), F.col("p_partkey").cast("string")).alias("url"), F.lit("2026-04-20T12:00:00Z").alias("startDate"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.array("p_type").alias("category"))
-    out = _parsed(spark, d, "Zollverein", F.to_json(F.struct(F.array(item).alias("events"))))
+    out = _read_by_spark(spark, d, "Zollverein", F.to_json(F.struct(F.array(item).alias("events"))))
     return out.select("title", "source_url", "canonical_id", "start_at", "category", "venue_name")
 
 
 @query("SELECT 'Fest ' || p_name AS title, 'https://x/' || p_partkey::VARCHAR AS source_url, true AS is_permanent_offer, p_type AS category FROM part")
 def parse_rss_feed(spark, d):
     item = F.concat(F.lit("<item><title>Fest "), F.col("p_name"), F.lit("</title><link>https://x/"), F.col("p_partkey").cast("string"), F.lit("</link><category>"), F.col("p_type"), F.lit("</category></item>"))
-    out = _parsed(spark, d, "borbeck.de", F.concat(F.lit("<rss><channel><item><title>Impressum</title></item>"), item, F.lit("</channel></rss>")))
+    out = _read_by_spark(spark, d, "borbeck.de", F.concat(F.lit("<rss><channel><item><title>Impressum</title></item>"), item, F.lit("</channel></rss>")))
     return out.select("title", "source_url", "is_permanent_offer", "category")
 
 
@@ -81,7 +87,7 @@ def parse_zollverein_html(spark, d):
 @query("SELECT 'Spiel ' || p_name AS title, 'https://x/' || p_partkey::VARCHAR AS source_url, 'yes' AS kids_suitable, 'Für ' || p_type AS short_description, 'Kultur' AS category FROM part")
 def parse_kids_feed(spark, d):
     feed = _markup("<rss><channel><item><title>Newsletter</title></item><item><title>Spiel {name}</title><link>https://x/{key}</link><description>&lt;p&gt;Für {type}&lt;/p&gt;</description><category>Kultur</category></item></channel></rss>", type=F.col("p_type"))
-    return _parsed(spark, d, "Ruhrpott-Kids", feed).select("title", "source_url", "kids_suitable", "short_description", "category")
+    return _read_by_spark(spark, d, "Ruhrpott-Kids", feed).select("title", "source_url", "kids_suitable", "short_description", "category")
 
 
 @query("SELECT p_name AS title, TIMESTAMP '2026-07-15 19:30:00' AS start_at, p_brand AS venue_name, 'Weg ' || p_size::VARCHAR AS address_text, 51.5::DOUBLE AS lat, p_retailprice AS lon, 'https://i/' || p_partkey::VARCHAR AS image_url, 'https://www.rausgegangen.de/e/' || p_partkey::VARCHAR AS source_url FROM part")
@@ -210,9 +216,9 @@ def parse_script_bundle(spark, d):
     return _parsed(spark, d, "GOP Varieté", page).select("title", "start_at", "is_permanent_offer", "source_url", "kids_suitable", "short_description")
 
 
-@query("SELECT 'Vortrag ' || p_name AS title, make_timestamp(2026, 7, (p_partkey % 28 + 1)::BIGINT, 18, 30, 0) AS start_at, 'https://www.krupp-stiftung.de/programm/' || p_partkey::VARCHAR || '/' AS source_url, 'https://i' AS image_url, 'unknown' AS kids_suitable FROM part UNION ALL SELECT 'Family ' || p_name, NULL, 'https://www.krupp-stiftung.de/programm/f/', NULL, 'yes' FROM part")
+@query("SELECT 'Vortrag ' || p_name AS title, make_timestamp(2026, 7, (p_partkey % 28 + 1)::BIGINT, 18, 30, 0) AS start_at, 'https://www.krupp-stiftung.de/programm/' || p_partkey::VARCHAR || '/' AS source_url, 'https://i' AS image_url, 'unknown' AS kids_suitable, CASE WHEN p_partkey % 3 = 0 THEN 'both' ELSE 'indoor' END AS indoor_outdoor FROM part UNION ALL SELECT 'Family ' || p_name, NULL, 'https://www.krupp-stiftung.de/programm/f/', NULL, 'yes', CASE WHEN p_partkey % 3 = 0 THEN 'both' ELSE 'indoor' END FROM part")
 def parse_page_data(spark, d):
-    item = lambda i, title, slug, term, image: F.struct(i.alias("id"), F.concat(F.lit(title + " "), _name()).alias("title"), slug.alias("slug"), F.lit("Reform").alias("subtitle"), term.alias("date_as_string"), image.alias("thumbnail"))
+    item = lambda i, title, slug, term, image: F.struct(i.alias("id"), F.concat(F.lit(title + " "), _name()).alias("title"), slug.alias("slug"), F.when(F.col("p_partkey") % 3 == 0, "Im Stadtpark").otherwise("Reform").alias("subtitle"), term.alias("date_as_string"), image.alias("thumbnail"))
     none, image = F.lit(None).cast("struct<src:string>"), F.struct(F.lit("https://i").alias("src"))
     items = [
         item(_key(), "Vortrag\r\n", _key(), F.concat(_day(), F.lit(". Juli 2026, 18:30")), image),
@@ -220,7 +226,8 @@ def parse_page_data(spark, d):
         item(F.concat(F.lit("k"), _key()), "Kino", F.lit("k"), F.lit("Abgeschlossen"), none),
     ]
     data = F.to_json(F.struct(F.struct(F.struct(F.array(*items).alias("programs")).alias("pageProps")).alias("props")))
-    return _parsed(spark, d, "Villa Hügel", F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script>"))).select("title", "start_at", "source_url", "image_url", "kids_suitable")
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script>"))
+    return _read_by_spark(spark, d, "Villa Hügel", page).select("title", "start_at", "source_url", "image_url", "kids_suitable", "indoor_outdoor")
 
 
 @query("SELECT 'Party ' || p_name AS title, make_timestamp(2026, 6, (p_partkey % 28 + 1)::BIGINT, 0, 0, 0) AS start_at, 'https://www.zechecarl.de/c/260605-' || p_partkey::VARCHAR AS source_url, 'https://c/p.png' AS image_url FROM part")
