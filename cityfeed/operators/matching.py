@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +23,25 @@ def _keyed(events: DataFrame, columns: dict[str, str]) -> DataFrame:
     return events.where("start_at is not null").select(*[F.col(c).alias(n) for c, n in columns.items()], title_tokens(F.col("title")).alias("words")).where(F.size("words") > 0)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, null_differs: bool = True) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, null_differs: bool = True, also: Column | None = None, of_left: tuple[str, ...] = (), of_right: tuple[str, ...] = ()) -> DataFrame:
     """``(a_id, b_id, similarity)``: titles alike, sources different, starts at most twelve hours apart.
 
     A missing source differs from any named one, or from none with ``null_differs`` false.
+    ``also`` is a further condition over the columns ``of_left`` and ``of_right``.
 
     The band is an equi-join on half-day numbers, one row of ``left`` meeting
     three; since similar titles share a word, the word is part of the join key
     as well, which keeps a busy half day from becoming one hot key. Each pair
     counts at the first word the two share.
     """
-    a = _keyed(left, {"id": "a_id", "source_name": "a_source", "start_at": "a_start"}).withColumnRenamed("words", "a_words")
-    b = _keyed(right, {"id": "b_id", "source_name": "b_source", "start_at": "b_start"}).withColumnRenamed("words", "b_words")
+    a = _keyed(left, {"id": "a_id", "source_name": "a_source", "start_at": "a_start"} | {c: c for c in of_left}).withColumnRenamed("words", "a_words")
+    b = _keyed(right, {"id": "b_id", "source_name": "b_source", "start_at": "b_start"} | {c: c for c in of_right}).withColumnRenamed("words", "b_words")
     a = a.withColumn("bin", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: _bin(F.col("a_start")) + k))).withColumn("word", F.explode("a_words"))
     b = b.withColumn("bin", _bin(F.col("b_start"))).withColumn("word", F.explode("b_words"))
     gap = F.abs(F.timestamp_diff("SECOND", F.col("a_start"), F.col("b_start")))
     near = a.join(b, ["bin", "word"]).where((gap <= BAND_HOURS * 3600) & (~F.col("a_source").eqNullSafe(F.col("b_source")) if null_differs else F.col("a_source") != F.col("b_source")))
+    if also is not None:
+        near = near.where(also)
     near = near.where(F.col("word") == F.get(F.array_intersect("a_words", "b_words"), F.lit(0)))
     return near.withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words"))).where(F.col("similarity") >= SIMILAR).select("a_id", "b_id", "similarity")
 
@@ -65,37 +67,14 @@ def retro_merge(events: DataFrame) -> DataFrame:
     Pairs are taken by start, then id; the event with the higher source count,
     the earlier one on a tie, stays and takes over the other's source. An
     event that is gone takes part in no further pair. Events that share no
-    chain of pairs don't affect each other, so each component is replayed by
-    itself.
+    chain of pairs don't affect each other, so components are replayed side by
+    side, each in the order of time.
     """
     from cityfeed.operators.graph import components
+    from cityfeed.operators.replay import replay
 
-    pairs = retro_pairs(events)
-    members = components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    rows = members.withColumnRenamed("node", "id").join(events, "id").select("root", "id", "start_at", "source_name", "sources_list", "source_count")
-    rooted = pairs.join(members.withColumnRenamed("node", "a_id"), "a_id").select(F.col("root").alias("of"), "a_id", "b_id")
-
-    def replay(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_at", "id"]).reset_index(drop=True)
-        place = {i: k for k, i in enumerate(rows.id)}
-        count = [1 if pd.isna(c) or not c else int(c) for c in rows.source_count]
-        names = [None if pd.isna(s) else s for s in rows.source_name]
-        lists = [[x.strip() for x in (s or "").split(",") if x.strip()] if isinstance(s, str) else [] for s in rows.sources_list]
-        gone = [False] * len(rows)
-        touched = [False] * len(rows)
-        for a, b in sorted((place[a], place[b]) for a, b in zip(pairs.a_id, pairs.b_id, strict=True)):
-            if gone[a] or gone[b]:
-                continue
-            keep, drop = (a, b) if count[a] >= count[b] else (b, a)
-            if names[keep] and names[keep] not in lists[keep]:
-                lists[keep].insert(0, names[keep])
-            if names[drop] and names[drop] not in lists[keep]:
-                lists[keep].append(names[drop])
-            count[keep] = len(lists[keep])
-            gone[drop] = touched[keep] = True
-        return pd.DataFrame({"id": rows.id, "gone": gone, "touched": touched, "new_list": [",".join(x) for x in lists], "new_count": count})
-
-    changes = rows.groupBy("root").cogroup(rooted.groupBy("of")).applyInPandas(replay, "id long, gone boolean, touched boolean, new_list string, new_count int")
+    pairs = stage(retro_pairs(events), "pairs")
+    changes = replay(events, pairs, components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), BAND_HOURS)
     out = events.join(changes, "id", "left").where(~F.coalesce("gone", F.lit(False)))
     touched = F.coalesce("touched", F.lit(False))
     return out.withColumns(
@@ -116,17 +95,18 @@ def add_source(sources: Column, own: Column, other: Column) -> Column:
     return F.when(truthy(other) & ~F.array_contains(current, other), F.concat(current, F.array(other))).otherwise(current)
 
 
-def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """``rows`` with consecutive numbers from 1 by ``order``, without gathering them in one task.
+def numbered(rows: DataFrame, order: str | list[Column], name: str = "n") -> DataFrame:
+    """``rows`` with consecutive numbers from 1 by ``order``, a column or sort orders, without gathering them in one task.
 
     Rows are dealt by ranges of ``order`` and staged; the driver sees one count
     per range.
     """
-    dealt = stage(rows.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
+    by = [F.col(order).asc_nulls_first()] if isinstance(order, str) else order
+    dealt = stage(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = sorted(map(tuple, dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()))
     before = dict(zip((r for r, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
     offsets = rows.sparkSession.createDataFrame(list(before.items()), "_range int, _before long")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first()))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")  # a row per range
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cityfeed.functions import dates
 from cityfeed.functions.text import truthy
+from cityfeed.operators.firstcome import first_come
 from cityfeed.operators.grouping import group_events
+from cityfeed.sources.tables import stage
 
 MAX_LIMIT, DEFAULT_LIMIT, ROWS_PER_RESULT, MAX_ROWS = 200, 50, 10, 2000
 TOP_PICK_SCORE, TOP_PICKS = 0.6, 3
@@ -290,6 +292,29 @@ def pixel_clusters(groups: DataFrame, zoom: int, pixels: int = 40) -> DataFrame:
     return map_points(groups).groupBy(*cell).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
 
 
+def radius_clusters(groups: DataFrame, zoom: int, pixels: int = 40) -> DataFrame:
+    """Clusters of points within ``pixels`` of their first one, on a Mercator map of that zoom: ``anchor, n, lat, lon``.
+
+    In the order of ids, a point joins the first cluster whose anchor is within
+    the radius, and is the anchor of a new one without such. Places count in
+    whole pixels, so all points of a pixel fall to one cluster and are added up
+    first, and a place has some 5,000 neighbours at most; they are found in the
+    nine squares around it.
+    """
+    size = 256.0 * 2**zoom
+    y = (0.5 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / (2 * math.pi)) * size
+    points = map_points(groups).select("id", "lat", "lon", F.floor((F.col("lon") + 180) / 360 * size).alias("x"), F.floor(y).alias("y"))
+    places = stage(points.groupBy("x", "y").agg(F.min("id").alias("p"), F.count("*").alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon")), "places")
+    square = [F.floor(F.col(c) / pixels).alias(f"s{c}") for c in "xy"]
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    own = places.select("p", "x", "y", *square, F.explode(around).alias("d")).select("p", "x", "y", (F.col("sx") + F.col("d.a")).alias("sx"), (F.col("sy") + F.col("d.b")).alias("sy"))
+    others = places.select(F.col("p").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), *square)
+    near = own.join(others, ["sx", "sy"]).where((F.col("q") < F.col("p")) & ((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2 <= pixels**2))
+    joined = first_come(near.select("p", "q", F.lit(False).alias("own"))).where("fate = 'merged'").select("p", "match")
+    members = places.join(joined, "p", "left").groupBy(F.coalesce("match", "p").alias("anchor"))
+    return members.agg(F.sum("n").alias("n"), F.round(F.sum("lat") / F.sum("n"), 6).alias("lat"), F.round(F.sum("lon") / F.sum("n"), 6).alias("lon"))
+
+
 def map_legend(groups: DataFrame) -> DataFrame:
     """Categories of the points on the map, sorted."""
     return map_points(groups).where(truthy(F.col("category"))).select("category").distinct().orderBy("category")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cityfeed.functions import classify, dates, geo, text, weather
 from cityfeed.functions.venues import KNOWN_VENUES
-from cityfeed.operators import admin, lifecycle, matching, search
+from cityfeed.operators import admin, lifecycle, matching, merging, search
 from cityfeed.operators.search import ClientState, Facets
 from cityfeed.plans.ev import NOW, NOW_SQL, VISIBLE_SQL, ev, grouped_sql, with_ev
 from cityfeed.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -200,8 +200,14 @@ PROBLEM = "id, title, source_name, source_url, start_at, category, venue_name, s
 def _register_problems() -> None:
     where = {"no_coords": "lat IS NULL OR lon IS NULL", "no_date": "start_at IS NULL", "no_category": "coalesce(category, '') = ''", "no_desc": "coalesce(short_description, '') = ''"}
     for kind, w in where.items():
-        sql = with_ev(f"SELECT {PROBLEM} FROM ev WHERE archived_at IS NULL AND ({w}) ORDER BY id DESC LIMIT 50")
-        query(sql, f"problems_{kind}")(lambda spark, d, kind=kind: admin.problems(ev(spark, d), kind).select(*PROBLEM.split(", ")))
+        sql = with_ev(f", described AS (SELECT * REPLACE (CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE short_description END AS short_description) FROM ev) SELECT {PROBLEM} FROM described WHERE archived_at IS NULL AND ({w}) ORDER BY id DESC LIMIT 50")
+        query(sql, f"problems_{kind}")(lambda spark, d, kind=kind: admin.problems(_some_described(spark, d), kind).select(*PROBLEM.split(", ")))
+
+
+def _some_described(spark, d):
+    """Events, two of seven without a description."""
+    nth = F.col("id") % 7
+    return ev(spark, d).withColumn("short_description", F.when(nth == 1, F.lit("")).when(nth != 0, F.col("short_description")))
 
 
 _register_problems()
@@ -253,9 +259,15 @@ def source_health(spark, d):
     return out.select("source_name", "health", "last_status", "last_found", F.array_join(F.transform("trend", lambda x: x.cast("string")), ",").alias("trend"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s.name}', '{s.kind}')" for s in SOURCES) + ") t(source_name, source_type)")
+_REGISTRY = "(VALUES " + ", ".join(f"({k}, '{s.name}', '{s.kind}')" for k, s in enumerate(SOURCES)) + ") t(k, source_name, source_type)"
+
+
+@query(f"SELECT source_name, source_type, count(*) AS n, min(p_partkey) AS first FROM part JOIN {_REGISTRY} ON p_partkey % {len(SOURCES) + 3} = k GROUP BY 1, 2")
 def source_registry(spark, d):
-    return sources(spark).select("source_name", "source_type")
+    """Parts by the registered source that their number names; some name none."""
+    names = F.array(*[F.lit(s.name) for s in SOURCES])
+    named = table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % (len(SOURCES) + 3)).cast("int")).alias("source_name"))
+    return named.join(F.broadcast(sources(spark)), "source_name").groupBy("source_name", "source_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))  # a row per source
 
 
 def _docs(spark, d):
@@ -527,39 +539,67 @@ def batch_dedup(spark, d):
     return matching.first_of_batch(e, "id").select("canonical_id", "id")
 
 
+#: Sources in the order in which their batches are merged.
+BATCHES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def _sync(spark, d):
     e = ev(spark, d)
-    # two of three events are known; the batch of one source brings one of three again and the rest anew, some without a title
+    # two of three events are known; every source brings one of three again and the rest anew, some without a title
     state = e.where("id % 3 <> 0")
-    batch = e.where("source_name = 'BUILDING' and id % 3 <> 1").withColumn("pos", F.col("id")).withColumn("title", F.when(F.col("id") % 15 != 0, F.col("title")))
+    batch = e.where("id % 3 <> 1").withColumn("pos", F.col("id")).withColumn("title", F.when(F.col("id") % 15 != 0, F.col("title")))
     batch = batch.withColumns({"price_text": F.when(F.col("id") % 2 == 0, F.lit("neu")), "venue_name": F.concat(F.lit(" "), F.col("venue_name"), F.lit("  Saal"))})
-    return matching.upsert(state, batch, "BUILDING", NOW)
+    return merging.upsert_all(state, batch, BATCHES, NOW)
+
+
+def _sync_sql() -> str:
+    """The sources one after the other: of source k the fresh rows ``fk``, their matches ``mk``, the events ``ek`` made of them, and what is known then, ``kk``."""
+    out = [
+        ", state AS (SELECT * FROM ev WHERE id % 3 <> 0), batch AS (SELECT *, CASE WHEN id % 15 <> 0 THEN title END AS t FROM ev WHERE id % 3 <> 1), fresh AS (SELECT * FROM batch WHERE id % 3 = 0 AND t IS NOT NULL),"
+        " k0 AS (SELECT id, start_at, source_name, words FROM state WHERE archived_at IS NULL), t0 AS (SELECT max(id) AS top FROM state)"
+    ]
+    for k, name in enumerate(BATCHES, 1):
+        out += [
+            f"f{k} AS (SELECT * FROM fresh WHERE source_name = '{name}')",
+            PAIRS_SQL.format(a=f"f{k}", b=f"k{k - 1}").replace("pairs AS", f"p{k} AS MATERIALIZED", 1),
+            f"m{k} AS (SELECT id, match_id, row_number() OVER (ORDER BY id) AS n FROM (SELECT f.id, min(b_id) AS match_id FROM f{k} f LEFT JOIN p{k} ON a_id = f.id GROUP BY 1))",
+            f"e{k} AS (SELECT m.id AS old_id, top + n AS id FROM m{k} m, t{k - 1} WHERE match_id IS NULL)",
+            f"t{k} AS (SELECT greatest(top, (SELECT max(id) FROM e{k})) AS top FROM t{k - 1})",
+            f"k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT e.id, start_at, source_name, words FROM e{k} e JOIN f{k} f ON f.id = e.old_id WHERE archived_at IS NULL)",
+        ]
+    each = lambda sql: " UNION ALL ".join(sql.format(k=k, name=name) for k, name in enumerate(BATCHES, 1))
+    out += [
+        f"made AS ({each('SELECT * FROM e{k}')})",
+        f"met AS ({each('SELECT DISTINCT match_id, {k} AS k, ' + chr(39) + '{name}' + chr(39) + ' AS name FROM m{k} WHERE match_id IS NOT NULL')})",
+        "lists AS (SELECT match_id, string_agg(name, ',' ORDER BY k) AS others, count(*) AS n FROM met GROUP BY 1)",
+    ]
+    return ", ".join(out)
+
+
+SYNC_SQL = _sync_sql()
 
 
-SYNC_SQL = (
-    ", state AS (SELECT * FROM ev WHERE id % 3 <> 0), batch AS (SELECT *, CASE WHEN id % 15 <> 0 THEN title END AS t FROM ev WHERE source_name = 'BUILDING' AND id % 3 <> 1), fresh AS (SELECT * FROM batch WHERE id % 3 = 0 AND t IS NOT NULL),"
-    " known AS (SELECT * FROM state WHERE archived_at IS NULL), "
-    + PAIRS_SQL.format(a="fresh", b="known")
-    + ", m AS (SELECT f.id, min(b_id) AS match_id FROM fresh f LEFT JOIN pairs ON a_id = f.id GROUP BY 1)"
+@query(
+    with_ev(
+        SYNC_SQL + " SELECT b.source_name, count(*) AS found, count(made.id) AS created, count(*) FILTER (b.id % 3 = 2) AS updated, any_value(coalesce(merged, 0)) AS merged"
+        " FROM batch b LEFT JOIN made ON made.old_id = b.id LEFT JOIN (SELECT name, count(*) AS merged FROM met GROUP BY 1) x ON x.name = b.source_name GROUP BY 1"
+    )
 )
-
-
-@query(with_ev(SYNC_SQL + " SELECT count(*) AS found, (SELECT count(*) FROM m WHERE match_id IS NULL) AS created, count(*) FILTER (id % 3 = 2) AS updated, (SELECT count(DISTINCT match_id) FROM m) AS merged FROM batch"))
 def sync_stats(spark, d):
-    return matching.sync_stats(_sync(spark, d).outcome)
+    """What the merge of all sources did, by source."""
+    return merging.stats_by_source(_sync(spark, d).outcome)
 
 
 @query(
     with_ev(
         SYNC_SQL
-        + ", top AS (SELECT max(id) AS top FROM state), made AS (SELECT f.*, row_number() OVER (ORDER BY f.id) AS n, match_id FROM fresh f JOIN m USING (id))"
-        " SELECT s.id, s.canonical_id, CASE WHEN s.source_name = 'BUILDING' AND s.id % 3 = 2 AND s.id % 2 = 0 THEN 'neu' ELSE s.price_text END AS price_text, CASE WHEN s.source_name = 'BUILDING' AND s.id % 3 = 2 THEN s.venue_name || ' Saal' ELSE s.venue_name END AS venue_name,"
-        " CASE WHEN x.match_id IS NOT NULL THEN s.sources_list || ',BUILDING' ELSE s.sources_list END AS sources_list, (CASE WHEN x.match_id IS NOT NULL THEN 2 ELSE s.source_count END)::INTEGER AS source_count"
-        " FROM state s LEFT JOIN (SELECT DISTINCT match_id FROM m) x ON x.match_id = s.id UNION ALL"
-        " SELECT top + n, canonical_id, CASE WHEN id % 2 = 0 THEN 'neu' END, venue_name || ' Saal', 'BUILDING', 1 FROM made, top WHERE match_id IS NULL"
+        + ", everything AS (SELECT id, canonical_id, CASE WHEN id % 3 = 2 AND id % 2 = 0 THEN 'neu' ELSE price_text END AS price_text, CASE WHEN id % 3 = 2 THEN venue_name || ' Saal' ELSE venue_name END AS venue_name, sources_list, source_count FROM state UNION ALL"
+        " SELECT made.id, canonical_id, CASE WHEN old_id % 2 = 0 THEN 'neu' END, venue_name || ' Saal', source_name, 1 FROM made JOIN fresh ON fresh.id = old_id)"
+        " SELECT id, canonical_id, price_text, venue_name, sources_list || coalesce(',' || others, '') AS sources_list, (CASE WHEN n IS NOT NULL THEN 1 + n ELSE source_count END)::INTEGER AS source_count FROM everything LEFT JOIN lists ON match_id = id"
     )
 )
 def upsert_merge(spark, d):
+    """The batches of all sources, each matched against what those before it brought."""
     return _sync(spark, d).state.select("id", "canonical_id", "price_text", "venue_name", "sources_list", "source_count")
 
 
@@ -717,4 +757,4 @@ def favorites_toggle(spark, d):
     return kept.select("user_id", F.concat(F.lit("["), listed, F.lit("]")).alias("favorites"))
 
 
-from cityfeed.plans import more, pages  # noqa: E402, F401  (they register theirs)
+from cityfeed.plans import kept, more, pages  # noqa: E402, F401  (they register theirs)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from cityfeed.functions import dates, geo, text, weather
 from cityfeed.operators import admin, search
+from cityfeed.operators.matching import numbered
 from cityfeed.operators.search import ClientState
 from cityfeed.plans.ev import NOW, NOW_SQL, VISIBLE_SQL, ev, grouped_sql, with_ev
 from cityfeed.plans.registered import query
+from cityfeed.sources.registry import SOURCES
 from cityfeed.sources.tables import shared_root, table
 
 GROUPS_SQL = f", {grouped_sql(f'(SELECT * FROM ev WHERE {VISIBLE_SQL})')}"
@@ -32,24 +34,16 @@ def _register_client_sorts() -> None:
         sql = with_ev(
             GROUPS_SQL + ", x AS (SELECT id, quality_score, travel_time_minutes, unnest(occurrences) AS o, is_permanent_offer FROM groups),"
             f" y AS (SELECT id, quality_score, travel_time_minutes, min(o.start_at) AS effective_at FROM x WHERE o.start_at IS NULL OR o.start_at >= {NOW_SQL} OR is_permanent_offer GROUP BY ALL)"
-            f" SELECT row_number() OVER (ORDER BY {order})::INTEGER AS place, id, effective_at FROM y ORDER BY place LIMIT 100"
+            f" SELECT row_number() OVER (ORDER BY {order})::INTEGER AS place, id, effective_at FROM y"
         )
 
         def run(spark, d, name=name):
-            listed = search.client_list(_groups(spark, d), NOW, ClientState(range="", max_travel_time=0, sort=name)).limit(100)
-            rows = listed.select(F.collect_list(F.struct("id", "effective_at")).over(_all(name)).alias("l"), "id", "effective_at")
-            return rows.select(F.size("l").alias("place"), "id", "effective_at")
+            listed = search.client_feed(_groups(spark, d), NOW, ClientState(range="", max_travel_time=0, sort=name))
+            return numbered(listed, search.client_order(name), "place").select(F.col("place").cast("int").alias("place"), "id", "effective_at")
 
         query(sql, f"client_sort_{name}")(run)
 
 
-def _all(sort: str):
-    """The first hundred in their order: places of a bounded list."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1)).orderBy(*search.client_order(sort)).rowsBetween(Window.unboundedPreceding, 0)
-
-
 _register_client_sorts()
 
 
@@ -213,14 +207,18 @@ def conform_schema(spark, d):
     return rows.select(F.col("id").alias("c_custkey"), in_enum("kids_suitable", KIDS_SUITABLE).alias("kids"), "travel_time_minutes")
 
 
-@query("SELECT 'Eigene' AS source_name, 'https://own/' AS base_url, false AS active UNION ALL SELECT 'Gasometer', 'https://www.gasometer.de/', true UNION ALL SELECT 'GREND', 'https://grend.de/', true")
+@query(
+    "WITH known AS (SELECT CASE WHEN s_suppkey = 0 THEN 'Gasometer' ELSE s_name END AS source_name, 'http://old/' || s_suppkey::VARCHAR AS base_url, s_suppkey % 2 = 0 AS active FROM supplier),"
+    " reg(source_name, base_url) AS (VALUES " + ", ".join(f"('{s.name}', '{s.base_url}')" for s in SOURCES) + ")"
+    " SELECT * FROM known WHERE source_name NOT IN (SELECT source_name FROM reg) UNION ALL SELECT source_name, base_url, true FROM reg"
+)
 def source_seed(spark, d):
-    """The registered sources inserted or updated by name; one of the user's own stays as it is."""
-    from cityfeed.sources.registry import seed, sources
+    """The registered sources inserted or updated by name among suppliers as sources of the user's own, which stay as they are."""
+    from cityfeed.sources.registry import seed
 
-    rows = [("Eigene", "https://own/", "rss", False), ("Gasometer", "http://old/", "html", False)]
-    out = seed(spark.createDataFrame(rows, sources(spark).schema)).select("source_name", "base_url", "active")
-    return out.where(F.col("source_name").isin("Eigene", "Gasometer", "GREND"))
+    k = F.col("s_suppkey")
+    known = table(spark, d, "supplier").select(F.when(k == 0, "Gasometer").otherwise(F.col("s_name")).alias("source_name"), F.concat(F.lit("http://old/"), k.cast("string")).alias("base_url"), F.lit("rss").alias("source_type"), (k % 2 == 0).alias("active"))
+    return seed(known).select("source_name", "base_url", "active")
 
 
 SYNC_DAY = datetime(2026, 6, 1, 12)
@@ -239,7 +237,7 @@ def _landed(spark, d):
 
 SYNCED_SQL = (
     f"SELECT 'Lesung ' || p_partkey::VARCHAR AS title, {_EVERY} AS start_at, 'literatur' AS category, CASE WHEN p_partkey % 2 = 0 THEN 'GREND,Lichtburg' ELSE 'GREND' END AS sources_list, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS source_count,"
-    " CASE WHEN p_partkey % 20 = 0 THEN 'Sonne' END AS weather_note FROM part"
+    " CASE WHEN p_partkey % 20 = 0 THEN 'Sonne' END AS weather_note, CASE WHEN p_partkey % 2 = 0 THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END AS quality_score FROM part"
 )
 
 
@@ -247,7 +245,7 @@ def _weather(spark):
     return spark.createDataFrame([(date(2026, 6, 5), "Sonne"), (date(2026, 6, 20), "Regen")], "target_date date, hint string")
 
 
-SYNCED = ("title", "start_at", "category", "sources_list", "source_count", "weather_note")
+SYNCED = ("title", "start_at", "category", "sources_list", "source_count", "weather_note", "quality_score")
 
 
 @query(SYNCED_SQL)
