@@ -38,7 +38,7 @@ def plain_merge(rows, pairs):
     return {i: (",".join(v[2]), v[3]) for i, v in rows.items() if i not in gone}
 
 
-@pytest.mark.parametrize("seed, block_days", [(1, 1), (2, 1), (3, 30)])
+@pytest.mark.parametrize("seed, block_days", [(1, 1), (3, 30)])
 def test_replay_over_blocks(spark, seed, block_days):
     """Chains over many days, cut into blocks, against the plain loop."""
     r = random.Random(seed)
@@ -79,7 +79,7 @@ def test_million_events_in_one_chain():
 
 def test_long_chain_as_a_whole(spark):
     """A daily title over years: found, merged and counted by the operator itself."""
-    n = 4000
+    n = 2000
     events = spark.range(n).select(F.col("id"), F.lit("Sommer Nacht Fest").alias("title"), F.timestamp_add("HOUR", (F.col("id") * 6).cast("int"), F.lit(NOW).cast("timestamp_ntz")).alias("start_at"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("source_name"))
     events = conform(events.withColumn("sources_list", F.col("source_name")).withColumn("source_count", F.lit(1)), EVENTS)
     out = matching.retro_merge(events)
@@ -90,7 +90,7 @@ def test_long_chain_as_a_whole(spark):
 # --- first come
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_first_come(spark, seed):
     r = random.Random(seed)
     pairs = {(p, r.randrange(p)) for p in range(1, 60) for _ in range(r.randrange(0, 4))}
