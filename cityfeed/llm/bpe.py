@@ -196,12 +196,32 @@ class Encoder:
         # a stretch that starts with a space stands for the text after it, any other for the text with a space before it
         lists = [[pieces[p] for p in self.split(x[1:] if x[:1] == " " else " " + x)] for x in known.new]
         new, pieces.new, known.new = [p.encode() for p in pieces.new], [], []
-        lo, rows = 0, 0
-        for k, p in enumerate(new):
-            rows += len(p) * len(p) // 2 if len(p) <= LONG_PIECE else len(p)
-            if rows >= QUERY_ROWS or k == len(new) - 1:
-                self._query(new[lo : k + 1])
+        # a piece that is a token as a whole is encoded; the others are for the query
+        token = np.fromiter((self.ranks.get(p, -1) for p in new), np.int64, len(new))
+        rest = np.flatnonzero(token < 0).tolist()
+        parts, lo, rows = [], 0, 0
+        for k, at in enumerate(rest):
+            size = len(new[at])
+            rows += size * size // 2 if size <= LONG_PIECE else size
+            if rows >= QUERY_ROWS or k == len(rest) - 1:
+                parts.append(self._query([new[j] for j in rest[lo : k + 1]]))
                 lo, rows = k + 1, 0
+        tokens, said = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in ([p[0] for p in parts], [p[1] for p in parts]))
+        n = np.ones(len(new), np.int64)
+        n[rest] = tokens
+        whole = np.repeat(token >= 0, n)
+        ids = np.empty(len(whole), np.uint32)
+        ids[whole] = token[token >= 0]
+        if parts:
+            ids[~whole] = np.concatenate([p[2] for p in parts])
+        n_bytes = np.fromiter(map(len, new), np.int64, len(new))
+        if (n_bytes[rest] != said).any():
+            raise ValueError("a piece doesn't decode to itself in length")
+        text = np.frombuffer(b"".join(new), np.uint8).copy()
+        if parts:
+            text[~np.repeat(token >= 0, n_bytes)] = np.concatenate([p[3] for p in parts])
+        pieces.ids.add(ids, n)
+        pieces.said.add(text, n_bytes)
         codes = np.fromiter(chain.from_iterable(lists), np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.repeat(np.arange(len(lists)), sizes)
@@ -210,8 +230,8 @@ class Encoder:
             n = np.bincount(which, weights=of_pieces.n[codes], minlength=len(lists)).astype(np.int64)
             of_stretches.add(of_pieces.gather(codes), n)
 
-    def _query(self, pieces: list[bytes]) -> None:
-        """Add the ids of pieces, which may not be empty, and what they decode to."""
+    def _query(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces, which may not be empty: how many ids and decoded bytes each has, and these one after the other."""
         sizes = np.array([len(p) if len(p) <= LONG_PIECE else 0 for p in pieces], np.int64)
         flat = np.frombuffer(b"".join(p for p in pieces if len(p) <= LONG_PIECE), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -225,8 +245,7 @@ class Encoder:
         decoded = self.db.sql(DECODE).to_arrow_table()
         said = decoded.column("said").combine_chunks()
         lengths = pc.binary_length(said).to_numpy().astype(np.int64)
-        self.pieces.ids.add(np.asarray(ids).astype(np.uint32), decoded.column("n").to_numpy().astype(np.int64))
-        self.pieces.said.add(np.frombuffer(b"".join(said.to_pylist()), np.uint8), lengths)
+        return decoded.column("n").to_numpy().astype(np.int64), lengths, np.asarray(ids).astype(np.uint32), np.frombuffer(b"".join(said.to_pylist()), np.uint8)
 
     def _run(self, sql: str, **tables) -> None:
         for name, (place, id_) in tables.items():
