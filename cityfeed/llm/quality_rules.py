@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Rows of the sample on which rules are timed.
 SAMPLE_ROWS = 2000
+#: Files of a table that the sample is taken from.
+SAMPLE_FILES = 8
 #: Times that each rule is asked of a row of it.
 ROUNDS = 5
 
@@ -156,6 +159,12 @@ def ranked(rules, rows) -> list[Measured]:
     return out
 
 
+def few_files(docs: DataFrame, most: int = SAMPLE_FILES) -> DataFrame:
+    """A table as it was read, or its files of least hash where it has more than ``most``: to be sampled without reading all of it."""
+    spark, files = docs.sparkSession, sorted(docs.inputFiles(), key=lambda f: hashlib.md5(f.rpartition("/")[2].encode()).hexdigest())
+    return docs if len(files) <= most else spark.read.schema(docs.schema).parquet(*files[:most])
+
+
 def measure(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Measured]:
     """Cost and rejections of every rule on about ``sample_rows`` rows, those that pass the base rule; in the order to ask them."""
     rules = list(rules)
@@ -175,9 +184,9 @@ def cascade(rules) -> Column:
     return F.lit(None).cast("string") if out is None else out.otherwise(None)
 
 
-def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row."""
-    order = [m.rule for m in measure(docs, rules, sample_rows)]
+def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, sample_of: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row; the rules are measured on rows of ``sample_of``, else of ``docs``."""
+    order = [m.rule for m in measure(docs if sample_of is None else sample_of, rules, sample_rows)]
     counted = with_counts(docs)
     kept = F.when(F.col("base_failed"), False).otherwise(cascade(order).isNull())
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -11,7 +11,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_quality_rules(spark, sf_dir):
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, sample_of=quality_rules.few_files(docs))
 
 
 def op2_suffix_dedup(spark, sf_dir):
