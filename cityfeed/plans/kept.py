@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cityfeed.operators import search
 from cityfeed.plans.ev import NOW, NOW_SQL, VISIBLE_SQL, ev, grouped_sql, with_ev
 from cityfeed.plans.registered import query
-from cityfeed.sources.tables import shared_root, table
+from cityfeed.sources.tables import dealt, shared_root, table
 
 GROUPS_SQL = f", {grouped_sql(f'(SELECT * FROM ev WHERE {VISIBLE_SQL})')}"
 
@@ -187,4 +187,4 @@ def lateral_events(spark, d):
     register(spark)
     k = F.col("p_partkey")
     block = F.concat(F.lit('<div class="vsel-content"><h3 class="vsel-meta-title"><a href="https://g/'), k.cast("string"), F.lit('">'), F.col("p_name"), F.lit('</a></h3><div class="vsel-meta-date">Fr. '), (k % 28 + 1).cast("string"), F.lit('.6.2026</div><div class="vsel-meta-time">20:00</div></div>'))
-    return spark.sql("SELECT p.p_partkey, e.title, e.source_url, e.start_at FROM {pages} p, LATERAL page_events('GREND', 'https://g', p.payload, '2026-05-01') e WHERE e.error IS NULL", pages=table(spark, d, "part").select("p_partkey", block.alias("payload")))
+    return spark.sql("SELECT p.p_partkey, e.title, e.source_url, e.start_at FROM {pages} p, LATERAL page_events('GREND', 'https://g', p.payload, '2026-05-01') e WHERE e.error IS NULL", pages=dealt(table(spark, d, "part").select("p_partkey", block.alias("payload"))))
