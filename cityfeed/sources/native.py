@@ -8,6 +8,7 @@ events whichever way it goes, and the usual one needs no Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cityfeed.functions.dates import MONTHS, ZONE, make_timestamp, month_number
+from cityfeed.sources.tables import dealt
 
 #: An ISO time that both ways read alike.
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
@@ -67,8 +69,18 @@ def _event(key: Column, title: Column, **fields) -> Column:
     return F.struct(*[lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(FIELDS)])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _zollverein(payload: Column, now: datetime) -> tuple[Column, Column]:
-    v = F.try_parse_json(payload)
+    read = _once(F.try_parse_json(payload), lambda v: F.struct(*[c.alias(n) for c, n in zip(_answer(v), ("plain", "found"), strict=True)]))
+    return read["plain"], read["found"]
+
+
+def _answer(v: Column) -> tuple[Column, Column]:
+    """Whether an API answer is plain, and its events."""
     wrapped = F.coalesce(*[F.when(_kind(v, f"$.{k}") == "ARRAY", F.try_variant_get(v, f"$.{k}", "array<variant>")) for k in ("events", "data", "results")], F.array().cast("array<variant>"))
     items = F.when(_kind(v, "$") == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(wrapped)
     items = F.filter(items, lambda x: F.coalesce(_kind(x, "$") == "OBJECT", F.lit(False)))
@@ -97,38 +109,44 @@ def _zollverein(payload: Column, now: datetime) -> tuple[Column, Column]:
 
 def _villa_huegel(payload: Column, now: datetime) -> tuple[Column, Column]:
     held = F.regexp_extract(payload, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
-    v = F.try_parse_json(F.when(held != "", held).otherwise(payload))
-    items = F.when(_kind(v, "$") == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.try_variant_get(v, "$.props.pageProps.programs", "array<variant>"))
-    items = F.filter(items, lambda x: F.coalesce(_kind(x, "$") == "OBJECT", F.lit(False)))
     words = lambda x, k: F.trim(F.regexp_replace(F.coalesce(_text(x, f"$.{k}"), F.lit("")), r"[ \t\n\x0b\f\r]+", " "))
-    over = lambda x: F.lower(words(x, "date_as_string")).contains("abgeschlossen")
-    standing = lambda x: words(x, "date_as_string").rlike(r"(?iu)ganzjährig|jeden|täglich|dauer|laufend|regelmäßig")
-    plain_space = lambda c: ~c.rlike(f"[{ODD_SPACE}]")
 
-    def regular(x: Column) -> Column:
+    def items(v: Column) -> Column:
+        found = F.when(_kind(v, "$") == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.try_variant_get(v, "$.props.pageProps.programs", "array<variant>"))
+        return F.filter(found, lambda x: F.coalesce(_kind(x, "$") == "OBJECT", F.lit(False)))
+
+    def told(x: Column) -> Column:
         strings = _is(x, "$.id", "STRING", "BIGINT") & _kind(x, "$.id").isNotNull() & _is(x, "$.slug", "STRING") & _kind(x, "$.slug").isNotNull() & _is(x, "$.thumbnail", "OBJECT") & _is(x, "$.thumbnail.src", "STRING")
         for k in ("title", "subtitle", "date_as_string"):
-            strings &= _is(x, f"$.{k}", "STRING") & plain_space(F.coalesce(_text(x, f"$.{k}"), F.lit("")))
-        term = words(x, "date_as_string")
-        return strings & (over(x) | standing(x) | (term == "") | F.lower(term).rlike(TERM))
+            strings &= _is(x, f"$.{k}", "STRING") & ~F.coalesce(_text(x, f"$.{k}"), F.lit("")).rlike(f"[{ODD_SPACE}]")
+        own = [_text(x, f"$.{k}").alias(n) for k, n in (("id", "id"), ("slug", "slug"), ("thumbnail.src", "image"))]
+        return F.struct(strings.alias("strings"), words(x, "title").alias("title"), words(x, "subtitle").alias("about"), words(x, "date_as_string").alias("term"), F.lower(words(x, "date_as_string")).alias("low"), *own)
 
-    def event(x: Column) -> Column:
-        title, about, term = (words(x, k) for k in ("title", "subtitle", "date_as_string"))
-        part = lambda k: F.regexp_extract(F.lower(term), TERM, k)
+    def dated(x: Column) -> Column:
+        part = lambda k: F.regexp_extract(x["low"], TERM, k)
         number = lambda k, other: F.coalesce(_filled(part(k)).cast("int"), F.lit(other))
-        start = F.when(~standing(x), make_timestamp(number(3, now.year), month_number(part(2)), number(1, 0), number(4, 0), number(5, 0)))
+        over, standing = x["low"].contains("abgeschlossen"), x["term"].rlike(r"(?iu)ganzjährig|jeden|täglich|dauer|laufend|regelmäßig")
+        start = F.when(~standing, make_timestamp(number(3, now.year), month_number(part(2)), number(1, 0), number(4, 0), number(5, 0)))
+        regular = x["strings"] & (over | standing | (x["term"] == "") | x["low"].rlike(TERM))
+        return F.struct(x.alias("x"), regular.alias("regular"), over.alias("over"), start.alias("start"))
+
+    def event(y: Column) -> Column:
+        x, start = y["x"], y["start"]
+        title, about, term = x["title"], x["about"], x["term"]
         described = F.array_join(F.filter(F.array(about, F.when(term != "", F.concat(F.lit("Termin: "), term)).otherwise("")), lambda t: t != ""), " | ")
-        return F.struct(
-            over(x).alias("over"),
-            _event(
-                F.concat(F.lit("villa-huegel-"), _text(x, "$.id")), title, short_description=described, start_at=start, is_permanent_offer=start.isNull(), source_name="Villa Hügel",
-                kids_suitable=F.when(F.concat(title, F.lit(" "), about).rlike("(?iu)kinder|family|famil"), "yes").otherwise("unknown"), source_url=F.concat(F.lit("https://www.krupp-stiftung.de/programm/"), _text(x, "$.slug"), F.lit("/")),
-                image_url=_filled(_text(x, "$.thumbnail.src")), venue_name="Villa Hügel", address_text="Hügel 1, 45133 Essen", city="Essen", lat=51.4069, lon=7.0090, indoor_outdoor=F.when(F.lower(about).contains("park"), "both").otherwise("indoor"),
-            ).alias("e"),
+        return _event(
+            F.concat(F.lit("villa-huegel-"), x["id"]), title, short_description=described, start_at=start, is_permanent_offer=start.isNull(), source_name="Villa Hügel",
+            kids_suitable=F.when(F.concat(title, F.lit(" "), about).rlike("(?iu)kinder|family|famil"), "yes").otherwise("unknown"), source_url=F.concat(F.lit("https://www.krupp-stiftung.de/programm/"), x["slug"], F.lit("/")),
+            image_url=_filled(x["image"]), venue_name="Villa Hügel", address_text="Hügel 1, 45133 Essen", city="Essen", lat=51.4069, lon=7.0090, indoor_outdoor=F.when(F.lower(about).contains("park"), "both").otherwise("indoor"),
         )
 
-    events = F.transform(F.filter(F.transform(items, event), lambda y: ~y["over"] & (y["e"]["title"] != "")), lambda y: y["e"])
-    return v.isNotNull() & items.isNotNull() & F.forall(items, regular), events
+    def both(ys: Column) -> Column:
+        kept = F.filter(ys, lambda y: ~y["over"] & (y["x"]["title"] != ""))
+        return F.struct((ys.isNotNull() & F.forall(ys, lambda y: y["regular"])).alias("plain"), F.transform(kept, event).alias("found"))
+
+    v = F.try_parse_json(F.when(held != "", held).otherwise(payload))
+    read = _once(_once(v, lambda v: F.transform(F.transform(items(v), told), dated)), both)
+    return read["plain"], read["found"]
 
 
 FEED = "channel struct<item: array<struct<title: array<string>, link: array<string>, description: array<string>, category: array<string>>>>, _broken string"
@@ -173,10 +191,12 @@ NATIVE = {"Zollverein": _zollverein, "Villa Hügel": _villa_huegel, "Ruhrpott-Ki
 def read(payloads: DataFrame, name: str, now: datetime) -> DataFrame:
     """``payloads`` of one source with ``plain``, and where that holds ``found``, the array of its events."""
     plain, found = NATIVE[name](F.col("payload"), now)
-    plain = F.coalesce(plain, F.lit(False))
-    return payloads.withColumn("plain", plain).withColumn("found", F.when(plain, found))
+    told = payloads.withColumn("_told", F.struct(F.coalesce(plain, F.lit(False)).alias("plain"), found.alias("found")))
+    return told.withColumn("plain", F.col("_told.plain")).withColumn("found", F.when(F.col("_told.plain"), F.col("_told.found"))).drop("_told")
 
 
 def events(payloads: DataFrame, name: str, now: datetime) -> DataFrame:
     """The events of the payloads of one source that have the plain shape, without a Python worker."""
-    return read(payloads.where(F.col("source_name") == name), name, now).select(F.explode("found").alias("e")).select("e.*")
+    told = read(dealt(payloads.where(F.col("source_name") == name)), name, now)
+    # outer, as Spark would otherwise work out the array a second time to leave out empty ones
+    return told.select(F.explode_outer("found").alias("e")).where("e is not null").select("e.*")
