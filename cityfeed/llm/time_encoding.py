@@ -32,8 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cityfeed.llm.common import cut, map_arrow
 
@@ -42,6 +41,8 @@ CHUNK_SECONDS = 86_400
 SMOOTHING, SCALE, FIRST_PRIOR = 50, 1_000_000, 500_000
 #: Time of the row that holds the vector before a chunk; it sorts before all others.
 BEFORE = -(1 << 63)
+#: Chunk of the row with what a value says about itself, before all others.
+FIRST = -(1 << 31)
 #: Lower bits of the sort key that tell the place of a time in its chunk.
 PLACE_BITS = 20
 
@@ -71,10 +72,53 @@ def added_up(vectors: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
     return vectors.groupBy(key, "chunk").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(2 * folds)])
 
 
-def with_attribute(vectors: DataFrame, key: str, table: DataFrame, of: str, name: str) -> DataFrame:
-    """``vectors`` with the attribute ``name`` of their key; of repeated rows the least counts."""
-    known = table.where(F.col(of).isNotNull()).groupBy(F.col(of).alias("_of")).agg(F.min(name).alias(name))
-    return vectors.join(known.hint("shuffle_hash"), F.col(key) == F.col("_of"), "left").drop("_of")
+def with_past(vectors: DataFrame, key: str, table: DataFrame | None = None, attribute: str | None = None, folds: int = FOLDS) -> DataFrame:
+    """``vectors`` with ``history``, the sums of the chunks of their key before each as the bytes of 64-bit numbers, and the attribute of their key in ``table``.
+
+    Of repeated rows of a key the least attribute counts. It goes in front of
+    the chunks of its key, so that both take one shuffle.
+    """
+    names, said = [f"v{k}" for k in range(2 * folds)], [attribute] if attribute else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, known = None, np.zeros(len(names), np.int64), None  # of the key before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, chunk = batch.column(key), batch.column("chunk").to_numpy()
+            own = np.stack([pc.fill_null(batch.column(v), 0).to_numpy() for v in names], axis=1)
+            codes = pc.fill_null(values.dictionary_encode().indices, -1).to_numpy()
+            new = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+            each = np.diff(np.append(new, len(codes)))
+            sums = np.cumsum(own, axis=0)
+            before = sums - own
+            first, goes_on = -before[new], last == (values[0].as_py(),)
+            if goes_on:
+                first[0] += total
+            before += np.repeat(first, each, axis=0)
+            last, total = (values[len(values) - 1].as_py(),), before[-1] + own[-1]
+            at = np.flatnonzero(chunk != FIRST)
+            out = {c: batch.column(c) for c in (key, "chunk", *names)}
+            if attribute:
+                # where the key begins, or what was known when the batch began
+                told = np.where(chunk[new] == FIRST, new + 1, -1)
+                if goes_on:
+                    told[0] = 0
+                told = np.repeat(told, each)
+                column = batch.column(attribute)
+                out[attribute] = pa.concat_arrays([pa.array([known], column.type), column]).take(pa.array(np.maximum(told, 0), mask=told < 0))
+                known = out[attribute][len(column) - 1].as_py()
+            out = {c: column if len(at) == len(codes) else column.take(pa.array(at)) for c, column in out.items()}
+            ends = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(8 * len(names)))
+            out["history"] = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(before[at])])
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    rows = vectors.select(key, "chunk", *names)
+    if attribute:
+        least = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(attribute).alias(attribute))
+        rows = rows.unionByName(least.withColumn("chunk", F.lit(FIRST)), allowMissingColumns=True)
+    fields = [rows.schema[c] for c in (key, "chunk", *names, *said)] + [StructField("history", BinaryType())]
+    return map_arrow(rows.repartition(key).sortWithinPartitions(key, "chunk"), run, StructType(fields))
 
 
 def _group_hash(key: str) -> Column:
@@ -126,7 +170,7 @@ def _scan(key: str, name: str, attribute: str | None, folds: int):
         vectors[at + 2, fold] = rows.column("n").to_numpy()
         vectors[at + 2, folds + fold] = rows.column("s").to_numpy()
         if len(starts):
-            vectors[starts + 2] = batch.column("history").take(pa.array(starts)).flatten().to_numpy().reshape(len(starts), 2 * folds)
+            vectors[starts + 2] = np.frombuffer(b"".join(batch.column("history").take(pa.array(starts)).to_pylist()), np.int64).reshape(len(starts), 2 * folds)
         new_time = new_key.copy()
         new_time[1:] |= t[1:] != t[:-1]
         if state is not None:
@@ -178,11 +222,9 @@ def with_history(rows: DataFrame, key: str, vectors: DataFrame, name: str, attri
     """``rows`` with ``{name}_n`` and ``{name}_s``, the sums of ``n`` and ``s`` over strictly earlier rows of other folds with their ``key``, and its attribute.
 
     ``rows`` have the columns ``t, fold, n, s``; ``vectors`` are those of the
-    key's chunks. A null key is a key of its own.
+    key's chunks by ``with_past``. A null key is a key of its own.
     """
-    past = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    history = F.array(*[F.coalesce(F.sum(f"v{k}").over(past), F.lit(0)) for k in range(2 * folds)])
-    starts = vectors.select(key, "chunk", F.lit(BEFORE).alias("t"), history.alias("history"), *([attribute] if attribute else []))
+    starts = vectors.select(key, "chunk", F.lit(BEFORE).alias("t"), "history", *([attribute] if attribute else []))
     dated = rows.withColumn("chunk", chunk_of(F.col("t"), chunk_seconds))
     both = dated.unionByName(starts, allowMissingColumns=True).withColumn("_hash", _group_hash(key))
     dealt = both.withColumn("_order", _order(chunk_seconds)).repartition("_hash").sortWithinPartitions("_order", "t").drop("_hash")
@@ -215,13 +257,13 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     sale = cut(unit.groupBy("sale_id", "client_id", "t", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "sold")
 
     def both_columns(rows: DataFrame, of: DataFrame, key: str, table: DataFrame, attribute: str) -> tuple[DataFrame, DataFrame]:
-        vectors = cut(with_attribute(chunk_vectors(of.withColumn("chunk", chunk), key), key, table, key, attribute), "vectors")
+        vectors = cut(with_past(chunk_vectors(of.withColumn("chunk", chunk), key), key, table, attribute), "vectors")
         rows = with_history(rows, key, vectors, key, attribute, chunk_seconds=chunk_seconds)
-        return with_history(rows, attribute, added_up(vectors, attribute), attribute, chunk_seconds=chunk_seconds), vectors
+        return with_history(rows, attribute, with_past(added_up(vectors, attribute), attribute), attribute, chunk_seconds=chunk_seconds), vectors
 
     sale, vectors = both_columns(sale, sale, "client_id", clients, "segment")
     sale = sale.withColumn("all", F.lit(0))
-    sale = with_history(sale, "all", added_up(vectors.withColumn("all", F.lit(0)), "all"), "whole", chunk_seconds=chunk_seconds)
+    sale = with_history(sale, "all", with_past(added_up(vectors.withColumn("all", F.lit(0)), "all"), "all"), "whole", chunk_seconds=chunk_seconds)
     sale = sale.select(F.col("sale_id").alias("_sale"), F.col("client_id").alias("_client"), F.col("t").alias("_t"), *[f"{x}_{c}" for x in ("client_id", "segment", "whole") for c in "ns"])
     rows = unit.select("sale_id", "item_id", "vendor_id", "client_id", "t", "fold", "n", "s")
     rows, _ = both_columns(rows, unit, "item_id", items, "kind")

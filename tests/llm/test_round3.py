@@ -268,3 +268,15 @@ def test_kept_survives_a_failing_make():
     with pytest.raises(ValueError), kept.use("b", fail):
         pass
     assert kept.users == 0 and kept.value is None
+
+
+def test_attributes_come_with_the_vectors(spark):
+    """What a value says about itself takes no join, and the sums before a chunk no window: one shuffle by value for both."""
+    columns = ", ".join(f"v{k} long" for k in range(10))
+    vectors = spark.createDataFrame([(5, 2, *[1] * 10), (5, 7, *[10] * 10), (None, 2, *[3] * 10), (8, 1, *[0] * 10)], "vendor_id long, chunk int, " + columns)
+    vendors = spark.createDataFrame([(5, 4), (5, 2), (6, 1), (None, 9)], "vendor_id long, nation_id int")
+    out = time_encoding.with_past(vectors, "vendor_id", vendors, "nation_id")
+    got = {(r.vendor_id, r.chunk): (r.nation_id, [*memoryview(r.history).cast("q")], r.v9) for r in out.collect()}
+    assert got == {(5, 2): (2, [0] * 10, 1), (5, 7): (2, [1] * 10, 10), (None, 2): (None, [0] * 10, 3), (8, 1): (None, [0] * 10, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
