@@ -26,6 +26,12 @@ one task: their strings are dealt one by one, by a 128-bit hash of all their
 bytes, so that a suffix order holds equal strings alone, whose previous smaller
 position is their least place. That is an aggregation with partial sums.
 
+A passage of ``PASSAGE`` words may have fewer than ``LENGTH`` bytes, and then
+nothing of it goes. ``report`` shows such passages beside what goes: of any
+``PASSAGE`` consecutive words of a document one gram of ``WORDS`` words is
+chosen, the one of least hash, so documents with such a passage in common have
+a chosen gram in common, and those without ``WORDS`` words in common have none.
+
 Defined results: a null text counts as empty, a text shorter than ``LENGTH``
 bytes has nothing to remove, and repeated rows are copies of each other. Rows
 are told apart by doc_id and text: with ``keep_first``, rows alike in both are
@@ -39,15 +45,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityfeed.llm.common import cut, map_arrow, slices
-from cityfeed.llm.rolling import CHUNK_BYTES, prefix_sums, stretch_hashes
+from cityfeed.llm.rolling import BASE, CHUNK_BYTES, mix, prefix_sums, stretch_hashes, word_hashes
 
 LENGTH, GRAM = 400, 64
 #: Documents whose stretches of one anchor meet in one task.
 HOT = 30_000
+#: Words of a passage that is found for certain, and of the grams it is found by.
+PASSAGE, WORDS = 50, 25
 
 _PLACE = (1 << 24) - 1
 
@@ -367,28 +375,71 @@ def _removed(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, runs
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    per_doc = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "spans")
-    return rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left").select("doc_id", "text", "spans")
+def passage_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, hash)`` arrays: the different chosen grams of each text, by its number in the list."""
+    words = word_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    words, found = np.concatenate(words), []
+    for at in range(0, len(words) - PASSAGE + 1, CHUNK_BYTES):
+        part, own = words[at : at + CHUNK_BYTES + PASSAGE - 1], owner[at : at + CHUNK_BYTES + PASSAGE - 1]
+        n = len(part) - WORDS + 1
+        grams = np.zeros(n, np.uint64)
+        for k in range(WORDS):
+            grams = grams * np.uint64(BASE) + part[k : k + n]
+        grams = mix(grams)
+        inside = own[PASSAGE - 1 :] == own[: len(own) - PASSAGE + 1]  # windows of one text
+        place = np.unique(_least_places(grams, PASSAGE - WORDS + 1)[inside])
+        found.append((own[place], grams[place]))
+    who, h = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.lexsort((h, who))
+    who, h = who[order], h[order]
+    new = (np.diff(who, prepend=-1) != 0) | (h != np.roll(h, 1))
+    return who[new], h[new]
+
+
+def shared_grams(rows: DataFrame) -> DataFrame:
+    """``doc_id, t, n_shared_grams`` of the ``doc_id, t, text`` rows that have a chosen gram of another row."""
+
+    def run(batches):
+        for batch in slices(batches, 2):
+            if not batch.num_rows:
+                continue
+            who, h = passage_grams([x.encode() for x in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who))], names=["h", "doc_id", "t"])
+
+    grams = map_arrow(rows, run, "h long, doc_id long, t long")
+    shared = grams.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    return shared.dropDuplicates(["h", "doc_id", "t"]).groupBy("doc_id", "t").agg(F.count("*").alias("n_shared_grams"))
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Every row with its spans, and its number of ``shared`` grams."""
+    marks = spans.select("doc_id", "t", F.struct("a", "b").alias("span"), F.lit(0).cast("long").alias("n_shared_grams"))
+    if shared is not None:
+        marks = marks.union(shared.select("doc_id", "t", F.lit(None).cast("struct<a:int,b:int>"), "n_shared_grams"))
+    per_doc = marks.groupBy("doc_id", "t").agg(F.collect_list("span").alias("spans"), F.sum("n_shared_grams").alias("n_shared_grams")).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    out = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
+    return out.select("doc_id", "text", "spans", F.coalesce("n_shared_grams", F.lit(0).cast("long")).alias("n_shared_grams"))
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_grams long"
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Sizes and the digest of the bytes left, with all copies removed."""
+    """Sizes and the digest of the bytes left, with all copies removed, and the grams of long passages that another document has too."""
 
     def run(batches):
         for batch in slices(batches, 1):
             out = []
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text, spans, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
                 kept, gone, runs = _removed(data, spans)
-                out.append((doc, len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((doc, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), shared))
+            cols = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_grams"])
 
-    return map_arrow(_with_spans(*repeated_spans(docs)), run, DIGEST)
+    rows, spans = repeated_spans(docs)
+    return map_arrow(_with_spans(rows, spans, shared_grams(rows)), run, DIGEST)
 
 
 def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
